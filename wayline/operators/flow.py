@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.names import short_schema
@@ -56,20 +56,17 @@ def flow_nodes(paths: DataFrame, one_partition_rows: int | None = None) -> DataF
     limit = {} if one_partition_rows is None else {"one_partition_rows": one_partition_rows}
     scanned = prefix_scan(totals, [F.asc("col_no"), F.desc("value"), F.asc("name")], "idx",
                           {"before": "value"}, **limit)
-    # One row per column: what it holds and where it starts.
-    columns = totals.groupBy("col_no").agg(F.count("*").alias("n"), F.sum("value").alias("flow"))
+    # One row per column: how many nodes it has, where they start, what it carries.
+    earlier_columns = Window.orderBy("col_no").rowsBetween(Window.unboundedPreceding, -1)
+    columns = totals.groupBy("col_no").agg(
+        F.count("*").alias("n"), F.sum("value").alias("flow")
+    ).withColumn("start", F.coalesce(F.sum("n").over(earlier_columns), F.lit(0)))
     nodes = scanned.join(F.broadcast(columns), "col_no")
 
     col_no, n, flow = F.col("col_no"), F.col("n"), F.col("flow")
+    rank = F.col("idx") - F.col("start")
     # Every column carries the same flow, and earlier columns come first.
     earlier = F.col("before") - col_no * flow
-    starts = F.lit(0).cast("long")
-    size_of = {i: columns.filter(F.col("col_no") == i).select("n").scalar()
-               for i in range(len(stages) - 1)}
-    rank = F.col("idx")
-    for i, size in size_of.items():
-        starts = starts + F.when(col_no > i, F.coalesce(size, F.lit(0))).otherwise(0)
-    rank = rank - starts
     height = F.when(flow == 0, 0.0).otherwise(F.col("value") / flow * BAR_SHARE * USABLE)
     above = F.when(flow == 0, 0.0).otherwise(earlier / flow * BAR_SHARE * USABLE)
     gaps = rank * (F.lit(GAP_SHARE) / (n - 1)) * USABLE

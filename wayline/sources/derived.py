@@ -141,3 +141,21 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         *[F.expr(text).alias(name) for name, text in PART_RULE.items()]
     )
+
+
+#: Listed client attributes derived from parts: a few real names among many others.
+LISTED = {
+    "client": """
+CASE p_partkey WHEN 1 THEN 'dbt' WHEN 2 THEN 'Go' WHEN 3 THEN 'Web' WHEN 4 THEN 'Tableau'
+  ELSE p_name || ' ' || CAST(p_partkey AS STRING) END
+""",
+    "abbreviation": "CASE p_partkey WHEN 4 THEN NULL ELSE 'P' || CAST(p_partkey % 10 AS STRING) END",
+    "icon": "'icon-' || CAST(p_partkey AS STRING)",
+}
+
+
+def listed_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup table of clients that grows with ``part``; names are unique."""
+    return table(spark, sf_dir, "part").select(
+        *[F.expr(text).alias(name) for name, text in LISTED.items()]
+    )
