@@ -20,13 +20,9 @@ def distinct_pairs(sessions: DataFrame) -> DataFrame:
     """Distinct (client id, application) pairs.
 
     Rules look at nothing else, so each pair needs to be matched only once
-    however many sessions and queries share it.  The pairs are spread over a
-    set number of partitions, since matching costs far more than their bytes
-    suggest.
+    however many sessions and queries share it.
     """
-    spark = sessions.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sessions.select(*PAIR).distinct().repartition(width, *PAIR)
+    return sessions.select(*PAIR).distinct()
 
 
 def rule_slices(rules: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
