@@ -166,3 +166,42 @@ def test_only_object_names_are_read(spark, tmp_path):
     plan = touched_places(spark.read.parquet(str(tmp_path / "a")))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "array<struct<objectName:string>>" in plan.split("ReadSchema")[1]
+
+
+def test_start_dates_prune_both_logs(spark, tmp_path):
+    """Logs partitioned by day: the same routes, from the days looked back on."""
+    from pyspark.sql import functions as F
+
+    from wayline.plans.refresh import refresh_routes
+    logs = derived.audit_logs(spark, "/root/testdata/sf0.001")
+    queries = logs.queries.withColumn("start_time", F.col("start_time").cast("timestamp")) \
+        .withColumn("start_date", F.to_date("start_time")).filter("start_date >= '2001-05-01'")
+    days = queries.select("query_id", "start_date")
+    for part, frame in (("sessions", logs.sessions), ("queries", queries),
+                        ("access", logs.access.join(days, "query_id"))):
+        keys = [c for c in frame.columns if c == "start_date"]
+        frame.write.partitionBy(*keys).parquet(f"{tmp_path}/{part}")
+    read = audit.read_audit_logs(
+        spark, *[f"{tmp_path}/{p}" for p in ("sessions", "queries", "access")], fmt="parquet")
+    out = refresh_routes(read, rule_ops.numbered_rules(spark), derived.RECENT)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("start_date#") and plan.count(">= 2001-07-02)]") == 2
+    want = refresh_routes(logs, rule_ops.numbered_rules(spark), derived.RECENT)
+    assert rows(out) == rows(want)
+
+
+def test_bucketed_logs_are_joined_in_place(spark, name, conf):
+    """Logs bucketed by query id need no shuffle to be joined and made distinct."""
+    from wayline.operators.resolve import accesses, query_rows
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    logs = derived.audit_logs(spark, "/root/testdata/sf0.001")
+    for part in ("queries", "access"):
+        getattr(logs, part).write.bucketBy(4, "query_id").sortBy("query_id").saveAsTable(
+            f"{name}_{part}")
+    found = accesses(query_rows(spark.table(f"{name}_queries")), spark.table(f"{name}_access"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = accesses(query_rows(logs.queries), logs.access)
+    assert rows(found) == rows(want)
+    for part in ("queries", "access"):
+        spark.sql(f"DROP TABLE {name}_{part}")

@@ -113,8 +113,9 @@ def with_clients(df: DataFrame, clients: DataFrame) -> DataFrame:
     choice between a broadcast and a (skew-split) shuffle join is left to the
     sizes measured at run time.
     """
-    on = (df.client_app_id == clients.client_app_id) & df.application.eqNullSafe(
-        clients.application
+    named = clients.select(*[F.col(c).alias(f"_{c}") for c in PAIR], "clients")
+    on = (F.col("client_app_id") == F.col("_client_app_id")) & F.col("application").eqNullSafe(
+        F.col("_application")
     )
-    kept = [df[c] for c in df.columns if c not in PAIR]
-    return df.join(clients, on).select(F.explode("clients").alias("client"), *kept)
+    kept = [c for c in df.columns if c not in PAIR]
+    return df.join(named, on).select(F.explode("clients").alias("client"), *kept)

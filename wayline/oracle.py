@@ -22,8 +22,9 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
 
 
-RULES = "rules(priority, pattern, source_field, display_name) AS (VALUES " + _values(
-    [(i, *rule) for i, rule in enumerate(STARTER_RULES)]) + ")"
+RULES = """rules AS (SELECT CAST(priority AS BIGINT) AS priority, pattern, source_field, display_name
+  FROM (VALUES """ + _values([(i, *rule) for i, rule in enumerate(STARTER_RULES)]) + """)
+    v(priority, pattern, source_field, display_name))"""
 
 DIRECTION_CASE = """
 CASE WHEN query_type LIKE 'CREATE%' OR query_type LIKE 'ALTER%' OR query_type LIKE 'DROP%'

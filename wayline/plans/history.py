@@ -57,12 +57,11 @@ def snapshot_history(logs: AuditLogs, rules: DataFrame, ctx: JobContext,
     opens = dt.datetime.combine(from_day - dt.timedelta(days=ctx.days), dt.time())
     closes = dt.datetime.combine(to_day + dt.timedelta(days=1), dt.time())
     seen = queries.filter(
-        (F.col("start_time") > F.lit(opens.isoformat(sep=" ")).cast(kind))
-        & (F.col("start_time") < F.lit(closes.isoformat(sep=" ")).cast(kind))
+        (F.col("start_time") < F.lit(closes.isoformat(sep=" ")).cast(kind))
         & (F.col("first_run") <= F.col("last_run"))
     )
-    counts = route_counts(AuditLogs(logs.sessions, seen, logs.access), rules,
-                          extra=[F.col("first_run"), F.col("last_run")])
+    counts = route_counts(AuditLogs(logs.sessions, seen, logs.access), rules, opens,
+                          [F.col("first_run"), F.col("last_run")])
     keys = [c for c in counts.columns if c not in ("first_run", "last_run", "access_count")]
     per_run = counts.select(
         F.explode(F.sequence("first_run", "last_run")).alias("run"), *keys, "access_count"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayline import schema
 from wayline.context import JobContext
 from wayline.operators.classify import classify, with_clients
-from wayline.operators.resolve import query_rows, session_counts, session_rows, with_names
+from wayline.operators.resolve import pruned, query_rows, session_counts, session_rows, with_names
 from wayline.session import allow_skew_split
 
 ROUTE_KEYS = ["client", "warehouse", "database", "schema_name", "direction"]
@@ -20,7 +20,11 @@ ROUTE_KEYS = ["client", "warehouse", "database", "schema_name", "direction"]
 
 @dataclass(frozen=True)
 class AuditLogs:
-    """The three logs a refresh reads."""
+    """The three logs a refresh reads.
+
+    Queries and access may carry ``start_date``, the day a query started, as a
+    partition column; only the days looked back on are then read.
+    """
 
     sessions: DataFrame
     queries: DataFrame
@@ -38,7 +42,7 @@ def route_counts(logs: AuditLogs, rules: DataFrame, since: dt.datetime | None =
     allow_skew_split(logs.queries.sparkSession)
     queries = query_rows(logs.queries, since, extra)
     sessions = session_rows(logs.sessions)
-    per_session = session_counts(queries, logs.access)
+    per_session = session_counts(queries, pruned(logs.access, since))
     keys = [c for c in per_session.columns if c not in ("session_id", "access_count")]
     total = F.sum("access_count").alias("access_count")
     per_pair = (

@@ -32,10 +32,10 @@ def scratch_root(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = context.applicationId

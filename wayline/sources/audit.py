@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from wayline import schema
+from wayline.operators.resolve import START_DATE
 from wayline.plans.refresh import AuditLogs
 
 FORMATS = ("parquet", "orc", "json", "csv")
@@ -13,17 +14,20 @@ FORMATS = ("parquet", "orc", "json", "csv")
 
 def read_log(spark: SparkSession, location: str, kind: T.StructType,
              fmt: str = "table") -> DataFrame:
-    """A log from a catalog table or from files, cut down to the columns used.
+    """A log from a catalog table or from files, cut down to the columns used
+    (and the column of start dates, if there is one).
 
     Files are read with the given schema, so nothing has to be inferred.
     """
     if fmt == "table":
-        return spark.table(location).select(*kind.names)
+        log = spark.table(location)
+        return log.select(*kind.names, *[c for c in log.columns if c == START_DATE])
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
     reader = spark.read.schema(kind)
     if fmt == "csv":
         reader = reader.option("header", True)
+    # A partition column in the folder names is added to the given schema.
     return reader.format(fmt).load(location)
 
 
