@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from conftest import rows
 
-from wayline.catalog import stream_route_counts
+from wayline.catalog import stream_query_log, stream_route_counts
 from wayline.operators.rules import numbered_rules
 from wayline.sources import derived
 from wayline.streaming import counts
@@ -20,8 +20,8 @@ def access(query, day, hour=1, schema_name="D.S"):
 def test_stream_equals_batch(spark):
     batch = counts.daily_counts(counts.resolved_accesses(
         derived.audit_logs(spark, SMALL), numbered_rules(spark), derived.ALL_TIME))
-    streamed = stream_route_counts(spark, SMALL)
-    assert rows(streamed.select(batch.columns)) == rows(batch)
+    for streamed in (stream_route_counts, stream_query_log):
+        assert rows(streamed(spark, SMALL).select(batch.columns)) == rows(batch)
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/Chicago"])
@@ -32,7 +32,7 @@ def test_runs_continue_where_the_last_one_stopped(spark, conf, tmp_path, zone):
     def arrive(*found):
         df = spark.createDataFrame(list(found), COLUMNS)
         df.coalesce(1).write.mode("append").parquet(folder)
-        counts.run_daily_counts(counts.access_stream(spark, folder, df), changes, state)
+        counts.run_daily_counts(counts.file_stream(spark, folder, df), changes, state)
         latest = counts.latest_counts(spark, changes)
         return {(r.day.day, r.schema_name): r.access_count for r in latest.collect()}
 

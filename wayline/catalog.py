@@ -16,7 +16,7 @@ from wayline.operators.graph import STARTING_VIEW, View
 from wayline.plans.history import snapshot_history
 from wayline.plans.network import Network
 from wayline.plans.refresh import refresh_routes
-from wayline.session import scratch_path
+from wayline.session import scratch_path, settle
 from wayline.sources import derived, tables
 from wayline.sources.derived import ALL_TIME, RECENT
 from wayline.streaming import counts
@@ -181,11 +181,24 @@ def stream_route_counts(spark, sf_dir):
         derived.audit_logs(spark, sf_dir), rules.numbered_rules(spark), ALL_TIME)
     found.write.parquet(folder)
     changes = scratch_path(spark, "changes")
-    counts.run_daily_counts(counts.access_stream(spark, folder, found), changes,
+    counts.run_daily_counts(counts.file_stream(spark, folder, found), changes,
                             scratch_path(spark, "stream"))
     return counts.latest_counts(spark, changes)
 
 
+def stream_query_log(spark, sf_dir):
+    """The query log itself as a stream, joined to sessions and access records."""
+    logs = derived.audit_logs(spark, sf_dir)
+    orders = counts.file_stream(spark, sf_dir, derived.table(spark, sf_dir, "orders"),
+                                "orders.parquet")
+    named = settle(counts.named_sessions(logs.sessions, rules.numbered_rules(spark)), "named")
+    changes = scratch_path(spark, "changes")
+    counts.run_daily_counts(
+        counts.streamed_accesses(derived.queries(orders), logs.access, named), changes,
+        scratch_path(spark, "stream"))
+    return counts.latest_counts(spark, changes)
+
+
 def queries() -> dict[str, Query]:
     """All queries; each takes the session and the folder of the test tables."""
     found: dict[str, Query] = {
@@ -254,6 +267,7 @@ def queries() -> dict[str, Query]:
         "seed_rules_upsert": seed_rules_upsert,
         "snapshot_history": weekly_history,
         "stream_route_counts": stream_route_counts,
+        "stream_query_log": stream_query_log,
     }
     for name, column in (("client", "CLIENT"), ("database", "DATABASE"),
                          ("schema", "SCHEMA_NAME"), ("warehouse", "WAREHOUSE"),

@@ -14,6 +14,7 @@ from wayline.functions.scale import node_size
 from wayline.functions.text import edge_text, neighbour_line, node_text
 from wayline.operators.prefix import prefix_scan
 from wayline.schema import MEASURE
+from wayline.session import settle
 
 EDGE_KEYS = ["CLIENT", "WAREHOUSE", "DATABASE", "SCHEMA_NAME", "DIRECTION"]
 
@@ -148,10 +149,10 @@ def network_nodes(rollup: DataFrame, view: View = FULL_VIEW,
                   layers: LayerRules = DEFAULT_LAYERS) -> DataFrame:
     """``id, type, label, size, layer, org, total, read, write`` of visible nodes.
 
-    Sizes are scaled over all nodes, hidden ones included.  ``rollup`` is read
-    twice and should be settled.
+    Sizes are scaled over all nodes, hidden ones included; the statistics are
+    settled, since their bounds are needed before any size is.
     """
-    stats = node_stats(rollup, view)
+    stats = settle(node_stats(rollup, view), "stats")
     bounds = stats.agg(F.struct(F.min("total").alias("low"), F.max("total").alias("high"))
                        .alias("bounds")).scalar()
     kind, node = F.col("first.type"), F.col("node")

@@ -99,19 +99,27 @@ def touched_places(access: DataFrame) -> DataFrame:
     return access.select("query_id", F.array_distinct(places).alias("places"))
 
 
-def accesses(queries: DataFrame, access: DataFrame) -> DataFrame:
-    """One row per query and place.
+def place_rows(queries: DataFrame, access: DataFrame) -> DataFrame:
+    """One row per query, access record and place.
 
-    ``queries`` comes from :func:`query_rows`.  Both sides are shuffled once, on
-    the query id; the de-duplication that follows finds its rows in place.  An
-    array that is NULL or empty leaves no row.  (The outer form of the explosion
-    spares the size check, and with it a second evaluation of the array, that
-    the optimizer adds to the inner form.)
+    ``queries`` comes from :func:`query_rows`.  An array that is NULL or empty
+    leaves no row.  (The outer form of the explosion spares the size check, and
+    with it a second evaluation of the array, that the optimizer adds to the
+    inner form.)
     """
     kept = [c for c in queries.columns if c != "query_id"]
     joined = queries.join(touched_places(access), "query_id")
     exploded = joined.select("query_id", *kept, F.explode_outer("places").alias("place"))
-    return exploded.filter(F.col("place").isNotNull()).distinct()
+    return exploded.filter(F.col("place").isNotNull())
+
+
+def accesses(queries: DataFrame, access: DataFrame) -> DataFrame:
+    """One row per query and place.
+
+    Both sides are shuffled once, on the query id; the de-duplication finds its
+    rows in place.
+    """
+    return place_rows(queries, access).distinct()
 
 
 def session_counts(queries: DataFrame, access: DataFrame) -> DataFrame:

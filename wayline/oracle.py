@@ -525,6 +525,7 @@ GROUP BY ALL""",
 SELECT CAST(start_time AS DATE) AS day, client, warehouse, database, schema_name, direction,
   count(DISTINCT query_id) AS access_count FROM resolved GROUP BY ALL""",
     }
+    found["stream_query_log"] = found["stream_route_counts"]
     for name, column in (("client", "CLIENT"), ("database", "DATABASE"),
                          ("schema", "SCHEMA_NAME"), ("warehouse", "WAREHOUSE"),
                          ("direction", "DIRECTION")):

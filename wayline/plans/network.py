@@ -62,9 +62,9 @@ class Network:
     def paths(self) -> DataFrame:
         return graph.path_vectors(self.numbered, self.view)
 
-    @property
+    @cached_property
     def members(self) -> DataFrame:
-        return graph.layer_members(self.nodes)
+        return settle(graph.layer_members(self.nodes), "members")
 
     @property
     def contracted_edges(self) -> DataFrame:

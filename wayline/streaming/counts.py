@@ -8,20 +8,38 @@ from pyspark.sql import functions as F
 from wayline.context import JobContext
 from wayline.functions.clock import wall_clock, wall_date
 from wayline.operators.classify import classify, with_clients
-from wayline.operators.resolve import accesses, query_rows, session_rows, with_names
+from wayline.operators.resolve import (
+    accesses, place_rows, pruned, query_rows, session_rows, with_names,
+)
 from wayline.plans.refresh import ROUTE_KEYS, AuditLogs
 
 ACCESS_COLUMNS = ["query_id", "start_time", *ROUTE_KEYS]
 DAY_KEYS = ["day", *ROUTE_KEYS]
 
 
+def named_sessions(sessions: DataFrame, rules: DataFrame) -> DataFrame:
+    """``session_id, client``; settle it before it is joined to a stream."""
+    real = session_rows(sessions)
+    return with_clients(real, classify(real, rules))
+
+
 def resolved_accesses(logs: AuditLogs, rules: DataFrame, ctx: JobContext) -> DataFrame:
     """One row per query and schema with the client's name: what a stream carries."""
     queries = query_rows(logs.queries, ctx.since, [F.col("start_time")])
-    sessions = session_rows(logs.sessions)
-    named = with_clients(sessions, classify(sessions, rules))
-    found = accesses(queries, logs.access).join(named, "session_id")
-    return with_names(found).select(*ACCESS_COLUMNS)
+    found = accesses(queries, pruned(logs.access, ctx.since))
+    named = named_sessions(logs.sessions, rules)
+    return with_names(found.join(named, "session_id")).select(*ACCESS_COLUMNS)
+
+
+def streamed_accesses(queries: DataFrame, access: DataFrame, named: DataFrame) -> DataFrame:
+    """The same from a stream of queries, joined to what is known of the rest.
+
+    The joins keep no state.  Every micro-batch reads ``access`` and ``named``,
+    so they should hold no more than the days the stream can still bring.
+    Repeats are left to :func:`daily_counts`.
+    """
+    found = place_rows(query_rows(queries, extra=[F.col("start_time")]), access)
+    return with_names(found.join(named, "session_id")).select(*ACCESS_COLUMNS)
 
 
 def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -42,9 +60,10 @@ def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return counted.select(wall_date(F.col("w.start")).alias("day"), *ROUTE_KEYS, "access_count")
 
 
-def access_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
-    """Stream of resolved accesses from a folder of Parquet files."""
-    return spark.readStream.schema(like.schema).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, like: DataFrame,
+                names: str = "*.parquet") -> DataFrame:
+    """Stream of the Parquet files in a folder whose names fit, with the columns of ``like``."""
+    return spark.readStream.schema(like.schema).option("pathGlobFilter", names).parquet(folder)
 
 
 def run_daily_counts(stream: DataFrame, changes: str, checkpoint: str,
