@@ -187,8 +187,6 @@ def test_places_are_reduced_in_the_row(spark):
 
 def test_hot_query_is_split(spark, conf, tmp_path):
     """A third of all access records belong to one query: the join splits it."""
-    from wayline.session import allow_skew_split
-    allow_skew_split(spark)
     conf(spark__sql__autoBroadcastJoinThreshold="-1",
          spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="40KB",
          spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayline.functions.text import filled
+
 # Fixed value: the badge image.  {hue} and {letters} are filled in per client.
 BADGE_SVG = (
     '<svg xmlns="http://www.w3.org/2000/svg" width="128" height="128" viewBox="0 0 128 128">'
@@ -35,9 +37,7 @@ def abbreviation(name: Column, listed: Column | None = None) -> Column:
 
 def badge_uri(hue_col: Column, letters: Column) -> Column:
     """Badge as a data URI.  Spark's base64 wraps its lines, so they are joined."""
-    head, rest = BADGE_SVG.split("{hue}")
-    middle, tail = rest.split("{letters}")
-    svg = F.concat(F.lit(head), hue_col.cast("string"), F.lit(middle), letters, F.lit(tail))
+    svg = filled(BADGE_SVG, hue=hue_col, letters=letters)
     return F.concat(
         F.lit(URI_PREFIX), F.regexp_replace(F.base64(F.encode(svg, "UTF-8")), r"[\r\n]", "")
     )

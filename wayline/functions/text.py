@@ -1,12 +1,40 @@
-"""Summary texts of nodes and edges."""
+"""Texts with values filled in: summaries of nodes and edges."""
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the line between the parts of a node summary.
-RULE = "───────────────────"
+# The summaries of nodes, their neighbours and edges.
+NODE_SUMMARY = """\
+{kind}: {node}
+Organization: {org}
+Account: {account}
+───────────────────
+Total Access: {total}
+  Read:  {read}
+  Write: {write}
+───────────────────
+Top Connections:"""
+NEIGHBOUR_LINE = "  {name}: {weight}"
+EDGE_SUMMARY = """\
+{src} {arrow} {dst}
+Direction: {mode}
+Access Count: {value}"""
+ONE_WAY, BOTH_WAYS = "→", "↔"
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with each ``{name}`` replaced by a column; NULL leaves nothing."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
 
 
 def thousands(number: Column) -> Column:
@@ -15,33 +43,18 @@ def thousands(number: Column) -> Column:
 
 
 def neighbour_line(name: Column, weight: Column) -> Column:
-    return F.concat(F.lit("  "), name, F.lit(": "), thousands(weight))
+    return filled(NEIGHBOUR_LINE, name=name, weight=thousands(weight))
 
 
 def node_text(kind: Column, node: Column, org: Column, account: Column,
               total: Column, read: Column, write: Column, *neighbours: Column) -> Column:
     """Multi-line summary; absent neighbours leave no line behind."""
-    lines = F.concat_ws(
-        "\n",
-        F.concat(kind, F.lit(": "), node),
-        F.concat(F.lit("Organization: "), org),
-        F.concat(F.lit("Account: "), account),
-        F.lit(RULE),
-        F.concat(F.lit("Total Access: "), thousands(total)),
-        F.concat(F.lit("  Read:  "), thousands(read)),
-        F.concat(F.lit("  Write: "), thousands(write)),
-        F.lit(RULE),
-        F.lit("Top Connections:"),
-        *neighbours,
-    )
-    return F.rtrim(lines)
+    head = filled(NODE_SUMMARY, kind=kind, node=node, org=org, account=account,
+                  total=thousands(total), read=thousands(read), write=thousands(write))
+    return F.rtrim(F.concat_ws("\n", head, *neighbours))
 
 
 def edge_text(src: Column, dst: Column, mode: Column, value: Column) -> Column:
-    """``src → dst`` or, for a combined edge, ``src ↔ dst``, with mode and count."""
-    arrow = F.when(mode == "ALL", " ↔ ").otherwise(" → ")
-    return F.concat(
-        src, arrow, dst,
-        F.lit("\nDirection: "), mode,
-        F.lit("\nAccess Count: "), thousands(value),
-    )
+    """Ends, mode and count; a combined edge points both ways."""
+    arrow = F.when(mode == "ALL", BOTH_WAYS).otherwise(ONE_WAY)
+    return filled(EDGE_SUMMARY, src=src, arrow=arrow, dst=dst, mode=mode, value=thousands(value))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.direction import statement_direction
 from wayline.functions.names import database_of, qualified_schema_of
+from wayline.session import allow_skew_split
 
 # What the audit logs hold besides data access.
 NOISE_TYPES = ("CALL", "BEGIN_TRANSACTION", "COMMIT", "ROLLBACK", "SET", "UNSET", "USE")
@@ -107,6 +108,7 @@ def place_rows(queries: DataFrame, access: DataFrame) -> DataFrame:
     with it a second evaluation of the array, that the optimizer adds to the
     inner form.)
     """
+    allow_skew_split(queries.sparkSession)
     kept = [c for c in queries.columns if c != "query_id"]
     joined = queries.join(touched_places(access), "query_id")
     exploded = joined.select("query_id", *kept, F.explode_outer("places").alias("place"))

@@ -7,7 +7,7 @@ avoids a global order, so that the two sides can disagree.
 from __future__ import annotations
 
 from wayline.functions.badges import BADGE_SVG, URI_PREFIX
-from wayline.functions.text import RULE
+from wayline.functions.text import NODE_SUMMARY
 from wayline.operators.rules import STARTER_RULES
 from wayline.sources import derived as d
 
@@ -391,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
   || chr(10) || '{rule}' || chr(10) || 'Top Connections:' || coalesce((
     SELECT string_agg(chr(10) || '  ' || neighbour || ': ' || format('{n}', cnt), '' ORDER BY rk)
     FROM top3 WHERE top3.node = nodes.id), '') AS text FROM nodes""".replace(
-        "{rule}", RULE).replace("{n}", "{:,}")
+        "{rule}", NODE_SUMMARY.splitlines()[3]).replace("{n}", "{:,}")
 
     found = {
         "object_decompose": "WITH " + raw() + """

@@ -13,7 +13,6 @@ from wayline import schema
 from wayline.context import JobContext
 from wayline.operators.classify import classify, with_clients
 from wayline.operators.resolve import pruned, query_rows, session_counts, session_rows, with_names
-from wayline.session import allow_skew_split
 
 ROUTE_KEYS = ["client", "warehouse", "database", "schema_name", "direction"]
 
@@ -39,7 +38,6 @@ def route_counts(logs: AuditLogs, rules: DataFrame, since: dt.datetime | None =
     over sessions and pairs.  The counts are therefore taken first, per session,
     then per pair, and the pairs are named last, when few rows are left.
     """
-    allow_skew_split(logs.queries.sparkSession)
     queries = query_rows(logs.queries, since, extra)
     sessions = session_rows(logs.sessions)
     per_session = session_counts(queries, pruned(logs.access, since))
