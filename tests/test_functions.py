@@ -111,3 +111,18 @@ def test_texts(spark):
     assert one.select(edge).first()[0] == "a ↔ b\nDirection: ALL\nAccess Count: 1,234,567"
     edge = fn.edge_text(F.lit("a"), F.lit("b"), F.lit("READ"), F.lit(1))
     assert one.select(edge).first()[0].startswith("a → b\n")
+
+
+def test_places_keep_database_and_schema(spark):
+    """Going over a place loses nothing that the name said about both."""
+    import itertools
+
+    from wayline.operators.resolve import place_of, with_names
+    names = ["".join(p) for n in range(6) for p in itertools.product("A.b", repeat=n)]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    name = F.col("name")
+    got = with_names(df.select(name, place_of(name).alias("place"),
+                               fn.database_of(name).alias("d"), fn.qualified_schema_of(name).alias("s")))
+    assert got.filter("NOT (database <=> d AND schema_name <=> s)").count() == 0
+    # One place per database and schema.
+    assert df.select(place_of(name)).distinct().count() == got.select("d", "s").distinct().count()
