@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators.bounded import has_at_most, lookup_join, text_bytes
 from wayline.operators.prefix import prefix_scan
+from wayline.session import spread
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,13 @@ def test_prefix_scan_of_nothing(numbers):
         assert prefix_scan(empty, [F.asc("id")], "pos", one_partition_rows=limit).count() == 0
 
 
+def test_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores)
+    assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 100
+    assert spread(many) is many
+
+
 def test_sizes(spark, numbers):
     assert has_at_most(numbers, 2000) and not has_at_most(numbers, 1999)
     assert text_bytes(numbers.limit(0)) == 0

@@ -60,3 +60,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if its files split into fewer parts than that.
+
+    One big row group or a file that cannot be split would otherwise keep a
+    single core busy with everything up to the first shuffle.  A scan with as
+    many parts as cores, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wayline.context import JobContext
 from wayline.plans.refresh import AuditLogs
+from wayline.session import spread
 
 AS_OF = dt.date(2001, 8, 1)
 RECENT = JobContext("LOCAL_ORG", "LOCAL_ACCOUNT", AS_OF, 30)
@@ -109,7 +110,8 @@ def access(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     Gathering a query's objects into one array would put an unbounded group
     into one row if an order had very many lines.
     """
-    named = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(lineitem.select("l_orderkey", "l_partkey"))
+    named = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return named.select(
         F.col("l_orderkey").alias("query_id"),
         F.array(F.struct(F.expr(OBJECT).alias("objectName"))).alias("direct_objects_accessed"),
@@ -127,7 +129,7 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> AuditLogs:
 def direct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route frame with NULL clients and feature labels, as a loaded snapshot has."""
     rows = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
