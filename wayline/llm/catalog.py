@@ -6,23 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import exact
+from wayline.llm import exact, quality
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_js_quality": op2_js_quality,
         "op7_exact_groups": op7_exact_groups,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_js_quality": quality.ORACLE,
         "op7_exact_groups": exact.ORACLE,
     }
