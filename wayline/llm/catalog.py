@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import exact, quality
+from wayline.llm import bpe, exact, packing, quality
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,14 +16,24 @@ def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_js_quality": op2_js_quality,
+        "op6_concat_cut": op6_concat_cut,
         "op7_exact_groups": op7_exact_groups,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
