@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, exact, packing, quality
+from wayline.llm import bpe, exact, extract, packing, quality, warc
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_js_quality": op2_js_quality,
+        "op4_text_density": op4_text_density,
+        "op5_warc_segments": op5_warc_segments,
         "op6_concat_cut": op6_concat_cut,
         "op7_exact_groups": op7_exact_groups,
         "op10_byte_bpe": op10_byte_bpe,
@@ -40,5 +50,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_js_quality": quality.ORACLE,
+        "op5_warc_segments": warc.ORACLE,
         "op7_exact_groups": exact.ORACLE,
     }
