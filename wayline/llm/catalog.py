@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, exact, extract, packing, quality, warc
+from wayline.llm import bpe, exact, extract, packing, quality, simhash, warc
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_js_quality": op2_js_quality,
+        "op3_gray_simhash": op3_gray_simhash,
         "op4_text_density": op4_text_density,
         "op5_warc_segments": op5_warc_segments,
         "op6_concat_cut": op6_concat_cut,
