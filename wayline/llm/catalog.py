@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, exact, extract, packing, quality, simhash, warc
+from wayline.llm import bpe, exact, extract, packing, pii, quality, simhash, warc
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_feistel_pii": op1_feistel_pii,
         "op2_js_quality": op2_js_quality,
         "op3_gray_simhash": op3_gray_simhash,
         "op4_text_density": op4_text_density,
