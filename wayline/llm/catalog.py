@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, exact, extract, lm, packing, pii, quality, simhash, warc
+from wayline.llm import bpe, exact, extract, lm, packing, pii, quality, simhash, spans, warc
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op5_warc_segments": op5_warc_segments,
         "op6_concat_cut": op6_concat_cut,
         "op7_exact_groups": op7_exact_groups,
+        "op8_sentence_spans": op8_sentence_spans,
         "op9_log_bilinear": op9_log_bilinear,
         "op10_byte_bpe": op10_byte_bpe,
     }

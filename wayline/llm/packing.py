@@ -10,6 +10,9 @@ window borders.  Only the last window is padded.  No tokens are shuffled.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,7 +28,7 @@ from wayline.session import settle
 SEQUENCE = 4096
 END_ID = 2
 #: Words whose tokens a Python worker remembers, and how long such a word may be.
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+CACHED_WORDS, CACHED_CHARS = 700_000, 64
 
 TOKENS = "doc_id long, part long, start_in_part long, n long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -38,34 +41,70 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@cache
-def _encoder(path: str):
-    """Text to token ids.  Words are looked up one by one: this vocabulary drops
-    white space and never joins what it separates, so a text's tokens are those
-    of its words in turn; ``test_words_alone_give_the_tokens`` holds that to the library."""
-    from tokenizers import Tokenizer
+#: Letters, then ASCII marks other than the apostrophe: each part is one piece to the tokenizer.
+SIMPLE = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in this kind of vocabulary: printable ones for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+class WordEncoder:
+    """Text to token ids, word by word.
 
-    def learn(unknown: list[bytes]) -> dict[bytes, bytes]:
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown],
-                                            add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(unknown, found, strict=True)}
+    This vocabulary drops white space and never joins what it separates, so a
+    text's tokens are those of its words in turn; ``test_words_alone_give_the_tokens``
+    holds that to the library.  Simple words go to the merges at once; words
+    met first, which are the frequent ones, are remembered.
+    """
 
-    def encode(text: bytes) -> bytes:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.known: dict[bytes, bytes] = {}
+
+    def _lower(self, word: str) -> str | None:
+        """Small letters as the vocabulary writes them; None if that takes the library."""
+        if word.isascii():
+            return word.lower()
+        lower = "".join(map(str.lower, word))
+        if not (lower.isalpha() and unicodedata.is_normalized("NFC", word)):
+            return None
+        return lower.encode().decode("latin-1").translate(self.letters)
+
+    def learn(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        match = SIMPLE.fullmatch(text)
+        lower = self._lower(match[1]) if match else None
+        if lower is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.merge(lower)] if lower else []
+            if match[2]:
+                ids += [t.id for t in self.merge(match[2])]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, text: bytes) -> bytes:
         words = text.split()  # splits at space and \x09-\x0D
-        unknown = list({w for w in words if w not in known})
-        if not unknown:
+        known = self.known
+        new = set(words).difference(known)
+        if not new:
             return b"".join(map(known.__getitem__, words))
-        if len(known) + len(unknown) > CACHED_WORDS:
-            known.clear()
-        new = learn(unknown)
-        known.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_CHARS)
-        return b"".join([new[w] if w in new else known[w] if w in known else learn([w])[w]
-                         for w in words])
-
-    return encode
+        learnt = {w: self.learn(w) for w in new}
+        if len(known) < CACHED_WORDS:
+            known.update((w, ids) for w, ids in learnt.items() if len(w) <= CACHED_CHARS)
+        return b"".join([learnt[w] if w in learnt else known[w] for w in words])
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
