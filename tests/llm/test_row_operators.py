@@ -1,0 +1,197 @@
+"""Operators that take rows one by one: quality, personal data, extraction, BPE."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from wayline.llm import bpe, extract, pii, quality
+
+ODD_TEXTS = [None, "", " \t\n", "a", "x " * 40_000, "ab" * 60_000, "é中\U0001f600 z", "a\nb\na\n\n"]
+
+
+def odd_documents(spark):
+    """Nulls everywhere, repeated rows, a very long text, and columns with clashing names."""
+    rows = [(i, t, "en", "s", 1, True, 5) for i, t in enumerate(ODD_TEXTS)]
+    rows += [rows[3], (None, "no id here", None, None, None, None, None), (3, None, None, None, None, False, 1)]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, rid int")
+
+
+def windows_by_hand(words, size=5):
+    places = {}
+    for i in range(len(words) - size + 1):
+        places.setdefault(tuple(words[i:i + size]), []).append(i)
+    return len({i + k for p in places.values() if len(p) > 1 for i in p for k in range(size)})
+
+
+@pytest.mark.parametrize("n", [0, 4, 5, 6, 30, 200])
+def test_repeated_words(spark, n):
+    rng = random.Random(n)
+    lists = [[rng.choice("ab" if k % 2 else "abcdef") for _ in range(n)] for k in range(20)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, w array<string>")
+    got = dict(df.select("k", quality.repeated_words(F.col("w"))).collect())
+    assert got == {k: windows_by_hand(x) for k, x in enumerate(lists)}
+
+
+def test_quality_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    rows = quality.quality(docs).collect()
+    assert len(rows) == docs.count()
+    assert all(r.base_failed and not r.kept for r in rows if r.n_words < 10)
+    assert {r.n_words for r in rows if r.doc_id == 4} == {40_000}
+    assert quality.good_documents(docs).columns == docs.columns
+    assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_quality_tells_prose_from_junk(spark):
+    prose = ("The house of the king is in the land that was given to the people, and a road leads on to it. "
+             "It was built for the people of the land and is a place in the sun that the king likes. ")
+    prose = " ".join(f"{prose}{w}" for w in ("Hills", "Rivers", "Forests"))
+    junk = {1: prose, 2: re.sub(r"(\w)(\s)", r"\1###$$$\2", prose), 3: prose.upper(),
+            4: " | ".join(f"cell{k}x row{k}y" for k in range(80))}
+    df = spark.createDataFrame([(k, t, "en") for k, t in junk.items()], "doc_id long, text string, lang string")
+    judged = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert judged[1].char_distance < 0.12 < judged[2].char_distance
+    assert judged[3].char_distance > 0.5 and judged[4].word_distance > 0.35 > judged[1].word_distance
+
+
+# --- personal data -----------------------------------------------------------
+
+
+def pseudonyms(spark, *texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+
+
+def luhn(digits):
+    values = [int(c) for c in reversed(digits)]
+    return sum(v if k % 2 == 0 else sum(divmod(2 * v, 10)) for k, v in enumerate(values)) % 10 == 0
+
+
+def test_feistel_is_a_permutation_and_can_be_undone(spark):
+    a, b = F.lit(7).cast("long"), F.lit(11).cast("long")
+    df = spark.range(77).withColumn("v", pii.feistel(F.col("id"), a, b, F.lit("t")))
+    df = df.withColumn("w", pii.feistel(F.col("v"), a, b, F.lit("t"), back=True))
+    rows = df.collect()
+    assert {r.v for r in rows} == set(range(77)) and all(r.w == r.id for r in rows)
+    other = spark.range(77).select(pii.feistel(F.col("id"), a, b, F.lit("t"), "other key")).collect()
+    assert [r[0] for r in other] != [r.v for r in rows]
+
+
+def test_formats_stay_and_equal_values_stay_linked(spark):
+    got = pseudonyms(
+        spark, "card 4111 1111 1111 1111 end", "again 4111111111111111", "call +1 (415) 555-7713 now",
+        "at 10.20.30.40, v", "born 1999-12-31 or 31/12/1999", "write to jo.x@mail.example.com.",
+        'token = "0123456789abcdef"', "iban DE89 3704 0044 0532 0130 00", "ssn 123-45-6789")
+    card = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) end", got[0].text)[1].replace(" ", "")
+    assert luhn(card) and card != "4111111111111111" and got[1].text == f"again {card}"
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", got[2].text) and "7713" not in got[2].text
+    octets = re.fullmatch(r"at (\d+)\.(\d+)\.(\d+)\.(\d+), v", got[3].text).groups()
+    assert all(int(x) < 256 for x in octets)
+    year, month, day = re.match(r"born (\d{4})-(\d\d)-(\d\d) or", got[4].text).groups()
+    assert got[4].text.endswith(f"{day}/{month}/{year}")  # one date, two formats
+    assert "jo.x" not in got[5].text and got[5].text.endswith(".example.")
+    assert re.fullmatch(r'token = "[0-9a-f]{16}"', got[6].text) and "0123456789abcdef" not in got[6].text
+    iban = re.fullmatch(r"iban (DE\d\d(?: \d{4}){4} \d\d)", got[7].text)[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", got[8].text) and "6789" not in got[8].text
+    assert [got[k].n_replaced for k in range(9)] == [1, 1, 1, 1, 2, 1, 1, 1, 1]
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = ["4111 1111 1111 1112", "999.1.1.1", "1.2.3.4.5", "2023-02-30", "000-12-3456",
+             "DE00 3704 0044 0532 0130 00", "plain 12 words 1234", "a@b", None, ""]
+    got = pseudonyms(spark, *texts)
+    assert {k: r.text for k, r in got.items()} == dict(enumerate(texts))
+    assert all(r.n_replaced == 0 for r in got.values())
+
+
+def test_private_documents_keep_their_columns(spark):
+    docs = odd_documents(spark)
+    got = pii.private_documents(docs)
+    assert got.columns == docs.columns and got.count() == docs.count()
+    assert sorted(map(repr, got.select("doc_id", "text", "rid").collect())) == sorted(
+        map(repr, docs.select("doc_id", "text", "rid").collect()))
+    assert pii.private_documents(docs.limit(0)).count() == 0
+
+
+# --- extraction --------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head>
+<body><header><h1>Site name</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><div id="sidebar"><p>Other things to read, many of them</p></div>
+%s<form><input value=q><label>Search</label></form>
+<section class="comments"><h3>Comments</h3><p>A long reader comment, with many words in it, as long as the text.</p>
+</section><footer>&copy; me</footer></body></html>"""
+
+
+def test_article_alone_is_left():
+    article = ("<article><h1>Head &amp;\n line</h1><p>First <b>bold</b> <a href=x>link</a> text<br>goes on"
+               "<p>Second\tparagraph &eacute;.<ul><li>one<li>two</ul></article>")
+    assert extract.main_text(PAGE % article) == (
+        "Head & line\nFirst bold link text goes on\nSecond paragraph é.\none\ntwo")
+
+
+def test_densest_part_is_found_without_an_article_element():
+    body = ('<div class="wrap"><div class="links">' + "<a href=x>elsewhere</a> " * 20 + '</div><div class="story">'
+            "<h2>A story</h2><p>" + "Words that tell the story. " * 9 + "</p><p>" + "More of these. " * 9
+            + "</p></div></div>")
+    got = extract.main_text(PAGE % body)
+    assert got.startswith("A story\nWords that") and "elsewhere" not in got and "Comments" not in got
+
+
+@pytest.mark.parametrize("html,text", [
+    ("", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<div>" * 5000 + "x", "x"),
+    ("<p>&lt;b&gt; &#233;&nbsp;x</p>", "<b> é x"), ("<nav>a</nav>", ""), ("<p>open <b", "open")])
+def test_odd_pages(html, text):
+    assert extract.main_text(html) == text
+
+
+def test_every_page_gives_a_row(spark):
+    rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, None), (2, "v", "", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(map(tuple, extract.extracted(pages).collect()), key=repr)
+    assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0)], key=repr)
+
+
+# --- byte-level BPE ----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def coders():
+    tiktoken = pytest.importorskip("tiktoken")
+    coder = bpe.Bpe.from_file(bpe.ranks_path(), bpe.split_pattern())
+    return coder, tiktoken.Encoding("own", pat_str=bpe.split_pattern(), mergeable_ranks=coder.ranks,
+                                    special_tokens={})
+
+
+def test_ids_equal_the_library(coders):
+    coder, library = coders
+    rng = random.Random(5)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "aaaa ", "the and ing er", "éèüß ", "01239 -.#\n\t",
+                              "中文\U0001f600\x00\x1c\x85　x", "don't 've'll"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        ids = coder.encode(text)
+        assert ids == library.encode_ordinary(text)
+        assert coder.decode(ids).decode() == text
+
+
+def test_long_pieces_take_linear_time(coders):
+    coder, library = coders
+    rng = random.Random(6)
+    for text in ("a" * 30_000, "".join(rng.choice("abcdefghij") for _ in range(30_000))):
+        assert coder.encode(text) == library.encode_ordinary(text)
+
+
+def test_coded_digests(spark, coders):
+    docs = odd_documents(spark)
+    got = sorted((r.doc_id, r.n_tokens) for r in bpe.coded_digests(docs).collect() if r.doc_id is not None)
+    want = sorted((r.doc_id, len(coders[1].encode_ordinary(r.text or ""))) for r in docs.collect()
+                  if r.doc_id is not None)
+    assert got == want
+    back = bpe.decoded(bpe.encoded(docs)).collect()
+    assert sorted(bytes(r["data"]) for r in back) == sorted((r.text or "").encode() for r in docs.collect())
+    assert bpe.coded_digests(docs.limit(0)).count() == 0

@@ -42,6 +42,8 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notification popup overlay modal promo promotion sponsor sponsored "
     "comment comments commentlist disqus respond replies share sharing social related recommended breadcrumb "
     "breadcrumbs newsletter subscribe subscription login signup search pagination pager toolbar widget".split())
+#: A tag that the end of the page cuts short.
+CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -139,7 +141,7 @@ def densities(tags, parents, chars, links) -> list[float]:
 def main_text(html: str) -> str:
     """The article's blocks, one per line; empty if the page has no text."""
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(CUT_TAG.sub("", html))
     tree.close()
     tags, parents = tree.tags, tree.parents
     n = len(tags)
