@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from wayline.functions.badges import BADGE_SVG, URI_PREFIX
 from wayline.functions.text import NODE_SUMMARY
-from wayline.operators.rules import STARTER_RULES
 from wayline.sources import derived as d
 
 DIMS = ["DATABASE", "SCHEMA_NAME", "WAREHOUSE", "CLIENT", "DIRECTION"]
@@ -23,9 +22,10 @@ def _values(rows) -> str:
 
 
 RULES = """rules AS (SELECT CAST(priority AS BIGINT) AS priority, pattern, source_field, display_name
-  FROM (VALUES """ + _values([(i, *rule) for i, rule in enumerate(STARTER_RULES)]) + """)
+  FROM (VALUES """ + _values([(i, *rule) for i, rule in enumerate(d.RULES)]) + """)
     v(priority, pattern, source_field, display_name))"""
 
+# What each statement type does (see ``functions.direction``).
 DIRECTION_CASE = """
 CASE WHEN query_type LIKE 'CREATE%' OR query_type LIKE 'ALTER%' OR query_type LIKE 'DROP%'
        OR query_type LIKE 'TRUNCATE%' OR query_type LIKE 'RENAME%' OR query_type LIKE 'UNDROP%'
@@ -36,18 +36,30 @@ CASE WHEN query_type LIKE 'CREATE%' OR query_type LIKE 'ALTER%' OR query_type LI
 """
 
 
-def raw(since: str | None = None) -> str:
-    """Accessed objects after the noise filters, one row each."""
-    when = f"AND start_time > TIMESTAMP '{since}'" if since else ""
-    return f"""
+SESSIONS = f"""
 sessions AS (
   SELECT c_custkey AS session_id, {d.CLIENT_ID} AS client_app_id,
-    json_extract_string({d.ENVIRONMENT}, '$.APPLICATION') AS application FROM customer),
+    json_extract_string({d.ENVIRONMENT}, '$.APPLICATION') AS application FROM customer)"""
+
+#: Sessions twice, and a third of them with a second pair.
+REPEATED = SESSIONS.replace("sessions AS", "once AS") + """,
+sessions AS (
+  SELECT * FROM once UNION ALL SELECT * FROM once WHERE session_id % 2 = 0
+  UNION ALL SELECT session_id, client_app_id,
+    CASE WHEN session_id % 2 = 0 THEN 'Quillboard Server' ELSE 'acme_tool' END
+  FROM once WHERE session_id % 3 = 0)"""
+
+
+def raw(since: str | None = None, sessions: str = SESSIONS) -> str:
+    """Accessed objects after the noise filters, one row each."""
+    when = f"AND start_time > TIMESTAMP '{since}'" if since else ""
+    # Fixed values below: what the noise filters leave out (see ``operators.resolve``).
+    return f"""{sessions},
 history AS (
-  SELECT o_orderkey AS query_id, o_custkey AS session_id, {d.WAREHOUSE} AS warehouse,
+  SELECT o_orderkey AS query_id, o_custkey AS session_id, {d.QUERY_WAREHOUSE} AS warehouse,
     {d.QUERY_TYPE} AS query_type, o_orderdate AS start_time FROM orders),
 objects AS (
-  SELECT l_orderkey AS query_id, {d.OBJECT} AS name
+  SELECT l_orderkey AS query_id, unnest({d.objects("list_value")}) AS name
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 raw AS MATERIALIZED (
   SELECT client_app_id, application, warehouse, query_type, history.query_id, start_time,
@@ -362,6 +374,10 @@ def _badge(hue: str, letters: str) -> str:
             f"'{middle}' || {letters} || '{tail}'))")
 
 
+NO_FEATURES = "features AS (SELECT NULL AS client WHERE false),"
+FEATURES = """features AS (
+  SELECT DISTINCT regexp_extract("CLIENT", '\\(([^)]+)\\)', 1) AS client FROM labelled
+  WHERE "CLIENT" LIKE 'Web App (%'),"""
 CLIENTS = f"""
 names AS (SELECT DISTINCT "CLIENT" AS client FROM clean),
 listed AS (SELECT {", ".join(f"{t} AS {n}" for n, t in d.LISTED.items())} FROM part),
@@ -369,7 +385,7 @@ marked AS (
   SELECT names.client, coalesce(listed.abbreviation, {_letters("names.client")}) AS abbreviation,
     {_hue("names.client")} AS hue,
     coalesce(listed.icon, CASE WHEN names.client LIKE 'Web%'
-      THEN (SELECT icon FROM listed WHERE client = 'Web') END) AS icon
+      OR names.client IN (SELECT client FROM features) THEN (SELECT icon FROM listed WHERE client = 'Web') END) AS icon
   FROM names LEFT JOIN listed ON listed.client = names.client)
 SELECT client, abbreviation, hue, icon, {_badge("hue", "abbreviation")} AS badge FROM marked"""
 
@@ -410,6 +426,36 @@ SELECT p.client_app_id, p.application, r.priority, r.display_name FROM pairs p L
 SELECT client_app_id, application, client FROM named""",
         "refresh_routes": on_snapshot(snapshot_columns, RECENT_SINCE),
         "refresh_routes_all": on_snapshot(snapshot_columns),
+        "refresh_repeated_sessions": "WITH " + ",".join(
+            [raw(ALL_SINCE, REPEATED), NAMED, RESOLVED, SNAPSHOT]) + snapshot_columns,
+        "refresh_text_ids": on_snapshot(snapshot_columns, RECENT_SINCE),
+        "refresh_partitioned_logs": on_snapshot(snapshot_columns, RECENT_SINCE),
+        "refresh_row_count": on_snapshot("""
+SELECT count(*) AS rows, 'Route snapshot refreshed. Rows: ' || CAST(count(*) AS VARCHAR) AS message
+FROM snapshot""", RECENT_SINCE),
+        "old_table_evolved": on_snapshot("""
+SELECT organization_name, CAST(NULL AS VARCHAR) AS account_id, client, warehouse, database,
+  schema_name, direction, access_count FROM snapshot""", RECENT_SINCE),
+        "rules_saved": f"""
+WITH {PART_RULES} SELECT * FROM part_rules WHERE pattern <> '' AND display_name <> ''
+  AND source_field IN ('client_app_id', 'application') AND priority BETWEEN 0 AND 998
+  AND NOT contains(pattern, chr(92))""",
+        "rules_ordered": f"""
+WITH {PART_RULES} SELECT *, row_number() OVER (ORDER BY priority, pattern NULLS FIRST, source_field,
+  display_name) - 1 AS place FROM part_rules""",
+        "group_by_ranked": on_routes(f"""
+SELECT *, row_number() OVER (ORDER BY "ACCESS_COUNT" DESC, "CLIENT", "DATABASE") - 1 AS place FROM (
+  SELECT "CLIENT", "DATABASE", {_sum()} FROM clean GROUP BY 1, 2)"""),
+        "treemap_order": on_routes(f"""
+SELECT level, id, value, row_number() OVER (ORDER BY level, CASE WHEN level = 1 THEN -value END, id)
+  - 1 AS place FROM ({treemap(["CLIENT", "DATABASE", "SCHEMA_NAME", "DIRECTION"])})"""),
+        "heatmap_pivot": on_routes("""
+SELECT "row", CAST(coalesce(sum(value) FILTER (col = 'read'), 0) AS BIGINT) AS "read",
+  CAST(coalesce(sum(value) FILTER (col = 'write'), 0) AS BIGINT) AS "write",
+  CAST(coalesce(sum(value) FILTER (col = 'DDL'), 0) AS BIGINT) AS "DDL",
+  CAST(coalesce(sum(value) FILTER (col = 'metadata'), 0) AS BIGINT) AS "metadata"
+FROM matrix GROUP BY "row" """, "cells AS" + heatmap("CLIENT", "DIRECTION").split("cells AS", 1)[1]
+            .replace('SELECT rows_.r AS "row"', ', matrix AS (SELECT rows_.r AS "row"', 1) + ")"),
         "snapshot_reload": on_snapshot("""
 SELECT database AS "DATABASE", schema_name AS "SCHEMA_NAME", warehouse AS "WAREHOUSE",
   client AS "CLIENT", direction AS "DIRECTION", organization_name AS "ORGANIZATION_NAME",
@@ -419,14 +465,14 @@ SELECT database AS "DATABASE", schema_name AS "SCHEMA_NAME", warehouse AS "WAREH
         "web_feature_relabel": on_direct(f"""
 SELECT "CLIENT", {_sum()} FROM clean GROUP BY 1"""),
         "filter_dims": on_routes("""
-SELECT * FROM clean WHERE "ACCESS_COUNT" > 0 AND "CLIENT" IN ('dbt', 'Go', 'Tableau')
+SELECT * FROM clean WHERE "ACCESS_COUNT" > 0 AND "CLIENT" IN ('Loom', 'Pi', 'Quillboard')
   AND "WAREHOUSE" IN ('WH_1', 'WH_3') AND "SCHEMA_NAME" IN ('SANDBOX_DB.S1', 'RAW_ERP_DB.S2')"""),
         "filter_threshold": on_routes(' SELECT * FROM clean WHERE "ACCESS_COUNT" > 10'),
         "filter_org_regex": on_direct("""
 SELECT * FROM clean WHERE regexp_matches("ORGANIZATION_NAME", '(BUILD|MACH)')"""),
         "filter_combined": on_direct("""
 SELECT * FROM clean WHERE "ACCESS_COUNT" > 2 AND "DATABASE" IN ('PROMO_DB', 'SMALL_DB')
-  AND "WAREHOUSE" IN ('WH_1', 'WH_2') AND "CLIENT" IN ('Worksheets', 'dbt')
+  AND "WAREHOUSE" IN ('WH_1', 'WH_2') AND "CLIENT" IN ('Worksheets', 'Loom')
   AND regexp_matches("ORGANIZATION_NAME", '^ORG_(B|M)') AND "DIRECTION" IN ('read', 'DDL')"""),
         "filter_values_kept": on_routes("""
 SELECT CAST(n_nationkey AS BIGINT) AS position, 'WH_' || CAST(n_nationkey AS STRING) AS value
@@ -497,7 +543,8 @@ FROM bar_rows WHERE category IN (SELECT category FROM top)""", bars("SCHEMA_NAME
                                           sankey("read", CHAIN[:3])),
         "treemap": on_routes(treemap(["CLIENT", "DATABASE", "SCHEMA_NAME", "DIRECTION"])),
         "treemap_three_levels": on_routes(treemap(["CLIENT", "DATABASE", "DIRECTION"])),
-        "client_attributes": on_routes("", CLIENTS),
+        "client_attributes": on_routes("", NO_FEATURES + CLIENTS),
+        "client_attributes_features": on_direct("", FEATURES + CLIENTS),
         "rule_violations": f"""
 WITH {PART_RULES}
 SELECT *, 'pattern is empty' AS reason FROM part_rules WHERE pattern IS NULL OR pattern = ''
