@@ -1,22 +1,12 @@
-"""Size checks before anything is broadcast or brought into one partition."""
+"""Size checks before anything is broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rule and lookup tables up to this size are broadcast whole.
+#: Rule tables up to this size are broadcast whole, larger ones in parts.
 BROADCAST_BYTES = 32 * 1024 * 1024
-#: Frames up to this many rows may be ordered in one partition.
-ONE_PARTITION_ROWS = 200_000
-
-
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has no more than ``rows`` rows.
-
-    Meant for settled frames, whose rows are counted from file footers.
-    """
-    return df.count() <= rows
 
 
 def text_bytes(df: DataFrame) -> int:
@@ -25,11 +15,3 @@ def text_bytes(df: DataFrame) -> int:
     for name in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
-
-
-def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left",
-                limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Equi-join with a lookup table: broadcast if measured small, else shuffled."""
-    if text_bytes(lookup) <= limit:
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, on, how)

@@ -35,47 +35,60 @@ def rule_slices(rules: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFram
         F.coalesce(F.col("priority"), F.lit(NO_MATCH)).cast("long").alias("priority"),
         "pattern", "source_field", "display_name",
     )
-    size = text_bytes(rules)
-    if size <= limit:
+    parts = -(-2 * text_bytes(rules) // limit)
+    if parts <= 2:
         return [rules]
-    parts = -(-2 * size // limit)
     key = F.pmod(F.xxhash64(*rules.columns), F.lit(parts))
-    rules = rules.distinct()
     return [rules.filter(key == i) for i in range(parts)]
 
 
-def match_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Each pair with every rule that matches it, or with NULLs if none does.
+def field_matches(pairs: DataFrame, slices: list[DataFrame], field: str) -> DataFrame:
+    """Distinct values of one field with every rule for it that matches.
 
-    A rule names the field it looks at, so one comparison per pair and rule
-    serves both fields.  NULL never matches.  With several rule parts a pair
-    may come out with NULLs and with matches; the choice below ignores the
-    former.
+    Values are dealt out before the comparison, which is the heavy part: each
+    value meets each rule once.
     """
-    slices = rule_slices(rules, limit)
-    if len(slices) > 1:
-        pairs = settle(pairs, "pairs")
-    subject = F.when(F.col("source_field") == "client_app_id", F.col("client_app_id")).when(
-        F.col("source_field") == "application", F.col("application")
-    )
-    matches = [
-        pairs.join(F.broadcast(part), F.ilike(subject, F.col("pattern")), "left")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = pairs.select(field).filter(F.col(field).isNotNull()).distinct().repartition(n, field)
+    found = [
+        values.join(F.broadcast(part.filter(F.col("source_field") == field)),
+                    F.ilike(F.col(field), F.col("pattern")))
         for part in slices
     ]
-    return reduce(DataFrame.unionByName, matches)
-
-
-def best_rules(matches: DataFrame) -> DataFrame:
-    """Per pair the first rule of each field, and how far its matches reach."""
-    rule = F.struct("priority", "display_name")
-    by_id = F.col("source_field") == "client_app_id"
-    by_app = F.col("source_field") == "application"
-    return matches.groupBy(*PAIR).agg(
-        F.min(F.when(by_id, rule)).alias("by_id"),
-        F.max(F.when(by_id, F.col("priority"))).alias("last_by_id"),
-        F.min(F.when(by_app, rule)).alias("by_app"),
-        F.max(F.when(by_app, F.col("priority"))).alias("last_by_app"),
-    )
+    return reduce(DataFrame.unionByName, found)
+
+
+def match_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Each pair with every rule that matches it, or once with NULLs if none does.
+
+    A rule names the field it looks at, so ids and applications are compared
+    apart, each value once, and the matches joined to the pairs.  NULL never
+    matches.  The rows are the same however many parts the rules come in.
+    """
+    pairs = settle(pairs, "pairs")
+    slices = rule_slices(rules, limit)
+    matches = reduce(DataFrame.unionByName, [
+        pairs.join(field_matches(pairs, slices, field), field) for field in PAIR])
+    matches = settle(matches.select(*PAIR, "priority", "pattern", "source_field", "display_name"),
+                     "matches")
+    known = matches.select(*[F.col(c).alias(f"_{c}") for c in PAIR]).distinct()
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR])
+    without = pairs.join(known, on, "left_anti")
+    return matches.unionByName(without, allowMissingColumns=True)
+
+
+def best_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Per pair the first rule of each field, and how far its matches reach.
+
+    Both are found per value of a field and then joined to the pairs.
+    """
+    slices = rule_slices(rules, limit)
+    for field, name in zip(PAIR, ("id", "app"), strict=True):
+        best = field_matches(pairs, slices, field).groupBy(field).agg(
+            F.min(F.struct("priority", "display_name")).alias(f"by_{name}"),
+            F.max("priority").alias(f"last_by_{name}"))
+        pairs = pairs.join(best, field, "left")
+    return pairs
 
 
 def resolve_clients(best: DataFrame) -> DataFrame:
@@ -103,7 +116,7 @@ def resolve_clients(best: DataFrame) -> DataFrame:
 
 def classify(sessions: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Names for every pair found in ``sessions`` (see :func:`resolve_clients`)."""
-    return resolve_clients(best_rules(match_rules(distinct_pairs(sessions), rules, limit)))
+    return resolve_clients(best_rules(distinct_pairs(sessions), rules, limit))
 
 
 def with_clients(df: DataFrame, clients: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _stages(paths: DataFrame) -> list[str]:
     return [c for c in paths.columns if c != MEASURE]
 
 
-def flow_nodes(paths: DataFrame, one_partition_rows: int | None = None) -> DataFrame:
+def flow_nodes(paths: DataFrame) -> DataFrame:
     """``idx, col_no, name, label, x, y, value``.
 
     Nodes are numbered through all columns, heaviest first within a column.
@@ -53,9 +53,8 @@ def flow_nodes(paths: DataFrame, one_partition_rows: int | None = None) -> DataF
         ])), MEASURE,
     ).groupBy("col_no", "name").agg(F.sum(MEASURE).cast("long").alias("value"))
     totals = settle(totals, "flow-totals")
-    limit = {} if one_partition_rows is None else {"one_partition_rows": one_partition_rows}
     scanned = prefix_scan(totals, [F.asc("col_no"), F.desc("value"), F.asc("name")], "idx",
-                          {"before": "value"}, **limit)
+                          {"before": "value"})
     # One row per column: how many nodes it has, where they start, what it carries.
     earlier_columns = Window.orderBy("col_no").rowsBetween(Window.unboundedPreceding, -1)
     columns = totals.groupBy("col_no").agg(

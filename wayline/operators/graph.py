@@ -78,9 +78,9 @@ def edge_rollup(routes: DataFrame) -> DataFrame:
     )
 
 
-def with_path_idx(rollup: DataFrame, **limits) -> DataFrame:
+def with_path_idx(rollup: DataFrame) -> DataFrame:
     """Number the paths from 0, heaviest first.  ``rollup`` should be settled."""
-    return prefix_scan(rollup, [F.desc(MEASURE), *EDGE_KEYS], "path_idx", **limits)
+    return prefix_scan(rollup, [F.desc(MEASURE), *EDGE_KEYS], "path_idx")
 
 
 # --- nodes -----------------------------------------------------------------

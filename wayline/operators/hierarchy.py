@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.names import short_schema
@@ -60,7 +60,11 @@ def treemap(routes: DataFrame) -> DataFrame:
     )
 
 
-def drawing_order(nodes: DataFrame) -> DataFrame:
+def drawing_columns() -> list[Column]:
     """Clients by weight first, then the deeper levels by id."""
     weight = F.when(F.col("level") == 1, -F.col("value"))
-    return nodes.orderBy("level", weight, "id")
+    return [F.asc("level"), weight.asc(), F.asc("id")]
+
+
+def drawing_order(nodes: DataFrame) -> DataFrame:
+    return nodes.orderBy(*drawing_columns())

@@ -7,26 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.bounded import ONE_PARTITION_ROWS, has_at_most
 from wayline.session import settle
 
 
 def prefix_scan(df: DataFrame, order: Sequence[Column], ordinal: str,
-                totals: dict[str, str] | None = None,
-                one_partition_rows: int = ONE_PARTITION_ROWS) -> DataFrame:
+                totals: dict[str, str] | None = None) -> DataFrame:
     """Number the rows from 0 in the given order and sum what lies before each.
 
     ``totals`` maps a new column to the numeric column whose sum over all
     *earlier* rows it gets.  ``order`` must be a total order.
 
-    A frame of a checked size is ordered in one partition.  Anything larger is
-    range partitioned and written; each slice is then numbered on its own and
-    shifted by the number of rows (and the sums) of the slices before it.
+    The frame is range partitioned and written; each slice is then numbered on
+    its own and shifted by the number of rows (and the sums) of the slices
+    before it.
     """
     totals = totals or {}
-    if has_at_most(df, one_partition_rows):
-        return _scan(df, Window.orderBy(*order), ordinal, totals)
-
     sliced = settle(
         df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "slices"
     )
