@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from wayline.functions.direction import statement_direction
 from wayline.functions.names import database_of, qualified_schema_of
-from wayline.session import allow_skew_split
 
 # What the audit logs hold besides data access.
 NOISE_TYPES = ("CALL", "BEGIN_TRANSACTION", "COMMIT", "ROLLBACK", "SET", "UNSET", "USE")
@@ -19,10 +18,6 @@ TEMPORARY_DATABASES = "USER$"
 APP_FUNCTION_MARK = "!"
 
 
-# Date of a query's start; a log may be partitioned by it.
-START_DATE = "start_date"
-
-
 def started_after(queries: DataFrame, since: dt.datetime) -> Column:
     """Strict lower bound on the start time.
 
@@ -33,22 +28,29 @@ def started_after(queries: DataFrame, since: dt.datetime) -> Column:
     return F.col("start_time") > F.lit(since.isoformat(sep=" ")).cast(kind)
 
 
-def pruned(log: DataFrame, since: dt.datetime | None) -> DataFrame:
-    """Leave out older partitions of a log that has a column of start dates.
+def pruned(log: DataFrame, since: dt.datetime | None, until: dt.datetime | None = None,
+           date_column: str | None = None) -> DataFrame:
+    """Leave out partitions of a log that lie outside the days asked for.
 
-    It changes no result, since older queries do not count; but it spares the
-    access log, which has no start time, from being read from its beginning.
+    ``date_column`` holds the day a query started, in whatever time zone the
+    log was written; so a day of slack is kept at either end, and rows without
+    a date stay.  It spares the access log, which has no start time, from being
+    read as a whole.  Without a column named, the log stays as it is.
     """
-    if since is None or START_DATE not in log.columns:
+    if date_column is None:
         return log
-    return log.filter(F.col(START_DATE) >= F.lit(since.date()))
+    day, kept = F.col(date_column), F.lit(True)
+    if since is not None:
+        kept = day >= F.lit(since.date() - dt.timedelta(days=1))
+    if until is not None:
+        kept = kept & (day <= F.lit(until.date() + dt.timedelta(days=1)))
+    return log.filter(kept | day.isNull())
 
 
 def query_rows(queries: DataFrame, since: dt.datetime | None = None,
                extra: Sequence[Column] = ()) -> DataFrame:
     """Queries that count, with their direction.  A NULL type drops the row."""
-    kept = queries if since is None else pruned(queries, since).filter(
-        started_after(queries, since))
+    kept = queries if since is None else queries.filter(started_after(queries, since))
     return kept.filter(~F.col("query_type").isin(*NOISE_TYPES)).select(
         "query_id", "session_id", F.col("warehouse_name").alias("warehouse"),
         statement_direction(F.col("query_type")).alias("direction"), *extra,
@@ -106,9 +108,9 @@ def place_rows(queries: DataFrame, access: DataFrame) -> DataFrame:
     ``queries`` comes from :func:`query_rows`.  An array that is NULL or empty
     leaves no row.  (The outer form of the explosion spares the size check, and
     with it a second evaluation of the array, that the optimizer adds to the
-    inner form.)
+    inner form.)  A query with very many access records is split by the skew
+    join if the session has the settings of ``session.allow_skew_split``.
     """
-    allow_skew_split(queries.sparkSession)
     kept = [c for c in queries.columns if c != "query_id"]
     joined = queries.join(touched_places(access), "query_id")
     exploded = joined.select("query_id", *kept, F.explode_outer("places").alias("place"))

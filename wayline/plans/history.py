@@ -60,8 +60,8 @@ def snapshot_history(logs: AuditLogs, rules: DataFrame, ctx: JobContext,
         (F.col("start_time") < F.lit(closes.isoformat(sep=" ")).cast(kind))
         & (F.col("first_run") <= F.col("last_run"))
     )
-    counts = route_counts(AuditLogs(logs.sessions, seen, logs.access), rules, opens,
-                          [F.col("first_run"), F.col("last_run")])
+    counts = route_counts(AuditLogs(logs.sessions, seen, logs.access, logs.date_column), rules,
+                          opens, [F.col("first_run"), F.col("last_run")], closes)
     keys = [c for c in counts.columns if c not in ("first_run", "last_run", "access_count")]
     per_run = counts.select(
         F.explode(F.sequence("first_run", "last_run")).alias("run"), *keys, "access_count"

@@ -21,34 +21,47 @@ ROUTE_KEYS = ["client", "warehouse", "database", "schema_name", "direction"]
 class AuditLogs:
     """The three logs a refresh reads.
 
-    Queries and access may carry ``start_date``, the day a query started, as a
-    partition column; only the days looked back on are then read.
+    ``date_column`` names the day a query started in queries and access, if
+    both have it as a partition column; only the days looked back on are then
+    read.
     """
 
     sessions: DataFrame
     queries: DataFrame
     access: DataFrame
+    date_column: str | None = None
+
+    def within(self, since: dt.datetime | None, until: dt.datetime | None = None) -> AuditLogs:
+        """The logs without partitions outside the days asked for."""
+        queries, access = (pruned(log, since, until, self.date_column)
+                           for log in (self.queries, self.access))
+        return AuditLogs(self.sessions, queries, access)
+
+
+def named_sessions(sessions: DataFrame, rules: DataFrame) -> DataFrame:
+    """``session_id, client``: the distinct names each session goes by.
+
+    Exports overlap, so a session may be logged repeatedly, and it may have
+    several pairs of client id and application that come to the same name.
+    """
+    real = session_rows(sessions)
+    return with_clients(real, classify(real, rules)).select("session_id", "client").distinct()
 
 
 def route_counts(logs: AuditLogs, rules: DataFrame, since: dt.datetime | None = None,
-                 extra: Sequence[Column] = ()) -> DataFrame:
+                 extra: Sequence[Column] = (), until: dt.datetime | None = None) -> DataFrame:
     """Distinct queries per route and per ``extra`` expression over the queries.
 
-    A query has one session and so one pair, which makes distinct counts add up
-    over sessions and pairs.  The counts are therefore taken first, per session,
-    then per pair, and the pairs are named last, when few rows are left.
+    A query has one session, which makes distinct counts add up over sessions.
+    The counts are therefore taken first, per session, and named last, when few
+    rows are left; every name of a session counts each of its queries once.
     """
-    queries = query_rows(logs.queries, since, extra)
-    sessions = session_rows(logs.sessions)
-    per_session = session_counts(queries, pruned(logs.access, since))
+    logs = logs.within(since, until)
+    per_session = session_counts(query_rows(logs.queries, since, extra), logs.access)
     keys = [c for c in per_session.columns if c not in ("session_id", "access_count")]
-    total = F.sum("access_count").alias("access_count")
-    per_pair = (
-        per_session.join(sessions, "session_id")
-        .groupBy("client_app_id", "application", *keys).agg(total)
-    )
-    named = with_clients(per_pair, classify(sessions, rules))
-    return with_names(named.groupBy("client", *keys).agg(total))
+    named = per_session.join(named_sessions(logs.sessions, rules), "session_id")
+    return with_names(named.groupBy("client", *keys).agg(
+        F.sum("access_count").alias("access_count")))
 
 
 def stamped(routes: DataFrame, ctx: JobContext, *extra: str) -> DataFrame:

@@ -24,6 +24,15 @@ ACCESS = T.StructType([
     ),
 ])
 
+#: Columns whose type is that of the source: whole numbers or text.
+IDS = ("session_id", "query_id")
+
+
+def with_text_ids(kind: T.StructType) -> T.StructType:
+    return T.StructType([
+        T.StructField(f.name, T.StringType() if f.name in IDS else f.dataType) for f in kind])
+
+
 RULES = T.StructType([
     T.StructField("priority", T.LongType()),
     T.StructField("pattern", T.StringType()),

@@ -7,10 +7,11 @@ old contents or the new, and a failed write changes nothing.
 
 from __future__ import annotations
 
+import logging
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from wayline.operators.rules import ordered_rules, rule_violations, missing_rule
 from wayline.operators.shape import by_weight, loaded_routes
 from wayline.plans.refresh import AuditLogs, refresh_routes
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Table:
@@ -81,27 +84,57 @@ def aligned(df: DataFrame, columns: T.StructType) -> DataFrame:
 def replace_contents(table: Table, rows: DataFrame) -> WriteResult:
     """Replace the whole table; the rows are counted while they are written."""
     spark = rows.sparkSession
-    counted = Observation()
+    counted, replaced = Observation(), versions(spark, table)[-1:]
     version = table.new_version()
     aligned(rows, table.columns).observe(counted, F.count(F.lit(1)).alias("rows")) \
         .write.parquet(version)
     spark.sql(f"ALTER TABLE {table.name} SET LOCATION '{version}'")
     spark.catalog.refreshTable(table.name)
+    remove_old_versions(spark, table, keep=(version, *replaced))
     return WriteResult(counted.get["rows"])
 
 
+def versions(spark: SparkSession, table: Table) -> list[str]:
+    """Folders of the table's versions, oldest first."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.root)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [f for f in files.listStatus(root) if f.getPath().getName().startswith("version-")]
+    return [f.getPath().toString() for f in sorted(found, key=lambda f: f.getModificationTime())]
+
+
+def remove_old_versions(spark: SparkSession, table: Table, keep: Sequence[str]) -> None:
+    """Delete all versions but those to keep: the current one, and the one before it,
+    which readers may still be reading."""
+    names = {k.rstrip("/").rsplit("/", 1)[1] for k in keep}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in versions(spark, table):
+        if folder.rsplit("/", 1)[1] not in names:
+            at = path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run_refresh(table: Table, logs: AuditLogs, rules: DataFrame, ctx: JobContext) -> WriteResult:
     """The refresh job: compute the snapshot, replace the table, report the rows."""
     return replace_contents(table, refresh_routes(logs, rules, ctx))
 
 
-def load_routes(spark: SparkSession, name: str, fallback: DataFrame) -> DataFrame:
-    """The snapshot, heaviest routes first, or ``fallback`` if there is none."""
+def load_routes(spark: SparkSession, name: str, fallback: DataFrame,
+                root: str | None = None) -> DataFrame:
+    """The snapshot, heaviest routes first, or ``fallback`` if it can't be had.
+
+    With a ``root`` the table is made, or brought up to date, before it is read.
+    """
+    table = routes_table(name, root) if root else None
     try:
+        if table:
+            ensure_table(spark, table)
         found = aligned(spark.table(name), schema.ROUTES)
-    except AnalysisException:
-        return fallback
-    if found.isEmpty():
+        if found.isEmpty():
+            return fallback
+    except Exception as error:  # noqa: BLE001 - a page is shown whatever is wrong with the table
+        log.warning("snapshot %s can't be read, the fallback is shown: %s", name, error)
         return fallback
     return loaded_routes(found).orderBy(*by_weight())
 
