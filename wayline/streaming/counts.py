@@ -1,4 +1,11 @@
-"""Distinct queries per route and day over a stream of resolved accesses."""
+"""Distinct queries per route and day, kept up to date over streams of audit records.
+
+Records may come in any order and however late: nothing is dropped.  What has
+been counted is kept in a *ledger* on the shared disk, not in memory.  Each
+micro-batch adds the accesses the ledger doesn't have yet, and writes how many
+these are per day and route.  A batch that is repeated after a failure replaces
+its own folders, so it counts nothing twice.
+"""
 
 from __future__ import annotations
 
@@ -7,86 +14,126 @@ from pyspark.sql import functions as F
 
 from wayline.context import JobContext
 from wayline.functions.clock import wall_clock, wall_date
-from wayline.operators.classify import classify, with_clients
-from wayline.operators.resolve import (
-    accesses, place_rows, pruned, query_rows, session_rows, with_names,
-)
-from wayline.plans.refresh import ROUTE_KEYS, AuditLogs
+from wayline.operators.resolve import accesses, query_rows, with_names
+from wayline.plans.refresh import ROUTE_KEYS, AuditLogs, named_sessions
+from wayline.session import settle
 
 ACCESS_COLUMNS = ["query_id", "start_time", *ROUTE_KEYS]
+#: An access counts once, however often it arrives.
+ACCESS_KEY = ["query_id", "client", "database", "schema_name"]
 DAY_KEYS = ["day", *ROUTE_KEYS]
 
 
-def named_sessions(sessions: DataFrame, rules: DataFrame) -> DataFrame:
-    """``session_id, client``; settle it before it is joined to a stream."""
-    real = session_rows(sessions)
-    return with_clients(real, classify(real, rules))
-
-
 def resolved_accesses(logs: AuditLogs, rules: DataFrame, ctx: JobContext) -> DataFrame:
-    """One row per query and schema with the client's name: what a stream carries."""
+    """One row per query and schema with the client's name."""
+    logs = logs.within(ctx.since)
     queries = query_rows(logs.queries, ctx.since, [F.col("start_time")])
-    found = accesses(queries, pruned(logs.access, ctx.since))
+    found = accesses(queries, logs.access)
     named = named_sessions(logs.sessions, rules)
     return with_names(found.join(named, "session_id")).select(*ACCESS_COLUMNS)
 
 
-def streamed_accesses(queries: DataFrame, access: DataFrame, named: DataFrame) -> DataFrame:
-    """The same from a stream of queries, joined to what is known of the rest.
+def with_day(found: DataFrame) -> DataFrame:
+    return found.withColumn("day", wall_date(wall_clock(F.col("start_time"))))
 
-    The joins keep no state.  Every micro-batch reads ``access`` and ``named``,
-    so they should hold no more than the days the stream can still bring.
-    Repeats are left to :func:`daily_counts`.
-    """
-    found = place_rows(query_rows(queries, extra=[F.col("start_time")]), access)
-    return with_names(found.join(named, "session_id")).select(*ACCESS_COLUMNS)
+
+def daily_counts(found: DataFrame) -> DataFrame:
+    """Distinct queries per day and route of resolved accesses."""
+    once = with_day(found).dropDuplicates(ACCESS_KEY)
+    return once.groupBy(*DAY_KEYS).agg(F.count("*").alias("access_count"))
 
 
-def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Distinct queries per day and route; works on streams and on batches alike.
+def file_stream(spark: SparkSession, folder: str, like: DataFrame,
+                files: int | None = None) -> DataFrame:
+    """Stream of the Parquet files in a folder, with the columns of ``like``.
 
-    An access that arrives again within ``delay`` is counted once.  Per access
-    only its key is kept, and only until the watermark has passed it.
+    ``files`` is the number of files a micro-batch takes at most.
     """
-    timed = stream.withColumn("start_time", wall_clock(F.col("start_time")))
-    key = ["query_id", "client", "database", "schema_name"]
-    if stream.isStreaming:
-        once = timed.withWatermark("start_time", delay).dropDuplicatesWithinWatermark(key)
-    else:
-        once = timed.dropDuplicates(key)
-    counted = once.groupBy(F.window("start_time", "1 day").alias("w"), *ROUTE_KEYS).agg(
-        F.count("*").alias("access_count")
-    )
-    return counted.select(wall_date(F.col("w.start")).alias("day"), *ROUTE_KEYS, "access_count")
+    reader = spark.readStream.schema(like.schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(folder)
 
 
-def file_stream(spark: SparkSession, folder: str, like: DataFrame,
-                names: str = "*.parquet") -> DataFrame:
-    """Stream of the Parquet files in a folder whose names fit, with the columns of ``like``."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", names).parquet(folder)
+def _before(spark: SparkSession, folder: str, like: DataFrame, number: int) -> DataFrame:
+    """What earlier batches have written."""
+    if not number:
+        return like.limit(0)
+    found = spark.read.schema(like.withColumn("batch", F.lit(0)).schema).parquet(folder)
+    return found.filter(F.col("batch") < number).drop("batch")
 
 
-def run_daily_counts(stream: DataFrame, changes: str, checkpoint: str,
-                     delay: str = "1 day") -> None:
-    """Work off what the stream holds now and append the changed counts to ``changes``.
+def count_batch(found: DataFrame, ledger: str, changes: str, number: int) -> None:
+    """Enter the accesses of one micro-batch and write what they add to the counts.
 
-    Each micro-batch writes its own folder of changed counts and replaces that
-    folder if it has to be repeated, so a restart counts nothing twice.
+    Only the days the batch has accesses of are read from the ledger.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
-
-    query = (
-        daily_counts(stream, delay).writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+    spark = found.sparkSession
+    found = settle(with_day(found).dropDuplicates(ACCESS_KEY), "batch")
+    key = found.select(*ACCESS_KEY, "day")
+    days = [r["day"] for r in key.select("day").distinct().collect()]
+    known = _before(spark, ledger, key, number).filter(F.col("day").isin(days) | F.col("day").isNull())
+    known = known.select(*[F.col(c).alias(f"_{c}") for c in key.columns])
+    same = F.lit(True)
+    for c in key.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    new = settle(found.join(known, same, "left_anti"), "new")
+    new.select(*key.columns).write.mode("overwrite").partitionBy("day").parquet(f"{ledger}/batch={number}")
+    new.groupBy(*DAY_KEYS).agg(F.count("*").alias("added")).write.mode("overwrite").parquet(
+        f"{changes}/batch={number}")
+
+
+def _work_off(stream: DataFrame, checkpoint: str, batch) -> None:
+    query = (stream.writeStream.option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).foreachBatch(batch).start())
     query.awaitTermination()
 
 
-def latest_counts(spark: SparkSession, changes: str) -> DataFrame:
-    """The current count of every day and route: the last one written for it."""
-    log = spark.read.parquet(changes)
-    return log.groupBy(*DAY_KEYS).agg(
-        F.max_by("access_count", "batch").alias("access_count")
-    )
+def run_daily_counts(stream: DataFrame, folder: str) -> None:
+    """Work off what a stream of resolved accesses holds now.
+
+    ``folder`` keeps the ledger, the changes and the place in the stream.
+    """
+    _work_off(stream, f"{folder}/place", lambda found, number: count_batch(
+        found, f"{folder}/ledger", f"{folder}/changes", number))
+
+
+def run_query_log(queries: DataFrame, access: DataFrame, named: DataFrame, folder: str) -> None:
+    """The same from streams of both logs, of which either may be ahead of the other.
+
+    A micro-batch's queries meet the access records of all batches so far, its
+    access records the queries of the batches before.  ``named`` is what is
+    known of the sessions, see ``named_sessions``.
+    """
+    spark = queries.sparkSession
+    rows = query_rows(queries, extra=[F.col("start_time")])
+    q = rows.select(F.struct(*rows.columns).alias("q"), F.lit(None).cast(
+        access.select(F.struct(*access.columns)).schema[0].dataType).alias("a"))
+    a = access.select(F.lit(None).cast(q.schema["q"].dataType).alias("q"),
+                      F.struct(*access.columns).alias("a"))
+
+    def batch(both: DataFrame, number: int) -> None:
+        both = settle(both, "both")
+        new_q = both.filter(F.col("q").isNotNull()).select("q.*")
+        new_a = both.filter(F.col("a").isNotNull()).select("a.*")
+        old_q = _before(spark, f"{folder}/queries", new_q, number)
+        old_a = _before(spark, f"{folder}/access", new_a, number)
+        found = accesses(new_q, old_a.union(new_a)).union(accesses(old_q, new_a))
+        resolved = with_names(found.join(named, "session_id")).select(*ACCESS_COLUMNS)
+        new_q.write.mode("overwrite").parquet(f"{folder}/queries/batch={number}")
+        new_a.write.mode("overwrite").parquet(f"{folder}/access/batch={number}")
+        count_batch(resolved, f"{folder}/ledger", f"{folder}/changes", number)
+
+    _work_off(q.union(a), f"{folder}/place", batch)
+
+
+COUNTS = "day date, " + ", ".join(f"{k} string" for k in ROUTE_KEYS) + ", added long"
+
+
+def latest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The current count of every day and route; none if no batch has come yet."""
+    changes = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/changes")
+    files = changes.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    added = (spark.read.schema(COUNTS).parquet(f"{folder}/changes") if files.exists(changes)
+             else spark.createDataFrame([], COUNTS))
+    return added.groupBy(*DAY_KEYS).agg(F.sum("added").alias("access_count"))
