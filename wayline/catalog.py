@@ -13,11 +13,12 @@ from wayline.functions.names import short_schema
 from wayline.operators import bars as bar
 from wayline.operators import classify, clients, flow, graph, hierarchy, matrix, resolve, rules, shape
 from wayline.operators.graph import STARTING_VIEW, View
+from wayline.operators.prefix import prefix_scan
 from wayline.plans.history import snapshot_history
 from wayline.plans.network import Network
-from wayline.plans.refresh import refresh_routes
+from wayline.plans.refresh import AuditLogs, named_sessions, refresh_routes
 from wayline.session import scratch_path, settle
-from wayline.sources import derived, tables
+from wayline.sources import audit, derived, tables
 from wayline.sources.derived import ALL_TIME, RECENT
 from wayline.streaming import counts
 
@@ -28,7 +29,7 @@ LAYERED_VIEW = View(hide_warehouses=True, hide_schemas=True)
 
 
 def snapshot(spark: SparkSession, sf_dir: str, ctx=ALL_TIME) -> DataFrame:
-    return refresh_routes(derived.audit_logs(spark, sf_dir), rules.numbered_rules(spark), ctx)
+    return refresh_routes(derived.audit_logs(spark, sf_dir), derived.rule_table(spark), ctx)
 
 
 def routes(spark: SparkSession, sf_dir: str, ctx=ALL_TIME) -> DataFrame:
@@ -75,24 +76,101 @@ def _pairs(spark, sf_dir):
 
 
 def rule_matches(spark, sf_dir):
-    found = classify.match_rules(_pairs(spark, sf_dir), rules.numbered_rules(spark))
+    found = classify.match_rules(_pairs(spark, sf_dir), derived.rule_table(spark))
     return found.select("client_app_id", "application", "priority", "display_name")
 
 
 def client_resolution(spark, sf_dir):
-    best = classify.best_rules(
-        classify.match_rules(_pairs(spark, sf_dir), rules.numbered_rules(spark)))
+    best = classify.best_rules(_pairs(spark, sf_dir), derived.rule_table(spark))
     return classify.resolve_clients(best).select(
         "client_app_id", "application", F.explode("clients").alias("client"))
 
 
+def refresh_repeated_sessions(spark, sf_dir):
+    """A session log with rows twice and with several pairs per session."""
+    logs = derived.audit_logs(spark, sf_dir)
+    log = derived.repeated_sessions(derived.table(spark, sf_dir, "customer"))
+    return refresh_routes(AuditLogs(log, logs.queries, logs.access), derived.rule_table(spark), ALL_TIME)
+
+
+def refresh_text_ids(spark, sf_dir):
+    logs = derived.with_text_ids(derived.audit_logs(spark, sf_dir))
+    return refresh_routes(logs, derived.rule_table(spark), RECENT)
+
+
+def refresh_partitioned_logs(spark, sf_dir):
+    """Both logs partitioned by day, older days filed under one; the refresh reads a few."""
+    logs = derived.audit_logs(spark, sf_dir)
+    oldest = F.lit(RECENT.since.date() - dt.timedelta(days=30))
+    queries = logs.queries.withColumn("start_date", F.greatest(F.to_date("start_time"), oldest))
+    days = queries.select("query_id", "start_date")
+    root = scratch_path(spark, "logs")
+    for name, log in (("queries", queries), ("access", logs.access.join(days, "query_id"))):
+        log.repartition("start_date").write.partitionBy("start_date").parquet(f"{root}/{name}")
+    logs.sessions.write.parquet(f"{root}/sessions")
+    read = audit.read_audit_logs(spark, f"{root}/sessions", f"{root}/queries", f"{root}/access",
+                                 "parquet", "start_date")
+    return refresh_routes(read, derived.rule_table(spark), RECENT)
+
+
+def _new_table(spark, make):
+    root = scratch_path(spark, "table")
+    table = make("wayline_" + root.rsplit("-", 1)[1], root)
+    tables.ensure_table(spark, table)
+    return table
+
+
+def _read_and_dropped(spark, table, rows):
+    """What is read from a table, which then goes with its catalog entry."""
+    found = settle(rows, "read")
+    spark.sql(f"DROP TABLE {table.name}")
+    return found
+
+
 def snapshot_reload(spark, sf_dir):
     """Bootstrap a table, refresh it, read it back as a page would."""
-    root = scratch_path(spark, "routes")
+    table = _new_table(spark, tables.routes_table)
+    tables.run_refresh(table, derived.audit_logs(spark, sf_dir), derived.rule_table(spark), RECENT)
+    return _read_and_dropped(spark, table, tables.load_routes(spark, table.name, direct(spark, sf_dir)))
+
+
+def refresh_row_count(spark, sf_dir):
+    """What the refresh job reports."""
+    table = _new_table(spark, tables.routes_table)
+    result = tables.run_refresh(
+        table, derived.audit_logs(spark, sf_dir), derived.rule_table(spark), RECENT)
+    spark.sql(f"DROP TABLE {table.name}")
+    return spark.createDataFrame([(result.rows, result.message)], "rows long, message string")
+
+
+def old_table_evolved(spark, sf_dir):
+    """A snapshot table from before there were accounts, brought up to date and read."""
+    root = scratch_path(spark, "old")
     table = tables.routes_table("wayline_" + root.rsplit("-", 1)[1], root)
+    old = snapshot(spark, sf_dir, RECENT).drop("account_id")
+    old.write.option("path", f"{root}/version-old").format("parquet").saveAsTable(table.name)
     tables.ensure_table(spark, table)
-    tables.run_refresh(table, derived.audit_logs(spark, sf_dir), rules.numbered_rules(spark), RECENT)
-    return tables.load_routes(spark, table.name, direct(spark, sf_dir))
+    found = tables.aligned(spark.table(table.name), table.columns)
+    return _read_and_dropped(spark, table, found)
+
+
+def rules_saved(spark, sf_dir):
+    """Rules without faults, saved and loaded."""
+    table = _new_table(spark, tables.rules_table)
+    found = derived.part_rules(spark, sf_dir)
+    faulty = rules.rule_violations(found).select(*found.columns).distinct()
+    same = F.lit(True)
+    for c in found.columns:
+        same = same & found[c].eqNullSafe(faulty[c])
+    tables.save_rules(table, found.join(faulty, same, "left_anti"))
+    return _read_and_dropped(spark, table, tables.load_rules(spark, table.name))
+
+
+def rules_ordered(spark, sf_dir):
+    """Rules with their place in the order they are tried."""
+    found = derived.part_rules(spark, sf_dir).withColumn("key", F.monotonically_increasing_id())
+    order = [F.asc(c) for c in ("priority", "pattern", "source_field", "display_name", "key")]
+    return prefix_scan(settle(found, "rules"), order, "place").drop("key")
 
 
 # --- shape -------------------------------------------------------------------
@@ -106,7 +184,7 @@ def web_feature_relabel(spark, sf_dir):
 def filter_combined(spark, sf_dir):
     return shape.filter_routes(
         direct(spark, sf_dir), databases=["PROMO_DB", "SMALL_DB"], warehouses=["WH_1", "WH_2"],
-        clients=["Worksheets", "dbt"], org_pattern="^ORG_(B|M)", directions=["read", "DDL"],
+        clients=["Worksheets", "Loom"], org_pattern="^ORG_(B|M)", directions=["read", "DDL"],
         more_than=2)
 
 
@@ -129,6 +207,18 @@ def filter_extension(spark, sf_dir):
     )
 
 
+def group_by_ranked(spark, sf_dir):
+    """Groups with their place, heaviest first."""
+    found = settle(shape.group_by(routes(spark, sf_dir), ["CLIENT", "DATABASE"]), "groups")
+    return prefix_scan(found, shape.by_weight("CLIENT", "DATABASE"), "place")
+
+
+def treemap_order(spark, sf_dir):
+    """Treemap nodes with their place in drawing order."""
+    found = settle(hierarchy.treemap(routes(spark, sf_dir)).select("level", "id", "value"), "nodes")
+    return prefix_scan(found, hierarchy.drawing_columns(), "place")
+
+
 def short_schemas(spark, sf_dir):
     found = shape.sum_by(routes(spark, sf_dir), "SCHEMA_NAME")
     return found.select("SCHEMA_NAME", short_schema(F.col("SCHEMA_NAME")).alias("short"),
@@ -160,6 +250,14 @@ def client_attributes(spark, sf_dir):
     return clients.client_attributes(names, listed, "Web")
 
 
+def client_attributes_features(spark, sf_dir):
+    """Clients of labelled routes: features take the icon of their family."""
+    labelled = derived.direct_routes(spark, sf_dir)
+    names = direct(spark, sf_dir).select(F.col("CLIENT").alias("client"))
+    return clients.client_attributes(names, derived.listed_clients(spark, sf_dir), "Web",
+                                     clients.feature_names(labelled, "Web App ("))
+
+
 def seed_rules_upsert(spark, sf_dir):
     found = derived.part_rules(spark, sf_dir)
     present = found.filter((F.col("priority") >= 0) & (F.col("source_field") == "application"))
@@ -170,33 +268,35 @@ def seed_rules_upsert(spark, sf_dir):
 
 
 def weekly_history(spark, sf_dir):
-    return snapshot_history(derived.audit_logs(spark, sf_dir), rules.numbered_rules(spark),
+    return snapshot_history(derived.audit_logs(spark, sf_dir), derived.rule_table(spark),
                             RECENT, *HISTORY)
 
 
 def stream_route_counts(spark, sf_dir):
-    """Accesses streamed from files; the counts as the stream leaves them."""
-    folder = scratch_path(spark, "accesses")
-    found = counts.resolved_accesses(
-        derived.audit_logs(spark, sf_dir), rules.numbered_rules(spark), ALL_TIME)
-    found.write.parquet(folder)
-    changes = scratch_path(spark, "changes")
-    counts.run_daily_counts(counts.file_stream(spark, folder, found), changes,
-                            scratch_path(spark, "stream"))
-    return counts.latest_counts(spark, changes)
+    """Accesses streamed from files in several batches, the newest days first."""
+    source, folder = scratch_path(spark, "accesses"), scratch_path(spark, "stream")
+    found = settle(counts.resolved_accesses(
+        derived.audit_logs(spark, sf_dir), derived.rule_table(spark), ALL_TIME), "resolved")
+    year = F.year("start_time")
+    for newest in (year >= 2000, year.between(1996, 1999), year < 1996):
+        found.filter(newest).write.mode("append").parquet(source)
+        counts.run_daily_counts(counts.file_stream(spark, source, found, 4), folder)
+    return counts.latest_counts(spark, folder)
 
 
 def stream_query_log(spark, sf_dir):
-    """The query log itself as a stream, joined to sessions and access records."""
+    """Both logs as streams; access records come before and after their queries."""
     logs = derived.audit_logs(spark, sf_dir)
-    orders = counts.file_stream(spark, sf_dir, derived.table(spark, sf_dir, "orders"),
-                                "orders.parquet")
-    named = settle(counts.named_sessions(logs.sessions, rules.numbered_rules(spark)), "named")
-    changes = scratch_path(spark, "changes")
-    counts.run_daily_counts(
-        counts.streamed_accesses(derived.queries(orders), logs.access, named), changes,
-        scratch_path(spark, "stream"))
-    return counts.latest_counts(spark, changes)
+    root, folder = scratch_path(spark, "logs"), scratch_path(spark, "stream")
+    named = settle(named_sessions(logs.sessions, derived.rule_table(spark)), "named")
+    queries, access = settle(logs.queries, "queries"), settle(logs.access, "access")
+    third = F.pmod(F.xxhash64("query_id"), F.lit(3))
+    for q, a in ((0, 1), (1, 2), (2, 0)):
+        for name, log, part in (("queries", queries, q), ("access", access, a)):
+            log.filter(third == part).write.mode("append").parquet(f"{root}/{name}")
+        counts.run_query_log(counts.file_stream(spark, f"{root}/queries", queries),
+                             counts.file_stream(spark, f"{root}/access", access), named, folder)
+    return counts.latest_counts(spark, folder)
 
 
 def queries() -> dict[str, Query]:
@@ -209,12 +309,19 @@ def queries() -> dict[str, Query]:
         "client_resolution": client_resolution,
         "refresh_routes": lambda s, d: snapshot(s, d, RECENT),
         "refresh_routes_all": snapshot,
+        "refresh_repeated_sessions": refresh_repeated_sessions,
+        "refresh_text_ids": refresh_text_ids,
+        "refresh_partitioned_logs": refresh_partitioned_logs,
+        "refresh_row_count": refresh_row_count,
         "snapshot_reload": snapshot_reload,
+        "old_table_evolved": old_table_evolved,
+        "rules_saved": rules_saved,
+        "rules_ordered": rules_ordered,
         "clean_routes": routes,
         "clean_direct_routes": direct,
         "web_feature_relabel": web_feature_relabel,
         "filter_dims": lambda s, d: shape.filter_routes(
-            routes(s, d), clients=["dbt", "Go", "Tableau"], warehouses=["WH_1", "WH_3"],
+            routes(s, d), clients=["Loom", "Pi", "Quillboard"], warehouses=["WH_1", "WH_3"],
             schemas=["SANDBOX_DB.S1", "RAW_ERP_DB.S2"], more_than=0),
         "filter_threshold": lambda s, d: shape.filter_routes(routes(s, d)),
         "filter_org_regex": lambda s, d: shape.filter_routes(
@@ -226,6 +333,7 @@ def queries() -> dict[str, Query]:
         "short_schemas": short_schemas,
         "group_by_client_direction": lambda s, d: shape.group_by(
             routes(s, d), ["CLIENT", "DIRECTION"]),
+        "group_by_ranked": group_by_ranked,
         "group_by_cube": lambda s, d: shape.group_by_cube(routes(s, d)),
         "grand_total": lambda s, d: shape.grand_total(routes(s, d)),
         "table_view": lambda s, d: shape.table_view(routes(s, d), ["CLIENT", "WAREHOUSE"]),
@@ -261,8 +369,12 @@ def queries() -> dict[str, Query]:
         "sankey_three_columns": lambda s, d: flow.sankey(
             routes(s, d).drop("SCHEMA_NAME"), "read").nodes,
         "treemap": lambda s, d: hierarchy.treemap(routes(s, d)),
+        "treemap_order": treemap_order,
+        "heatmap_pivot": lambda s, d: matrix.pivoted(
+            matrix.heatmap(routes(s, d), "CLIENT", "DIRECTION")),
         "treemap_three_levels": lambda s, d: hierarchy.treemap(routes(s, d).drop("SCHEMA_NAME")),
         "client_attributes": client_attributes,
+        "client_attributes_features": client_attributes_features,
         "rule_violations": lambda s, d: rules.rule_violations(derived.part_rules(s, d)),
         "seed_rules_upsert": seed_rules_upsert,
         "snapshot_history": weekly_history,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,31 +18,34 @@ SKEW_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_scratch: dict[str, str] = {}
-
 
 def allow_skew_split(spark: SparkSession) -> None:
-    """Turn on the settings above; they can be changed while a session runs."""
+    """Turn on the settings above.  An application calls this once for its
+    session; nothing in the package does so by itself."""
     for key, value in SKEW_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+        spark.conf.set(key, value)
+
+
+def _named_scratch(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by all executors, as named in ``spark.checkpoint.dir``.
+    """Folder shared by all executors, as named in ``spark.checkpoint.dir``."""
+    named = _named_scratch(spark)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return named.rstrip("/")
 
-    Only a local session may go without the setting; it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
+
+def local_scratch(spark: SparkSession) -> None:
+    """Name a temporary folder as scratch folder where none is set: for tests and
+    trials in one process.  On a cluster the setting has to be there already."""
+    if _named_scratch(spark):
+        return
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = context.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="wayline-")
-    return _local_scratch[app]
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,14 +64,3 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores if its files split into fewer parts than that.
-
-    One big row group or a file that cannot be split would otherwise keep a
-    single core busy with everything up to the first shuffle.  A scan with as
-    many parts as cores, as any large one has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
