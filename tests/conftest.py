@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ.setdefault("TZ", "UTC")
 
 from wayline import schema  # noqa: E402
+from wayline.session import local_scratch  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,6 +25,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    local_scratch(session)
     yield session
     session.stop()
 

@@ -137,11 +137,6 @@ def test_views(rollup, paths, view):
     assert got == near
 
 
-def test_path_numbers_beyond_one_partition(rollup):
-    few, many = graph.with_path_idx(rollup), graph.with_path_idx(rollup, one_partition_rows=0)
-    assert rows(few) == rows(many)
-
-
 def test_edges_through_a_node(rollup, paths):
     view = View(hide_warehouses=True)
     links = defaultdict(set)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from test_refresh import ENV, logs, rules
 
 from wayline.context import JobContext
-from wayline.operators.rules import numbered_rules
 from wayline.plans.history import run_window, snapshot_history
 from wayline.plans.refresh import refresh_routes
 from wayline.sources import derived
@@ -43,7 +42,7 @@ def test_run_window(spark, conf, zone, kind):
 
 def test_each_run_equals_a_refresh(spark):
     source = derived.audit_logs(spark, "/root/testdata/sf0.001")
-    seed = numbered_rules(spark)
+    seed = derived.rule_table(spark)
     ctx = JobContext("O", "A", None, 30)
     start, end = dt.date(1999, 5, 2), dt.date(1999, 5, 16)
     history = snapshot_history(source, seed, ctx, start, end)

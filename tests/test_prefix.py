@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.operators.bounded import has_at_most, lookup_join, text_bytes
+from wayline import session
+from wayline.operators.bounded import text_bytes
 from wayline.operators.prefix import prefix_scan
-from wayline.session import spread
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +17,8 @@ def numbers(spark):
     return spark.createDataFrame(data, "id long, w long, name string").repartition(5).cache()
 
 
-@pytest.mark.parametrize("limit", [10_000, 2000, 1999, 0])
-def test_prefix_scan(numbers, limit):
-    out = prefix_scan(numbers, [F.desc("w"), F.asc("name")], "pos", {"before": "w"},
-                      one_partition_rows=limit)
+def test_prefix_scan(numbers):
+    out = prefix_scan(numbers, [F.desc("w"), F.asc("name")], "pos", {"before": "w"})
     got = {r.id: (r.pos, r.before) for r in out.collect()}
     running = 0
     for pos, r in enumerate(sorted(numbers.collect(), key=lambda r: (-r.w, r.name))):
@@ -30,27 +28,15 @@ def test_prefix_scan(numbers, limit):
 
 
 def test_prefix_scan_of_nothing(numbers):
-    empty = numbers.filter("id < 0")
-    for limit in (10, -1):
-        assert prefix_scan(empty, [F.asc("id")], "pos", one_partition_rows=limit).count() == 0
-
-
-def test_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores)
-    assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 100
-    assert spread(many) is many
+    assert prefix_scan(numbers.filter("id < 0"), [F.asc("id")], "pos").count() == 0
 
 
 def test_sizes(spark, numbers):
-    assert has_at_most(numbers, 2000) and not has_at_most(numbers, 1999)
     assert text_bytes(numbers.limit(0)) == 0
     assert text_bytes(numbers) > 2000 * 16
 
 
-def test_lookup_join_without_broadcast(spark, numbers, conf):
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    small = numbers.filter("id < 3").select("id", F.col("name").alias("other"))
-    plans = [lookup_join(numbers, small, "id", limit=n)._jdf.queryExecution().executedPlan()
-             .toString() for n in (1, 10_000)]
-    assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1]
+def test_scratch_folder_has_to_be_named(spark, monkeypatch):
+    monkeypatch.setattr(session, "_named_scratch", lambda spark: None)
+    with pytest.raises(ValueError):
+        session.scratch_root(spark)

@@ -5,9 +5,11 @@ from conftest import rows
 
 from wayline import schema
 from wayline.context import JobContext
-from wayline.operators import classify, rules as rule_ops
-from wayline.operators.resolve import accesses, query_rows, session_rows, touched_places
+from wayline.operators import classify
+from wayline.operators.resolve import accesses, pruned, query_rows, session_rows, touched_places
 from wayline.plans.refresh import AuditLogs, refresh_routes
+from wayline.sources import derived
+from wayline.session import SKEW_SETTINGS
 from wayline.streaming.counts import resolved_accesses
 
 DAY = dt.datetime(2024, 3, 10)
@@ -148,12 +150,39 @@ def test_two_names_count_twice(spark):
 
 
 def test_rule_parts_find_the_same(spark):
-    pairs = session_rows(spark.createDataFrame(
+    pairs = classify.distinct_pairs(session_rows(spark.createDataFrame(
         [(i, f"JDBC {i % 3}", ENV % name) for i, name in enumerate(
-            ["tableau prep", "dbt", "x", "sparkline", "Go", "thoughtspot"] * 2)], schema.SESSIONS))
-    found = rule_ops.numbered_rules(spark)
-    assert len(classify.rule_slices(found, limit=600)) > 5
-    assert rows(classify.classify(pairs, found, limit=600)) == rows(classify.classify(pairs, found))
+            ["tableau prep", "dbt", "x", "sparkline", "Go", "twin"] * 2)]
+        + [(20, "JDBC 1", None), (21, "nothing", None)], schema.SESSIONS)))
+    found = rules(spark, *[(i, f"%{p}%", f, p) for i, (p, f) in enumerate(
+        (p, f) for p in ("tableau", "spark", "twin", "dbt", "jdbc", "twin") for f in classify.PAIR)])
+    found = found.union(found.filter("display_name = 'twin'"))  # rules that are there twice
+    assert len(classify.rule_slices(found, limit=600)) > 4
+    whole = rows(classify.match_rules(pairs, found))
+    assert rows(classify.match_rules(pairs, found, limit=600)) == whole
+    assert len([r for r in whole if r[5] == "twin"]) == 4
+    assert [r[:2] for r in whole if r[2] is None] == [("nothing", None)]
+    assert rows(classify.best_rules(pairs, found, limit=600)) == rows(classify.best_rules(pairs, found))
+
+
+def test_repeated_sessions_count_once(spark):
+    queries, access = [one_query(), one_query(q=2)], [(1, ["D.S.T"]), (2, ["D.S.T"])]
+    twice = ONE_SESSION * 2
+    assert refreshed(spark, twice, queries, access, TABLEAU) == [("acme", "W", "D", "D.S", "read", 2)]
+    # Two pairs of one name are one client, two names are two.
+    pairs = [(1, "JDBC 3", ENV % "Tableau A"), (1, "JDBC 4", ENV % "tableau B"), (1, "JDBC 4", ENV % "acme")]
+    got = refreshed(spark, pairs, queries, access, TABLEAU)
+    assert [(r[0], r[5]) for r in got] == [("Tableau", 2), ("acme", 2)]
+
+
+def test_dates_prune_only_where_asked_for(spark):
+    log = spark.createDataFrame([(1, dt.date(2024, 3, 1)), (2, dt.date(2024, 2, 28)), (3, None),
+                                 (4, dt.date(2024, 2, 29)), (5, dt.date(2024, 3, 9))],
+                                "query_id long, start_date date")
+    since, until = dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 7)
+    assert rows(pruned(log, since)) == rows(log)
+    kept = pruned(log, since, until, "start_date")
+    assert [r.query_id for r in kept.orderBy("query_id").collect()] == [1, 3, 4]
 
 
 def test_equals_counting_row_by_row(spark):
@@ -170,7 +199,7 @@ def test_equals_counting_row_by_row(spark):
                                                 "USER$T.X", "B.Z"]) for _ in range(rng.randrange(4))])
               for _ in range(600)]
     found = logs(spark, sessions, queries, access)
-    seed = rule_ops.numbered_rules(spark)
+    seed = derived.rule_table(spark)
     want = {}
     for r in resolved_accesses(found, seed, CTX).collect():
         key = (r.client, r.warehouse, r.database, r.schema_name, r.direction)
@@ -187,7 +216,8 @@ def test_places_are_reduced_in_the_row(spark):
 
 def test_hot_query_is_split(spark, conf, tmp_path):
     """A third of all access records belong to one query: the join splits it."""
-    conf(spark__sql__autoBroadcastJoinThreshold="-1",
+    conf(**{k.replace(".", "__"): v for k, v in SKEW_SETTINGS.items()},
+         spark__sql__autoBroadcastJoinThreshold="-1",
          spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="40KB",
          spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
          spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
@@ -216,5 +246,5 @@ def test_no_product_of_whole_tables(spark, conf, threshold):
     out = refresh_routes(found, rules(spark, TABLEAU), CTX)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    # Only the bounded rule table is joined without an equality.
-    assert plan.count("BroadcastNestedLoopJoin") == 1
+    # Only the bounded rule table is joined without an equality, once for each field.
+    assert plan.count("BroadcastNestedLoopJoin") == 2

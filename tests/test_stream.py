@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from conftest import rows
 
+from wayline import schema
 from wayline.catalog import stream_query_log, stream_route_counts
-from wayline.operators.rules import numbered_rules
 from wayline.sources import derived
 from wayline.streaming import counts
 
@@ -17,9 +17,9 @@ def access(query, day, hour=1, schema_name="D.S"):
     return (query, dt.datetime(2024, 1, day, hour), "C", "W", "D", schema_name, "read")
 
 
-def test_stream_equals_batch(spark):
+def test_streams_equal_the_batch(spark):
     batch = counts.daily_counts(counts.resolved_accesses(
-        derived.audit_logs(spark, SMALL), numbered_rules(spark), derived.ALL_TIME))
+        derived.audit_logs(spark, SMALL), derived.rule_table(spark), derived.ALL_TIME))
     for streamed in (stream_route_counts, stream_query_log):
         assert rows(streamed(spark, SMALL).select(batch.columns)) == rows(batch)
 
@@ -27,19 +27,44 @@ def test_stream_equals_batch(spark):
 @pytest.mark.parametrize("zone", ["UTC", "America/Chicago"])
 def test_runs_continue_where_the_last_one_stopped(spark, conf, tmp_path, zone):
     conf(spark__sql__session__timeZone=zone)
-    folder, changes, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
 
     def arrive(*found):
         df = spark.createDataFrame(list(found), COLUMNS)
-        df.coalesce(1).write.mode("append").parquet(folder)
-        counts.run_daily_counts(counts.file_stream(spark, folder, df), changes, state)
-        latest = counts.latest_counts(spark, changes)
+        df.coalesce(1).write.mode("append").parquet(source)
+        counts.run_daily_counts(counts.file_stream(spark, source, df), folder)
+        latest = counts.latest_counts(spark, folder)
         return {(r.day.day, r.schema_name): r.access_count for r in latest.collect()}
 
-    assert arrive(access(1, 1, 23), access(1, 1, 23), access(2, 1, 0)) == {(1, "D.S"): 2}
-    # Repeats within the delay do not count again, other schemas and queries do.
-    assert arrive(access(1, 1, 23), access(3, 1, 5), access(3, 1, 5, None)) == {
-        (1, "D.S"): 3, (1, None): 1}
-    assert arrive(access(4, 2, 0)) == {(1, "D.S"): 3, (1, None): 1, (2, "D.S"): 1}
-    # A batch that changes nothing leaves the counts as they are.
-    assert arrive(access(4, 2, 0)) == {(1, "D.S"): 3, (1, None): 1, (2, "D.S"): 1}
+    assert counts.latest_counts(spark, folder).count() == 0
+    assert arrive(access(1, 9, 23), access(1, 9, 23), access(2, 9, 0)) == {(9, "D.S"): 2}
+    # Repeats do not count again, other schemas and queries do.
+    assert arrive(access(1, 9, 23), access(3, 9, 5), access(3, 9, 5, None)) == {
+        (9, "D.S"): 3, (9, None): 1}
+    # Days that lie far back count as well, however late they come.
+    assert arrive(access(4, 1, 0)) == {(9, "D.S"): 3, (9, None): 1, (1, "D.S"): 1}
+    assert arrive(access(4, 1, 0)) == {(9, "D.S"): 3, (9, None): 1, (1, "D.S"): 1}
+
+
+def test_a_repeated_batch_counts_nothing_twice(spark, tmp_path):
+    df = spark.createDataFrame([access(1, 1), access(2, 1)], COLUMNS)
+    for _ in range(2):
+        counts.count_batch(df, f"{tmp_path}/ledger", f"{tmp_path}/changes", 0)
+    assert [r.access_count for r in counts.latest_counts(spark, str(tmp_path)).collect()] == [2]
+
+
+def test_either_log_may_be_late(spark, tmp_path):
+    """Queries before their access records, and after them."""
+    queries = {q: spark.createDataFrame([(q, 1, "W", "SELECT", dt.datetime(2024, 1, q))], schema.QUERIES)
+               for q in (1, 2, 3)}
+    records = {q: spark.createDataFrame([(q, [("D.S.T",)])], schema.ACCESS) for q in (1, 2, 3)}
+    named = spark.createDataFrame([(1, "C")], "session_id long, client string")
+    folder = str(tmp_path / "out")
+    seen = []
+    for q, a in ((1, 2), (3, 1), (2, 3)):
+        queries[q].write.mode("append").parquet(f"{tmp_path}/queries")
+        records[a].write.mode("append").parquet(f"{tmp_path}/access")
+        counts.run_query_log(counts.file_stream(spark, f"{tmp_path}/queries", queries[1]),
+                             counts.file_stream(spark, f"{tmp_path}/access", records[1]), named, folder)
+        seen.append(sorted(r.day.day for r in counts.latest_counts(spark, folder).collect()))
+    assert seen == [[], [1], [1, 2, 3]]

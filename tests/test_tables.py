@@ -30,16 +30,16 @@ def test_refresh_job(spark, name, tmp_path):
     table = tables.routes_table(name, str(tmp_path))
     tables.ensure_table(spark, table)
     logs = derived.audit_logs(spark, "/root/testdata/sf0.001")
-    result = tables.run_refresh(table, logs, rule_ops.numbered_rules(spark), derived.RECENT)
-    assert result.rows == 85 == spark.table(name).count()
-    assert result.message.endswith("Rows: 85")
+    result = tables.run_refresh(table, logs, derived.rule_table(spark), derived.RECENT)
+    assert result.rows == 114 == spark.table(name).count()
+    assert result.message.endswith("Rows: 114")
     loaded = tables.load_routes(spark, name, None)
     counts = [r["ACCESS_COUNT"] for r in loaded.collect()]
-    assert counts == sorted(counts, reverse=True) and sum(counts) == 86
+    assert counts == sorted(counts, reverse=True) and sum(counts) > 114
     # A second run replaces, it does not add.
     later = JobContext("O", "A", derived.AS_OF, 3650)
-    result = tables.run_refresh(table, logs, rule_ops.numbered_rules(spark), later)
-    assert spark.table(name).count() == result.rows == 2837
+    result = tables.run_refresh(table, logs, derived.rule_table(spark), later)
+    assert spark.table(name).count() == result.rows > 2000
 
 
 def test_failed_write_changes_nothing(spark, name, tmp_path):
@@ -69,21 +69,37 @@ def test_load_falls_back(spark, name, tmp_path, sample):
     assert tables.load_routes(spark, name, sample) is sample
     tables.ensure_table(spark, tables.routes_table(name, str(tmp_path)))
     assert tables.load_routes(spark, name, sample) is sample
+    # A file that is damaged, and a table that the load itself sets up.
+    spark.sql(f"CREATE TABLE {name}_bad (client string) USING parquet LOCATION '{tmp_path}/bad'")
+    (tmp_path / "bad").mkdir(exist_ok=True)
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet at all")
+    assert tables.load_routes(spark, f"{name}_bad", sample) is sample
+    assert tables.load_routes(spark, f"{name}_new", sample, root=str(tmp_path / "new")) is sample
+    assert spark.table(f"{name}_new").columns == schema.ROUTES.names
+
+
+def test_old_versions_go(spark, name, tmp_path):
+    table = tables.rules_table(name, str(tmp_path))
+    tables.ensure_table(spark, table)
+    for k in range(5):
+        tables.replace_contents(table, rule_frame(spark, (k, "a", "application", "A")))
+    assert len(tables.versions(spark, table)) == 2
+    assert rows(spark.table(name)) == [(4, "a", "application", "A")]
 
 
 def test_seed_keeps_edits(spark, name, tmp_path):
     table = tables.rules_table(name, str(tmp_path))
     tables.ensure_table(spark, table)
-    seed = rule_ops.numbered_rules(spark)
-    assert tables.seed_rules(table, seed) == len(rule_ops.STARTER_RULES)
+    seed = derived.rule_table(spark)
+    assert tables.seed_rules(table, seed) == len(derived.RULES)
     assert tables.seed_rules(table, seed) == 0
-    twins = [r for r in tables.load_rules(spark, name).collect() if r.pattern == "%thoughtspot%"]
-    assert [r.priority for r in twins] == [17, 20]
-    edited = rule_frame(spark, (5, "%dbt%", "application", "My dbt"), (6, "%new%", "application", "N"))
+    twins = [r for r in tables.load_rules(spark, name).collect() if r.pattern == "%quillboard%"]
+    assert [r.priority for r in twins] == [3, 6]
+    edited = rule_frame(spark, (5, "Pi", "application", "My Pi"), (6, "%new%", "application", "N"))
     assert tables.save_rules(table, edited) == 2
-    assert tables.seed_rules(table, seed) == len(rule_ops.STARTER_RULES) - 1
-    kept = [r for r in spark.table(name).collect() if r.pattern == "%dbt%"]
-    assert [r.display_name for r in kept] == ["My dbt"]
+    assert tables.seed_rules(table, seed) == len(derived.RULES) - 1
+    kept = [r for r in spark.table(name).collect() if r.pattern == "Pi"]
+    assert [r.display_name for r in kept] == ["My Pi"]
 
 
 def test_save_is_all_or_nothing(spark, name, tmp_path):
@@ -116,7 +132,7 @@ def test_violations(spark, rule, reason):
 def test_good_rules(spark):
     found = rule_frame(spark, (0, "%a_b%", "client_app_id", "A"), (998, "x'y", "application", "O'B"))
     assert rule_ops.rule_violations(found).count() == 0
-    assert rule_ops.rule_violations(rule_ops.numbered_rules(spark)).count() == 0
+    assert rule_ops.rule_violations(derived.rule_table(spark)).count() == 0
 
 
 def test_fractional_priority_is_faulty(spark):
@@ -132,27 +148,42 @@ def test_rules_come_in_order(spark):
     assert [r.pattern for r in rule_ops.ordered_rules(found).collect()] == ["c", "a", "b"]
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
-def test_audit_logs_from_files(spark, tmp_path, fmt):
+@pytest.mark.parametrize("text_ids", [False, True])
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv", "table"])
+def test_audit_logs_of_all_formats(spark, tmp_path, name, fmt, text_ids):
+    from pyspark.sql import functions as F
+
+    from wayline.plans.refresh import refresh_routes
     logs = derived.audit_logs(spark, "/root/testdata/sf0.001")
+    want = refresh_routes(logs, derived.rule_table(spark), derived.RECENT)
+    logs = derived.with_text_ids(logs) if text_ids else logs
+    places = {}
     for part in ("sessions", "queries", "access"):
         frame = getattr(logs, part)
         if part == "queries":
             frame = frame.withColumn("start_time", frame.start_time.cast("timestamp"))
-        frame.write.format(fmt).save(f"{tmp_path}/{part}")
-    read = audit.read_audit_logs(spark, *[f"{tmp_path}/{p}" for p in
-                                          ("sessions", "queries", "access")], fmt=fmt)
-    from wayline.plans.refresh import refresh_routes
-    assert refresh_routes(read, rule_ops.numbered_rules(spark), derived.RECENT).count() == 85
-
-
-def test_audit_log_from_csv_and_table(spark, tmp_path):
-    sessions = derived.sessions(derived.table(spark, "/root/testdata/sf0.001", "customer"))
-    sessions.write.option("header", True).csv(f"{tmp_path}/s")
-    read = audit.read_log(spark, f"{tmp_path}/s", schema.SESSIONS, "csv")
-    assert rows(read) == rows(sessions)
-    sessions.withColumn("more", sessions.session_id).createOrReplaceTempView("all_sessions")
-    assert rows(audit.read_log(spark, "all_sessions", schema.SESSIONS)) == rows(sessions)
+        if fmt == "csv" and part == "access":
+            frame = frame.withColumn("direct_objects_accessed", F.to_json("direct_objects_accessed"))
+        if fmt == "table":
+            places[part] = f"{name}_{part}"
+            frame.createOrReplaceTempView(places[part])
+        else:
+            places[part] = f"{tmp_path}/{part}"
+            options = {"header": True, "escape": '"'} if fmt == "csv" else {}
+            frame.write.format(fmt).options(**options).save(places[part])
+    read = audit.read_audit_logs(spark, *places.values(), fmt=fmt)
+    assert rows(refresh_routes(read, derived.rule_table(spark), derived.RECENT)) == rows(want)
+
+
+def test_wrong_types_are_errors(spark, tmp_path):
+    spark.range(3).selectExpr("id AS session_id", "id AS client_application_id",
+                              "'x' AS client_environment").write.parquet(f"{tmp_path}/p")
+    with pytest.raises(TypeError, match="client_application_id"):
+        audit.read_log(spark, f"{tmp_path}/p", schema.SESSIONS, "parquet")
+    spark.range(3).selectExpr("id AS query_id", "'s' AS session_id", "'w' AS warehouse_name",
+                              "'t' AS query_type", "'no time' AS start_time").write.json(f"{tmp_path}/j")
+    with pytest.raises(Exception):
+        audit.read_log(spark, f"{tmp_path}/j", schema.QUERIES, "json").collect()
     with pytest.raises(ValueError):
         audit.read_log(spark, "x", schema.SESSIONS, "xml")
 
@@ -182,11 +213,12 @@ def test_start_dates_prune_both_logs(spark, tmp_path):
         keys = [c for c in frame.columns if c == "start_date"]
         frame.write.partitionBy(*keys).parquet(f"{tmp_path}/{part}")
     read = audit.read_audit_logs(
-        spark, *[f"{tmp_path}/{p}" for p in ("sessions", "queries", "access")], fmt="parquet")
-    out = refresh_routes(read, rule_ops.numbered_rules(spark), derived.RECENT)
+        spark, *[f"{tmp_path}/{p}" for p in ("sessions", "queries", "access")], fmt="parquet",
+        date_column="start_date")
+    out = refresh_routes(read, derived.rule_table(spark), derived.RECENT)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("start_date#") and plan.count(">= 2001-07-02)]") == 2
-    want = refresh_routes(logs, rule_ops.numbered_rules(spark), derived.RECENT)
+    assert plan.count("start_date#") and plan.count(">= 2001-07-01)") == 2
+    want = refresh_routes(logs, derived.rule_table(spark), derived.RECENT)
     assert rows(out) == rows(want)
 
 
