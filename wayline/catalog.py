@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,6 +234,14 @@ def node_top3(spark, sf_dir):
     return top.select("node", "neighbour", "cnt", F.col("rk").cast("long").alias("rk"))
 
 
+def edges_all_views(spark, sf_dir):
+    """The edges of every view that can be chosen."""
+    rollup = settle(graph.edge_rollup(routes(spark, sf_dir)), "rollup")
+    found = [graph.edges(rollup, view).select(F.lit("-".join(view.visible)).alias("view"), "*")
+             for view in graph.legal_views()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def layer_members(spark, sf_dir):
     return network(spark, sf_dir, view=LAYERED_VIEW).members
 
@@ -351,6 +360,7 @@ def queries() -> dict[str, Query]:
         "edges_combined": lambda s, d: graph.edges(graph.edge_rollup(routes(s, d)), combine=True),
         "edges_hidden_wh": lambda s, d: graph.with_edge_text(
             graph.edges(graph.edge_rollup(routes(s, d)), STARTING_VIEW, True)),
+        "edges_all_views": edges_all_views,
         "edge_texts": lambda s, d: graph.with_edge_text(
             graph.edges(graph.edge_rollup(routes(s, d)))).select("src", "dst", "mode", "text"),
         "edge_paths": lambda s, d: network(s, d, view=STARTING_VIEW).edge_paths,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,12 @@ class View:
         return [t for t in CHAIN if not hidden[t]]
 
 
+def legal_views() -> list[View]:
+    """Every choice of hidden types that leaves two or more."""
+    choices = product((False, True), repeat=4)
+    return [View(*hidden) for hidden in choices if sum(hidden) <= 2]
+
+
 FULL_VIEW = View()
 #: What a page shows at first.
 STARTING_VIEW = View(hide_warehouses=True)

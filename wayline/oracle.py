@@ -6,6 +6,8 @@ avoids a global order, so that the two sides can disagree.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from wayline.functions.badges import BADGE_SVG, URI_PREFIX
 from wayline.functions.text import NODE_SUMMARY
 from wayline.sources import derived as d
@@ -244,6 +246,20 @@ vectors AS MATERIALIZED (SELECT path_idx, "CLIENT" AS p0, "CLIENT" AS p1, "DATAB
 on_path AS (SELECT DISTINCT path_idx, node FROM (
   SELECT path_idx, unnest([p0, p1, p2, p3]) AS node FROM vectors))"""
 
+def all_views() -> tuple[str, str]:
+    """Common tables and body for the edges of all views of two to four columns."""
+    types = dict(zip(CHAIN, ("client", "warehouse", "database", "schema"), strict=True))
+    tables, bodies = [], []
+    for n in (2, 3, 4):
+        for i, columns in enumerate(combinations(CHAIN, n)):
+            own = edges(list(columns), False)
+            for name in ("edge_links", "edges"):
+                own = own.replace(f"{name} ", f"{name}_{n}_{i} ").replace(f"{name}\n", f"{name}_{n}_{i}\n")
+            tables.append(own)
+            bodies.append(f"SELECT '{'-'.join(types[c] for c in columns)}' AS view, * FROM edges_{n}_{i}")
+    return ",".join(tables), " " + " UNION ALL ".join(bodies)
+
+
 EDGE_TEXT = """src || CASE WHEN mode = 'ALL' THEN ' ↔ ' ELSE ' → ' END || dst || chr(10)
   || 'Direction: ' || mode || chr(10) || 'Access Count: ' || format('{:,}', value)"""
 
@@ -509,6 +525,7 @@ FROM clean GROUP BY "CLIENT", "WAREHOUSE" """),
         "edges_combined": graph(" SELECT * FROM edges", edges(CHAIN, True)),
         "edges_hidden_wh": graph(f" SELECT *, {EDGE_TEXT} AS text FROM edges",
                                  edges(NO_WAREHOUSE, True)),
+        "edges_all_views": graph(all_views()[1], all_views()[0]),
         "edge_texts": graph(f" SELECT src, dst, mode, {EDGE_TEXT} AS text FROM edges",
                             edges(CHAIN, False)),
         "edge_paths": graph(" SELECT src, dst, mode, path_idx FROM edge_links",
