@@ -84,7 +84,8 @@ def test_formats_stay_and_equal_values_stay_linked(spark):
     got = pseudonyms(
         spark, "card 4111 1111 1111 1111 end", "again 4111111111111111", "call +1 (415) 555-7713 now",
         "at 10.20.30.40, v", "born 1999-12-31 or 31/12/1999", "write to jo.x@mail.example.com.",
-        'token = "0123456789abcdef"', "iban DE89 3704 0044 0532 0130 00", "ssn 123-45-6789")
+        'token = "0123456789abcdef"', "iban DE89 3704 0044 0532 0130 00", "ssn 123-45-6789",
+        "tel +49 30 1234 5678.", "an für.é@mail.example.com")
     card = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) end", got[0].text)[1].replace(" ", "")
     assert luhn(card) and card != "4111111111111111" and got[1].text == f"again {card}"
     assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", got[2].text) and "7713" not in got[2].text
@@ -97,7 +98,9 @@ def test_formats_stay_and_equal_values_stay_linked(spark):
     iban = re.fullmatch(r"iban (DE\d\d(?: \d{4}){4} \d\d)", got[7].text)[1].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", got[8].text) and "6789" not in got[8].text
-    assert [got[k].n_replaced for k in range(9)] == [1, 1, 1, 1, 2, 1, 1, 1, 1]
+    assert re.fullmatch(r"tel \+49 \d\d \d{4} \d{4}\.", got[9].text) and "1234 5678" not in got[9].text
+    assert re.fullmatch(r"an user[0-9a-f]{12}@[0-9a-f]{8}\.example", got[10].text)
+    assert [got[k].n_replaced for k in range(11)] == [1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1]
 
 
 def test_what_is_not_valid_stays(spark):

@@ -24,7 +24,7 @@ ROUNDS = 8
 _END, _START = r"(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])"
 #: What each kind looks like; the first kind that fits at a place wins.
 SHAPES = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}"
               r"[\x22'][A-Za-z0-9_+/=-]{8,200}[\x22']",
     "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
@@ -33,7 +33,7 @@ SHAPES = {
     "ssn": _START + r"\d{3}-\d{2}-\d{4}" + _END,
     "card": _START + r"(?:\d{4}[ -]?){3}\d{1,7}" + _END,
     "phone": r"(?<![A-Za-z0-9_+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END
-             + r"|(?<![A-Za-z0-9_+])\+\d{7,15}" + _END,
+             + r"|(?<![A-Za-z0-9_+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}" + _END,
 }
 ANY = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 #: Nothing above matches a text without one of these, which is quick to see.
@@ -98,7 +98,8 @@ def _refilled(shape: Column, digits: Column) -> Column:
     def step(state, c):
         hit = c.between("0", "9")
         return F.struct(
-            F.concat(state["text"], F.when(hit, F.substring(digits, state["at"], F.lit(1))).otherwise(c)).alias("text"),
+            F.concat(state["text"], F.when(hit, F.substring(digits, state["at"], F.lit(1)))
+                     .otherwise(c)).alias("text"),
             F.when(hit, state["at"] + 1).otherwise(state["at"]).alias("at"))
 
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("text"), F.lit(1).alias("at")),
@@ -140,10 +141,10 @@ def _iban(find: Column, key: str) -> Column:
         account = F.substring(compact, F.lit(5), F.length(compact))
         digits = digits_of(account)
         n = F.least(F.length(digits), F.lit(18))
+        country = F.substring(compact, 1, 2)
         new = F.when(n >= 2, F.concat(
-            permuted_digits(F.substring(digits, F.lit(1), n), F.concat_ws("|", F.lit("iban"), F.substring(compact, 1, 2)), key),
+            permuted_digits(F.substring(digits, F.lit(1), n), F.concat_ws("|", F.lit("iban"), country), key),
             F.substring(digits, n + 1, F.length(digits)))).otherwise(digits)
-        country = F.substring(compact, 1, 2)
 
         def checked(rest):
             check = F.lpad((98 - iban_remainder(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
@@ -160,7 +161,8 @@ def _spaced(shape: Column, compact: Column) -> Column:
     def step(state, c):
         space = c == " "
         return F.struct(
-            F.concat(state["text"], F.when(space, c).otherwise(F.substring(compact, state["at"], F.lit(1)))).alias("text"),
+            F.concat(state["text"], F.when(space, c).otherwise(
+                F.substring(compact, state["at"], F.lit(1)))).alias("text"),
             F.when(space, state["at"]).otherwise(state["at"] + 1).alias("at"))
 
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("text"), F.lit(1).alias("at")),
@@ -217,9 +219,11 @@ def _numbered(find: Column, tweak: str, key: str) -> Column:
 
 
 def _phone(find: Column, key: str) -> Column:
-    """The country code stays."""
+    """Seven to fifteen digits are a number; its country code stays."""
     code = F.regexp_extract(find, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
-    return let(code, lambda c: F.concat(c, _numbered(F.substring(find, F.length(c) + 1, F.length(find)), "phone", key)))
+    moved = let(code, lambda c: F.concat(c, _numbered(
+        F.substring(find, F.length(c) + 1, F.length(find)), "phone", key)))
+    return F.when(F.length(digits_of(find)).between(7, 15), moved).otherwise(find)
 
 
 def _ssn(find: Column, key: str) -> Column:
@@ -241,7 +245,8 @@ def _secret(find: Column, key: str) -> Column:
 
     def body(v):
         digest = keyed(key, F.lit("secret"), v)
-        return F.concat(head, F.substring(F.repeat(digest, 4), F.lit(1), F.length(v)), F.substring(find, F.length(find), F.lit(1)))
+        return F.concat(head, F.substring(F.repeat(digest, 4), F.lit(1), F.length(v)),
+                        F.substring(find, F.length(find), F.lit(1)))
 
     return let(value, body)
 
