@@ -60,9 +60,9 @@ def object_decompose(spark, sf_dir):
 def noise_filter(spark, sf_dir):
     logs = derived.audit_logs(spark, sf_dir)
     kept = resolve.query_rows(logs.queries, RECENT.since, [F.col("query_type")])
-    found = resolve.accesses(kept, logs.access).join(
-        resolve.session_rows(logs.sessions), "session_id")
-    return found.groupBy("query_type").agg(F.count("*").alias("n"))
+    real = resolve.session_rows(logs.sessions).select("session_id").distinct()
+    counted = resolve.session_counts(kept, logs.access).join(real, "session_id")
+    return counted.groupBy("query_type").agg(F.sum("access_count").alias("n"))
 
 
 def direction_counts(spark, sf_dir):
