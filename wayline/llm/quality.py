@@ -160,8 +160,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    rows = docs.select(packed(docs).alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
-    return unpacked(judged(rows).where("kept"), docs.columns)
+    rows = judged(docs.select(
+        packed(docs).alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang")))
+    # A filter on "kept" alone would be moved below the steps that it is made of and would work
+    # each of them out anew wherever it is used; it can't be moved past a row number.
+    rows = rows.withColumn("number", F.monotonically_increasing_id())
+    return unpacked(rows.where(F.col("kept") & (F.col("number") >= 0)), docs.columns)
 
 
 def _sql_distance(counts: list[str], total: str, shares) -> str:
