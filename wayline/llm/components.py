@@ -10,7 +10,7 @@ from wayline.session import settle
 
 def _least(links: DataFrame) -> DataFrame:
     """Each node's smallest neighbour or itself, whichever is less."""
-    return links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    return settle(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of these."""
-    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    least = settle(links.groupBy("a").agg(F.min("b").alias("least")), "least")
     lower = links.join(least, "a").where(F.col("b") != F.col("least")).select(
         F.col("b").alias("a"), F.col("least").alias("b"))
     return lower.union(least.select("a", F.col("least").alias("b"))).distinct()
@@ -34,8 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     Large and small stars take turns until nothing changes, which takes about
     as many rounds as the logarithm of the longest path.  Only linked nodes
     come out, roots not among them.  Links to a node itself are ignored; a
-    node with very many links is summed up before it moves, and its join can
-    be split.  Every round is written, so a lost executor costs one round.
+    node with very many links is summed up before it moves, and as the sums
+    are written, its join can be split.  Every round is written, so a lost
+    executor costs one round.
     """
     links = settle(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")

@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
                          F.col("text").cast("binary").alias("text"))
     rows = settle(with_fingerprint(source, words).drop("rid"), "fingerprints")
     rows = settle(_with_class(rows, bits), "classes")
-    ids = rows.groupBy("class_fp").agg(F.min("doc_id").alias("component_id"))
+    # Written: a join can only split a hot class if neither side is grouped on the way into it.
+    ids = settle(rows.groupBy("class_fp").agg(F.min("doc_id").alias("component_id")), "components")
     return rows.join(ids, "class_fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.session import settle
+
 SENTENCES, WORDS = 2, 20
 #: Sentences of more words are cut at commas, and after one word in eight.
 LONG, ONE_IN = 32, 8
@@ -107,7 +109,8 @@ def span_hashes(docs: DataFrame) -> DataFrame:
 def seen_before(docs: DataFrame) -> DataFrame:
     """``id`` and ``seen``, the hashes of its spans that a document of a smaller id has."""
     firsts = span_hashes(docs).groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    firsts = firsts.where(F.col("first") < F.col("last")).select("h", "first")
+    # Written: the join can only split a hot passage if neither side is grouped on the way into it.
+    firsts = settle(firsts.where(F.col("first") < F.col("last")).select("h", "first"), "firsts")
     again = span_hashes(docs).join(firsts, "h").where(F.col("id") > F.col("first"))
     return again.groupBy("id").agg(F.collect_set("h").alias("seen"))
 

@@ -254,8 +254,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     responses = whole.select(*columns).union(
         reassembled(records.where(F.col("segment").isNotNull())).select(*columns))
     responses = settle(responses, "responses")
-    targets = responses.groupBy(F.col("record_id").alias("refers")).agg(
-        F.min("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"))
+    targets = settle(responses.groupBy(F.col("record_id").alias("refers")).agg(
+        F.min("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes")), "targets")
     revisits = records.where(F.col("record_type") == "revisit").select(
         "page_id", "payload_digest", "refers").join(targets, "refers", "left")
     return responses.select(
