@@ -28,7 +28,7 @@ from wayline.session import settle
 SEQUENCE = 4096
 END_ID = 2
 #: Words whose tokens a Python worker remembers, and how long such a word may be.
-CACHED_WORDS, CACHED_CHARS = 700_000, 64
+CACHED_WORDS, CACHED_CHARS = 400_000, 64
 
 TOKENS = "doc_id long, part long, start_in_part long, n long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
