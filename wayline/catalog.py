@@ -289,7 +289,7 @@ def stream_route_counts(spark, sf_dir):
     year = F.year("start_time")
     for newest in (year >= 2000, year.between(1996, 1999), year < 1996):
         found.filter(newest).write.mode("append").parquet(source)
-        counts.run_daily_counts(counts.file_stream(spark, source, found, 4), folder)
+        counts.run_daily_counts(counts.file_stream(spark, source, found), folder)
     return counts.latest_counts(spark, folder)
 
 

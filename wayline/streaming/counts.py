@@ -66,19 +66,23 @@ def _before(spark: SparkSession, folder: str, like: DataFrame, number: int) -> D
 def count_batch(found: DataFrame, ledger: str, changes: str, number: int) -> None:
     """Enter the accesses of one micro-batch and write what they add to the counts.
 
-    Only the days the batch has accesses of are read from the ledger.
+    The ledger is partitioned by month; only the months the batch has accesses
+    of are read from it.
     """
     spark = found.sparkSession
-    found = settle(with_day(found).dropDuplicates(ACCESS_KEY), "batch")
-    key = found.select(*ACCESS_KEY, "day")
-    days = [r["day"] for r in key.select("day").distinct().collect()]
-    known = _before(spark, ledger, key, number).filter(F.col("day").isin(days) | F.col("day").isNull())
+    found = with_day(found).dropDuplicates(ACCESS_KEY)
+    found = settle(found.withColumn("month", F.date_format("day", "yyyyMM").cast("int")), "batch")
+    key = found.select(*ACCESS_KEY, "month")
+    months = [r["month"] for r in key.select("month").distinct().collect() if r["month"] is not None]
+    known = _before(spark, ledger, key, number).filter(
+        F.col("month").isin(months) | F.col("month").isNull())
     known = known.select(*[F.col(c).alias(f"_{c}") for c in key.columns])
     same = F.lit(True)
     for c in key.columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     new = settle(found.join(known, same, "left_anti"), "new")
-    new.select(*key.columns).write.mode("overwrite").partitionBy("day").parquet(f"{ledger}/batch={number}")
+    new.select(*key.columns).repartition("month").write.mode("overwrite").partitionBy("month").parquet(
+        f"{ledger}/batch={number}")
     new.groupBy(*DAY_KEYS).agg(F.count("*").alias("added")).write.mode("overwrite").parquet(
         f"{changes}/batch={number}")
 
