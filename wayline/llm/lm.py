@@ -112,6 +112,8 @@ class Classes:
     """Class of every word: its own, the end, or the group of its ending."""
 
     def __init__(self, head: list[tuple[bytes, int]], classes: int = CLASSES, groups: int = GROUPS):
+        if classes + groups > 65_000:
+            raise ValueError("classes are numbered in 16 bits")
         words = [w for w, _ in head if w != END][:classes]
         self.own = {w: i for i, w in enumerate([END, *words])}
         endings: Counter = Counter()
@@ -179,10 +181,12 @@ class Model:
         return one, two, (np.log(sums) + top1 + top2.T).astype(np.float32)
 
 
-def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    d = values.shape[1]
-    flat = (index[:, None] * d + np.arange(d)).ravel()
-    return np.bincount(flat, values.ravel(), n * d).reshape(n, d)
+def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that occur in ``index`` and the sum of the values of each."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # short numbers are sorted by radix
+    rows = index[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 class Trainer:
@@ -203,16 +207,16 @@ class Trainer:
         up = (1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)  # towards the data
         down = (-1 / (1 + np.exp(-np.clip(noise, -30, 30)))).astype(np.float32)  # away from the noise
         gh = up[:, None] * rw + down @ rz
-        n = len(m.r)
-        gr = _sums(w, up[:, None] * h, n)
-        np.add.at(gr, z, down.T @ h)
-        gb = np.bincount(w, up, n)
-        np.add.at(gb, z, down.sum(axis=0))
-        for x, g, square in zip((m.a, m.b, m.r, m.bias),
-                                (_sums(u, gh, n + 1), _sums(v, gh, n + 1), gr, gb), self.squares, strict=True):
-            g = (g / len(w) * 100).astype(np.float32)
-            square += g * g
-            x += RATE * g / np.sqrt(square)
+        target = np.c_[up[:, None] * h, up]
+        noisy = np.c_[down.T @ h, down.sum(axis=0)]
+        rows, g = _sums(np.r_[w, z], np.r_[target, noisy])
+        # Only vectors that took part have moved.
+        for x, square, (at, change) in zip(
+                (m.a, m.b, m.r, m.bias), self.squares,
+                (_sums(u, gh), _sums(v, gh), (rows, g[:, :-1]), (rows, g[:, -1])), strict=True):
+            change = (change / len(w) * 100).astype(np.float32)
+            square[at] += change * change
+            x[at] += RATE * change / np.sqrt(square[at])
 
 
 def contexts(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
