@@ -122,13 +122,12 @@ def brute_positions(values):
     return found
 
 
-@pytest.mark.parametrize("limit", [None, 0])
 @pytest.mark.parametrize("columns", [4, 3])
-def test_sankey(many, columns, limit):
+def test_sankey(many, columns):
     stages = ["CLIENT", "WAREHOUSE", "DATABASE", "SCHEMA_NAME"][:columns]
     frame = many if columns == 4 else many.drop("SCHEMA_NAME")
     paths = flow.settle(flow.flow_paths(frame, "read"), "t")
-    nodes = flow.flow_nodes(paths, limit)
+    nodes = flow.flow_nodes(paths)
     data = [r for r in many.collect() if r["DIRECTION"] == "read"]
     want, index = [], {}
     for i, stage in enumerate(stages):
