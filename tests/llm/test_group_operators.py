@@ -336,6 +336,35 @@ def test_long_sentences_are_cut_by_what_they_say():
     assert len(one) > 20 and len(set(one) & set(two)) >= len(one) - 1
 
 
+def test_any_51_shared_words_hold_a_span():
+    rng = random.Random(4)
+
+    def some(n):
+        return [f"{rng.choice(VOCABULARY)}{rng.randrange(10**4)}{rng.choice(['', '', '', ',', '.'])}" for _ in range(n)]
+
+    def hashes(words):
+        return {h for _, _, h in spans.spans(spans.sentences(" ".join(words)))}
+
+    for k in range(2000):
+        passage = [some(51), [w.strip(",.") for w in some(51)], ["same"] * 51, some(3) * 17][k % 4]
+        one, two = ([*some(rng.randrange(60)), *passage, *some(rng.randrange(60))] for _ in range(2))
+        assert hashes(one) & hashes(two)
+
+
+def test_passages_at_any_word_are_removed(spark):
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(80)]
+    texts = []
+    for k in range(40):
+        own = [f"d{k}w{j}{rng.choice(['', '', '.', ','])}" for j in range(120)]
+        at = rng.randrange(121)
+        texts.append(" ".join([*own[:at], *passage, *own[at:]]))
+    for r in spans.without_repeats(frame(spark, texts)).collect():
+        left = sum(w.startswith("p") for w in r.text.split())
+        assert left == 80 if r.doc_id == 0 else left <= 2 * (spans.WINDOW - 1)
+        assert len(r.text.split()) == 120 + left and (r.removed_sentences > 0) == (r.doc_id > 0)
+
+
 # --- language model ----------------------------------------------------------
 
 

@@ -1,11 +1,19 @@
-"""Passages that repeat, found by sliding spans of sentences.
+"""Passages that repeat, found by sliding spans of sentences and of words.
 
 A text is cut into sentences; very long ones are cut on at commas, and where
-there are none after words picked by their hash, so that cuts depend on the
-words around them and not on the document.  From every sentence a span runs
-over at least ``SENTENCES`` sentences and ``WORDS`` words.  Spans are hashed,
-the hashes of all documents joined, and every sentence covered by a span that
-came earlier, in the same text or in a document of a smaller id, is removed.
+there are none after words picked by their hash.  From every sentence a span
+runs over at least ``SENTENCES`` sentences and ``WORDS`` words.
+
+Passages need not start or end with a sentence, so there are spans of just
+``WORDS`` words too: of all that start at ``WINDOW`` words in a row, the one
+with the least hash, the last of equals.  Which these are depends on the words
+they cover and on those up to ``WINDOW`` before and behind, and on nothing
+else: any ``WORDS + WINDOW - 1`` words (39) that two texts share hold one, also
+if they are one word over and over.  Two in a row leave no gap.  At either end
+of a passage up to ``WINDOW - 1`` words can stay.
+
+Spans are hashed, the hashes of all documents joined, and every word covered by
+a span that came earlier, in the same text or in a document of a smaller id, is removed.
 
 Only hashes and ids travel: to the grouping, which finds the first document of
 every span and sums up before it shuffles, and to the join that tells the
@@ -25,10 +33,13 @@ from pyspark.sql import functions as F
 from wayline.session import settle
 
 SENTENCES, WORDS = 2, 20
+#: Of the spans of words that start at so many words in a row one is taken.
+WINDOW = 20
 #: Sentences of more words are cut at commas, and after one word in eight.
 LONG, ONE_IN = 32, 8
 BREAK = re.compile(r"((?<=[.!?])\s+|\n\s*)")
 COMMA = re.compile(r"((?<=[,;:])\s+)")
+WORD = re.compile(r"\S+\s*")
 WORD_BREAK = re.compile(r"(\s+)")
 NO_ID = -2**63
 
@@ -54,8 +65,8 @@ def _cut(text: str) -> list[str]:
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """Parts that make up the text when joined; white space stays with the part before it."""
+def _sentences(text: str) -> list[str]:
+    """Sentences and parts of long ones that make up the text when joined."""
     parts = BREAK.split(text)
     out = []
     for part, space in zip(parts[::2], [*parts[1::2], ""], strict=True):
@@ -68,19 +79,71 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def spans(parts: list[str]) -> list[tuple[int, int, int]]:
-    """First and last sentence, and hash of the lower-case words, of the span from each sentence."""
+def _word_spans(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the spans of ``WORDS`` words that are taken."""
+    import xxhash
+
+    n = len(words) - WORDS + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    hashes = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += own[k:k + n]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(32)
+    if n < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = hashes & np.uint64(2**64 - 2**32) | np.arange(n, 0, -1, dtype=np.uint64)
+    wide = 1
+    while wide < WINDOW:  # the least of so many in a row
+        step = min(wide, WINDOW - wide)
+        least = np.minimum(least[:-step], least[step:])
+        wide += step
+    taken = np.zeros(n, bool)
+    taken[n - (least & np.uint64(2**32 - 1)).astype(np.int64)] = True
+    first = np.flatnonzero(taken)
+    return first, hashes[first].view(np.int64)
+
+
+def _found(text: str, words: list[str]) -> Iterator[tuple[int, int, int]]:
+    """First word, word behind the last, and hash of the spans of a text of these words."""
     import xxhash
 
-    found = [part.lower().split() for part in parts]
-    filled = [k for k, words in enumerate(found) if words]  # blank lines count for nothing
-    names = [" ".join(found[k]) for k in filled]
-    counts = np.array([len(found[k]) for k in filled], np.int64)
-    before = np.r_[0, np.cumsum(counts)]
-    ends = np.maximum(np.searchsorted(before, before[:-1] + WORDS), np.arange(len(filled)) + SENTENCES)
-    return [(filled[k], filled[end - 1],
-             xxhash.xxh64_intdigest(" ".join(names[k:end])) - 2**63)
-            for k, end in enumerate(ends.tolist()) if end <= len(filled)]
+    # Words before each sentence; blank lines count for nothing.
+    before, at = [0], 0
+    for sentence in _sentences(text):
+        at += len(sentence.split())
+        if at > before[-1]:
+            before.append(at)
+    ends = np.maximum(np.searchsorted(before, np.array(before[:-1]) + WORDS), np.arange(len(before) - 1) + SENTENCES)
+    for a, end in zip(before, ends.tolist(), strict=False):
+        if end < len(before):
+            yield a, before[end], xxhash.xxh64_intdigest(" ".join(words[a:before[end]])) - 2**63
+    first, hashes = _word_spans(words)
+    yield from zip(first.tolist(), (first + WORDS).tolist(), hashes.tolist(), strict=True)
+
+
+def parted(text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """A text's words with the white space after them, and the first and last word and hash of its spans."""
+    words = text.lower().split()
+    if not words:
+        return [text] if text else [], []
+    parts = WORD.findall(text)
+    parts[0] = text[:len(text) - len(text.lstrip())] + parts[0]
+    return parts, [(a, b - 1, h) for a, b, h in _found(text, words)]
+
+
+def sentences(text: str) -> list[str]:
+    """The parts that spans are made of: words, which make up the text when joined."""
+    return parted(text)[0]
+
+
+def spans(parts: list[str]) -> list[tuple[int, int, int]]:
+    """First and last part, and hash of the lower-case words, of the spans of a text's parts."""
+    return parted("".join(parts))[1]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -96,7 +159,8 @@ def span_hashes(docs: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 256)
                 hashes, ids = [], []
                 for doc_id, text in zip(part.column(0).to_numpy(), part.column(1), strict=True):
-                    own = {h for _, _, h in spans(sentences(text.as_py() or ""))}
+                    whole = text.as_py() or ""
+                    own = {h for _, _, h in _found(whole, whole.lower().split())}
                     hashes += own
                     ids.append(np.full(len(own), doc_id))
                 yield pa.RecordBatch.from_arrays(
@@ -116,7 +180,7 @@ def seen_before(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Every row's text without repeated passages, and how many sentences and words went.
+    """Every row's text without repeated passages, of how many sentences something went, and how many words.
 
     A null text is empty and gives an empty text.  Rows of one id are one
     document: what they share with each other is not removed.  Rows without an
@@ -130,18 +194,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 texts, cut, words = [], [], []
                 part = batch.slice(lo, 256)
                 for text, seen in zip(part.column(1), part.column(2), strict=True):
-                    parts = sentences(text.as_py() or "")
+                    parts, found = parted(text.as_py() or "")
                     known = set(seen.as_py() or ())
                     gone = np.zeros(len(parts) + 1, np.int64)
-                    for first, last, h in spans(parts):
+                    for first, last, h in found:
                         if h in known:  # seen elsewhere, or earlier in this text
                             gone[first] += 1
                             gone[last + 1] -= 1
                         known.add(h)
                     away = np.cumsum(gone)[:-1] > 0
                     texts.append("".join(p for p, a in zip(parts, away, strict=True) if not a))
-                    cut.append(int(sum(a and bool(p.strip()) for p, a in zip(parts, away, strict=True))))
-                    words.append(sum(len(p.split()) for p, a in zip(parts, away, strict=True) if a))
+                    if away.any():
+                        number = np.cumsum([0, *(bool(BREAK.search(p.lstrip())) for p in parts)])[:-1]
+                        cut.append(len(np.unique(number[away])))
+                    else:
+                        cut.append(0)
+                    words.append(int(away.sum()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(texts, pa.string()), pa.array(cut, pa.int64()),
                      pa.array(words, pa.int64())], names=["id", "text", "n_sentences", "n_words"])
