@@ -152,6 +152,26 @@ def test_odd_pages(html, text):
     assert extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content-sidebar-wrap'>%s</div>", "<div class='container has-sidebar'>%s</div>",
+    "<div class='has-header'>%s</div>", "<form id='aspnetForm'>%s</form>", "<div id=widget><form>%s</form></div>"])
+@pytest.mark.parametrize("story", ["<article>%s</article>", "<div class=post>%s</div>"])
+def test_wrappers_of_the_page_stay(wrapper, story):
+    text = "<h2>Head</h2><p>" + "Words that tell the story. " * 9 + "</p><p>" + "More of these. " * 9 + "</p>"
+    got = extract.main_text(PAGE % (wrapper % (story % text)))
+    assert got.startswith("Head\nWords that") and got.endswith("More of these.")
+    assert "Comments" not in got and "cookies" not in got and "Other things" not in got
+
+
+def test_marks_inside_an_article():
+    text = "<p>" + "Words that tell the story. " * 9 + "</p>"
+    got = extract.main_text(PAGE % (
+        f"<article>{text}<section id='related-work'><h2>Related work</h2><p>Others did this.</p></section>"
+        "<div class='widget'><p>Some more.</p></div><div class=related><a href=x>Read on</a></div>"
+        "<div class='ad'>Buy this</div><div class=comments><article class=comment>I say.</article></div></article>"))
+    assert got.endswith("Related work\nOthers did this.\nSome more.")
+
+
 def test_every_page_gives_a_row(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, None), (2, "v", "", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

@@ -6,8 +6,13 @@ have the largest sum of densities holds the article.  The smallest density on
 the way from it up to the body is the threshold: whatever stands beside that
 way and is at least as dense belongs to the article too.
 
-What never is article text (menus, forms, scripts, notices, comments and the
-like) is left out before densities are worked out.
+What never is article text (menus, scripts, notices, comments and the like) is
+left out before densities are worked out.  Names and forms may also belong to
+wrappers of the whole page.  So what is left out for its class, its id or as a
+form has to hold no more than half of the text in article and main elements;
+where the page has none, or inside of these, no more than half of the page's
+text.  Links don't count, nor do articles that bear such a name themselves,
+like comments do.
 """
 
 from __future__ import annotations
@@ -28,20 +33,22 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split())
 NEVER_TEXT = frozenset(
     "script style noscript template iframe svg canvas math object audio video head title nav footer "
-    "aside form button select textarea dialog menu map".split())
+    "aside button select textarea dialog menu map".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 #: Start tags that end an open element of the same list.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
         "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that an implied end never reaches beyond.
 SCOPES = frozenset("html body article main section div table td th ul ol dl blockquote".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: Parts of class names and ids that mark what isn't the article.
 MARKS = frozenset(
     "nav navbar navigation menu submenu footer sidebar ad ads adv advert adverts advertisement adsense banner "
     "cookie cookies consent gdpr notice notification popup overlay modal promo promotion sponsor sponsored "
     "comment comments commentlist disqus respond replies share sharing social related recommended breadcrumb "
     "breadcrumbs newsletter subscribe subscription login signup search pagination pager toolbar widget".split())
+#: Marks that inside an article only count for what consists of links mostly.
+WEAK = frozenset("related recommended search share sharing social toolbar widget".split())
 #: A tag that the end of the page cuts short.
 CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -53,6 +60,8 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.left_out = ["#root"], [-1], [False]
+        #: Whether an element is left out only if it is no wrapper, and if it is mostly links.
+        self.marked, self.weak = [False], [False]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or text None for a border
         self.open = [0]
 
@@ -65,7 +74,11 @@ class _Tree(HTMLParser):
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(self.open[-1])
-        self.left_out.append(self._unwanted(tag, dict(attrs)))
+        attrs = dict(attrs)
+        self.left_out.append(self._unwanted(tag, attrs))
+        marked, weak = self._marked(tag, attrs)
+        self.marked.append(marked)
+        self.weak.append(weak)
         if tag not in VOID:
             self.open.append(node)
         elif tag == "br":  # white space inside its block
@@ -103,13 +116,57 @@ class _Tree(HTMLParser):
             return True
         if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return True
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        parts = {x.lower() for x in NAME_PART.findall(names)} if names != " " else set()
-        if parts & MARKS:
-            return True
-        if tag == "header" or "header" in parts or "masthead" in parts:  # of the page, not of the article
-            return not any(self.tags[i] in ("article", "main") for i in self.open)
-        return False
+        return tag == "header" and not self._in_article()  # of the page, not of the article
+
+    def _in_article(self) -> bool:
+        return any(self.tags[i] in ("article", "main") for i in self.open)
+
+    def _marked(self, tag: str, attrs: dict) -> tuple[bool, bool]:
+        if tag in ("html", "body"):
+            return False, False
+        if tag == "form" or (attrs.get("role") or "").lower() == "form":
+            return True, False
+        names, name = attrs.get("class") or "", attrs.get("id") or ""
+        if not names and not name:
+            return False, False
+        parts, own = ({x.lower() for x in NAME_PART.findall(x)} for x in (names, name))
+        if not self._in_article():
+            parts |= own
+            return bool(parts & MARKS or "header" in parts or "masthead" in parts), False
+        if own <= MARKS:  # else the name of a heading, like related-work
+            parts |= own
+        found = parts & MARKS
+        return bool(found), bool(found) and found <= WEAK
+
+
+def _left_out(tree: _Tree) -> list[bool]:
+    """Whether an element or one above it is left out."""
+    tags, parents, out = tree.tags, tree.parents, tree.left_out
+    n = len(tags)
+    in_link, in_article = [False] * n, [False] * n
+    articles = [tags[i] in ("article", "main") and not tree.marked[i] for i in range(n)]
+    for i in range(1, n):
+        parent = parents[i]
+        out[i] = out[i] or out[parent]
+        in_link[i] = tags[i] == "a" or in_link[parent]
+        in_article[i] = in_article[parent] or tags[parent] in ("article", "main")
+    # Text outside links, all text, and text of the articles below.
+    plain, full, held = [0] * n, [0] * n, [0] * n
+    for node, text in tree.events:
+        if text and not out[node]:
+            size = len(text.strip())
+            full[node] += size
+            plain[node] += size * (not in_link[node])
+    for i in range(n - 1, 0, -1):
+        plain[parents[i]] += plain[i]
+        full[parents[i]] += full[i]
+        held[parents[i]] += plain[i] if articles[i] else held[i]
+    for i in range(1, n):
+        if tree.marked[i] and tags[i] not in ("article", "main") and not (tree.weak[i] and 2 * plain[i] > full[i]):
+            wraps = held[i] * 2 > held[0] or ((in_article[i] or not held[0]) and plain[i] * 2 > plain[0])
+            out[i] = out[i] or not wraps
+        out[i] = out[i] or out[parents[i]]
+    return out
 
 
 def densities(tags, parents, chars, links) -> list[float]:
@@ -145,9 +202,8 @@ def main_text(html: str) -> str:
     tree.close()
     tags, parents = tree.tags, tree.parents
     n = len(tags)
-    out, in_link = tree.left_out, [False] * n
+    out, in_link = _left_out(tree), [False] * n
     for i in range(1, n):
-        out[i] = out[i] or out[parents[i]]
         in_link[i] = tags[i] == "a" or in_link[parents[i]]
     chars, links = [0] * n, [0] * n
     for node, text in tree.events:
