@@ -172,6 +172,14 @@ def test_marks_inside_an_article():
     assert got.endswith("Related work\nOthers did this.\nSome more.")
 
 
+def test_text_beside_the_densest_article_stays():
+    part = "<p>" + "Words that tell the story. " * 9 + "</p>"
+    assert extract.main_text(PAGE % f"<main><h1>Title</h1><article>{part}{part}</article></main>").startswith("Title\nWords")
+    assert extract.main_text(PAGE % (
+        f"<article><h2>One</h2>{part}{part}</article><article><h2>Two</h2>{part}</article>"
+        f"<article><h2>Three</h2>{part}{part}</article>")).count("story.\n") == 4
+
+
 def test_every_page_gives_a_row(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, None), (2, "v", "", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

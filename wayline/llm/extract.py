@@ -4,7 +4,8 @@ Every element of a page gets a density: its characters per tag, lowered by the
 share of characters and tags that belong to links.  The element whose children
 have the largest sum of densities holds the article.  The smallest density on
 the way from it up to the body is the threshold: whatever stands beside that
-way and is at least as dense belongs to the article too.
+way and is at least as dense belongs to the article too.  So does the innermost
+article or main element on that way, whole.
 
 What never is article text (menus, scripts, notices, comments and the like) is
 left out before densities are worked out.  Names and forms may also belong to
@@ -222,15 +223,12 @@ def main_text(html: str) -> str:
     way = [best]
     while way[-1] and tags[way[-1]] != "body":
         way.append(parents[way[-1]])
-    top = [i for i in way if tags[i] in ("article", "main")]
-    if top:  # the page says itself where the article starts and ends
-        roots = {top[0]}
-    else:
-        threshold = min(dense[i] for i in way)
-        beside = set(way)
-        roots = {best} | {
-            i for i in range(1, n) if parents[i] in beside and i not in beside and not out[i] and chars[i]
-            and (dense[i] >= threshold or tags[i] in HEADINGS) and links[i] * 2 < chars[i]}
+    threshold = min(dense[i] for i in way)
+    beside = set(way)
+    roots = {best} | {
+        i for i in range(1, n) if parents[i] in beside and i not in beside and not out[i] and chars[i]
+        and (dense[i] >= threshold or tags[i] in HEADINGS) and links[i] * 2 < chars[i]}
+    roots |= set([i for i in way if tags[i] in ("article", "main")][:1])
     inside = [False] * n
     for i in range(n):
         inside[i] = not out[i] and (i in roots or (i > 0 and inside[parents[i]]))
