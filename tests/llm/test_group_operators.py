@@ -423,13 +423,9 @@ def test_pipeline_by_brute_force(spark):
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
     last = {t: i for i, t in sorted(rows.items())}
     rows = {i: t for t, i in last.items()}
-    prints = {i: simhash.fingerprint(t.encode()) for i, t in rows.items()}
-    codes = np.array(sorted(set(prints.values())), np.uint64)
-    root = dict(zip(codes.tolist(), components_by_hand(codes), strict=True))
-    least = {}
-    for i in sorted(rows):
-        least.setdefault(root[prints[i]], i)
-    rows = {i: rows[i] for i in least.values()}
+    ids = sorted(rows)
+    roots = near_by_hand([rows[i] for i in ids])
+    rows = {ids[k]: rows[ids[k]] for k, root in enumerate(roots) if k == root}
     clean = {r.doc_id: r.text for r in pii.pseudonymised(frame(spark, [])
              .union(spark.createDataFrame(list(rows.items()), TEXT))).collect()}
     pieces_fit(corpus_pipeline.run(spark, sf_dir).collect(), clean)
