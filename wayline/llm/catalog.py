@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, exact, extract, lm, packing, pii, quality, simhash, spans, warc
+from wayline.llm import (
+    bestfit, bpe, codes, exact, extract, lm, packing, pii, quality, simhash, spans, trie, warc,
+)
 from wayline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +54,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coded_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.packed_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_feistel_pii": op1_feistel_pii,
@@ -64,6 +78,9 @@ def queries() -> dict[str, Query]:
         "op8_sentence_spans": op8_sentence_spans,
         "op9_log_bilinear": op9_log_bilinear,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_best_fit": op12_best_fit,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -72,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_js_quality": quality.ORACLE,
         "op5_warc_segments": warc.ORACLE,
         "op7_exact_groups": exact.ORACLE,
+        "op11_vector_codes": codes.ORACLE,
+        "op13_prefix_trie": trie.ORACLE,
     }
