@@ -1,4 +1,7 @@
+import os
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import rows
@@ -6,7 +9,7 @@ from conftest import rows
 from wayline import schema
 from wayline.context import JobContext
 from wayline.operators import rules as rule_ops
-from wayline.sources import audit, derived, tables
+from wayline.sources import audit, derived, tables, versions
 
 
 @pytest.fixture()
@@ -79,12 +82,96 @@ def test_load_falls_back(spark, name, tmp_path, sample):
 
 
 def test_old_versions_go(spark, name, tmp_path):
-    table = tables.rules_table(name, str(tmp_path))
+    """By age: without an age to keep, what counts and what it replaced stay."""
+    table = tables.rules_table(name, str(tmp_path), keep_days=0)
     tables.ensure_table(spark, table)
     for k in range(5):
         tables.replace_contents(table, rule_frame(spark, (k, "a", "application", "A")))
-    assert len(tables.versions(spark, table)) == 2
+    assert len(versions.folders(spark, table.root)) == 2
     assert rows(spark.table(name)) == [(4, "a", "application", "A")]
+    assert versions.newest(spark, table.root).number == 5
+
+
+def test_two_writers(spark, name, tmp_path):
+    """One of two that edit the same version is refused; nothing of either is removed."""
+    table = tables.rules_table(name, str(tmp_path))
+    tables.ensure_table(spark, table)
+    tables.save_rules(table, rule_frame(spark, (0, "a", "application", "A")))
+    version, before = tables.contents(spark, table)
+    first, second = rule_frame(spark, (1, "b", "application", "B")), rule_frame(spark, (2, "c", "application", "C"))
+    assert tables.save_rules(table, first, expected=version) == 1
+    with pytest.raises(tables.VersionConflict):
+        tables.save_rules(table, second, expected=version)
+    assert rows(spark.table(name)) == [(1, "b", "application", "B")]
+    assert rows(before) == [(0, "a", "application", "A")]  # replaced, and still readable
+    assert len(versions.folders(spark, table.root)) == 3  # that of the refused writer as well
+    version, found = tables.contents(spark, table)
+    tables.save_rules(table, found.union(second), expected=version)
+    assert rows(spark.table(name)) == [(1, "b", "application", "B"), (2, "c", "application", "C")]
+
+
+def test_a_folder_under_way_is_left_alone(spark, name, tmp_path):
+    """Neither a failed write nor another writer's folder misleads a removal."""
+    table = tables.rules_table(name, str(tmp_path))
+    tables.ensure_table(spark, table)
+    tables.replace_contents(table, rule_frame(spark, (0, "a", "application", "A")))
+    _, before = tables.contents(spark, table)
+    other = versions.new_folder(table.root)
+    rule_frame(spark, (9, "z", "application", "Z")).write.parquet(other)
+    tables.replace_contents(table, rule_frame(spark, (1, "b", "application", "B")))
+    assert rows(before) == [(0, "a", "application", "A")]
+    assert spark.read.parquet(other).count() == 1
+    # Once it has an age, a folder that was never claimed goes; what counts doesn't.
+    old = time.time() - 8 * 86_400
+    for folder in tmp_path.glob("version-*"):
+        os.utime(folder, (old, old))
+    tables.replace_contents(table, rule_frame(spark, (2, "c", "application", "C")))
+    left = {f.name for f in tmp_path.glob("version-*")}
+    assert os.path.basename(other) not in left and len(left) == 2
+    assert rows(spark.table(name)) == [(2, "c", "application", "C")]
+
+
+def test_a_writer_that_dies(spark, name, tmp_path):
+    """A claim without a folder counts for nothing; one the table was not yet pointed at counts."""
+    table = tables.rules_table(name, str(tmp_path))
+    tables.ensure_table(spark, table)
+    tables.replace_contents(table, rule_frame(spark, (0, "a", "application", "A")))
+    (tmp_path / "claim-000000000002").touch()
+    assert versions.newest(spark, table.root).number == 1
+    folder = versions.new_folder(table.root)
+    rule_frame(spark, (1, "b", "application", "B")).write.parquet(folder)
+    versions.claim(spark, table.root, folder)
+    assert rows(spark.table(name)) == [(0, "a", "application", "A")]
+    assert tables.point(spark, table).number == 3
+    assert rows(spark.table(name)) == [(1, "b", "application", "B")]
+    assert tables.save_rules(table, rule_frame(spark), expected=3) == 0
+
+
+def test_writers_at_once(spark, name, tmp_path):
+    """Of writers at the same moment each gets a number, and the table is at the largest."""
+    table = tables.rules_table(name, str(tmp_path))
+    tables.ensure_table(spark, table)
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(lambda k: tables.replace_contents(
+            table, rule_frame(spark, (k, "a", "application", "A"))).version, range(4)))
+    assert sorted(results) == [1, 2, 3, 4]
+    assert rows(spark.table(name)) == [(results.index(4), "a", "application", "A")]
+
+
+def test_seeding_while_rules_are_edited(spark, name, tmp_path, monkeypatch):
+    """An edit that comes between is kept, and the seed added to it."""
+    table = tables.rules_table(name, str(tmp_path))
+    tables.ensure_table(spark, table)
+    edit, plain = rule_frame(spark, (0, "mine", "application", "Mine")), tables.missing_rules
+
+    def edited_meanwhile(seed, present):
+        monkeypatch.setattr(tables, "missing_rules", plain)
+        tables.save_rules(table, edit)
+        return plain(seed, present)
+
+    monkeypatch.setattr(tables, "missing_rules", edited_meanwhile)
+    assert tables.seed_rules(table, derived.rule_table(spark)) == len(derived.RULES)
+    assert {"mine", "%nimbus%"} <= {r.pattern for r in spark.table(name).collect()}
 
 
 def test_seed_keeps_edits(spark, name, tmp_path):

@@ -1,15 +1,14 @@
 """The two tables the package keeps: route snapshot and rules.
 
 Each is an external Parquet table.  New contents are written to a fresh folder
-under the table's root and the table is then pointed at it, so a reader sees the
-old contents or the new, and a failed write changes nothing.
+under the table's root, claimed as its next version, and the table is then
+pointed at it.  A reader sees the old contents or the new, a failed write changes
+nothing, and a writer can have its write refused if another came between.
 """
 
 from __future__ import annotations
 
 import logging
-import uuid
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,44 +20,48 @@ from wayline.context import JobContext
 from wayline.operators.rules import ordered_rules, rule_violations, missing_rules, upserted_rules
 from wayline.operators.shape import by_weight, loaded_routes
 from wayline.plans.refresh import AuditLogs, refresh_routes
+from wayline.sources import versions
+from wayline.sources.versions import Version, VersionConflict
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Table:
-    """A table name, the folder its versions live under, and its columns."""
+    """A table name, the folder its versions live under, and its columns.
+
+    Versions that nothing points at any more are kept for ``keep_days``.
+    """
 
     name: str
     root: str
     columns: T.StructType
-
-    def new_version(self) -> str:
-        return f"{self.root.rstrip('/')}/version-{uuid.uuid4().hex}"
+    keep_days: float = 7.0
 
 
 @dataclass(frozen=True)
 class WriteResult:
     rows: int
+    version: int = 0
 
     @property
     def message(self) -> str:
         return f"Route snapshot refreshed. Rows: {self.rows}"
 
 
-def routes_table(name: str, root: str) -> Table:
-    return Table(name, root, schema.ROUTES)
+def routes_table(name: str, root: str, **options) -> Table:
+    return Table(name, root, schema.ROUTES, **options)
 
 
-def rules_table(name: str, root: str) -> Table:
-    return Table(name, root, schema.RULES)
+def rules_table(name: str, root: str, **options) -> Table:
+    return Table(name, root, schema.RULES, **options)
 
 
 def ensure_table(spark: SparkSession, table: Table) -> None:
     """Create the table if it is not there; add columns it lacks."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.columns)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table.name} ({columns}) USING parquet "
-              f"LOCATION '{table.new_version()}'")
+              f"LOCATION '{versions.new_folder(table.root)}'")
     add_missing_columns(spark, table)
 
 
@@ -81,38 +84,46 @@ def aligned(df: DataFrame, columns: T.StructType) -> DataFrame:
     ])
 
 
-def replace_contents(table: Table, rows: DataFrame) -> WriteResult:
-    """Replace the whole table; the rows are counted while they are written."""
-    spark = rows.sparkSession
-    counted, replaced = Observation(), versions(spark, table)[-1:]
-    version = table.new_version()
+def location(spark: SparkSession, table: Table) -> str:
+    """The folder the catalog says the table is in."""
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {table.name}").filter("col_name = 'Location'")
+    return found.first()["data_type"]
+
+
+def point(spark: SparkSession, table: Table) -> Version:
+    """Point the table at its newest version, until no newer one has come meanwhile."""
+    while True:
+        now = versions.newest(spark, table.root)
+        if now.folder:
+            spark.sql(f"ALTER TABLE {table.name} SET LOCATION '{now.folder}'")
+            spark.catalog.refreshTable(table.name)
+        if versions.newest(spark, table.root) == now:
+            return now
+
+
+def contents(spark: SparkSession, table: Table) -> tuple[int, DataFrame]:
+    """The version that counts and its rows, which stay the same while the table moves on."""
+    now = versions.newest(spark, table.root)
+    if now.folder is None:
+        return 0, aligned(spark.table(table.name), table.columns)
+    return now.number, spark.read.schema(table.columns).parquet(now.folder)
+
+
+def replace_contents(table: Table, rows: DataFrame, expected: int | None = None) -> WriteResult:
+    """Replace the whole table; the rows are counted while they are written.
+
+    With ``expected``, the version the rows were made from, nothing changes and
+    ``VersionConflict`` is raised if another writer has replaced that.  Without
+    it the contents come after those of any other writer.
+    """
+    spark, counted = rows.sparkSession, Observation()
+    folder = versions.new_folder(table.root)
     aligned(rows, table.columns).observe(counted, F.count(F.lit(1)).alias("rows")) \
-        .write.parquet(version)
-    spark.sql(f"ALTER TABLE {table.name} SET LOCATION '{version}'")
-    spark.catalog.refreshTable(table.name)
-    remove_old_versions(spark, table, keep=(version, *replaced))
-    return WriteResult(counted.get["rows"])
-
-
-def versions(spark: SparkSession, table: Table) -> list[str]:
-    """Folders of the table's versions, oldest first."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.root)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    found = [f for f in files.listStatus(root) if f.getPath().getName().startswith("version-")]
-    return [f.getPath().toString() for f in sorted(found, key=lambda f: f.getModificationTime())]
-
-
-def remove_old_versions(spark: SparkSession, table: Table, keep: Sequence[str]) -> None:
-    """Delete all versions but those to keep: the current one, and the one before it,
-    which readers may still be reading."""
-    names = {k.rstrip("/").rsplit("/", 1)[1] for k in keep}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in versions(spark, table):
-        if folder.rsplit("/", 1)[1] not in names:
-            at = path(folder)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        .write.parquet(folder)
+    claimed = versions.claim(spark, table.root, folder, expected)
+    point(spark, table)
+    versions.remove_old(spark, table.root, table.keep_days, location(spark, table))
+    return WriteResult(counted.get["rows"], claimed.number)
 
 
 def run_refresh(table: Table, logs: AuditLogs, rules: DataFrame, ctx: JobContext) -> WriteResult:
@@ -144,21 +155,30 @@ def load_rules(spark: SparkSession, name: str) -> DataFrame:
     return ordered_rules(spark.table(name))
 
 
-def save_rules(table: Table, rules: DataFrame) -> int:
+def save_rules(table: Table, rules: DataFrame, expected: int | None = None) -> int:
     """Replace all rules and return how many there are now.
 
-    Nothing is written if any rule is faulty.  An empty frame empties the table.
+    Nothing is written if any rule is faulty, or if ``expected``, the version the
+    rules were edited from (see :func:`contents`), has been replaced.  An empty
+    frame empties the table.
     """
     faults = rule_violations(rules)
     if not faults.isEmpty():
         raise ValueError(f"faulty rule: {faults.first().asDict()}")
-    return replace_contents(table, rules).rows
+    return replace_contents(table, rules, expected).rows
 
 
 def seed_rules(table: Table, seed: DataFrame) -> int:
-    """Add seed rules the table lacks and return how many; edits stay as they are."""
-    present = seed.sparkSession.table(table.name)
-    lacking = missing_rules(seed, present).count()
-    if lacking:
-        replace_contents(table, upserted_rules(seed, present))
-    return lacking
+    """Add seed rules the table lacks and return how many; edits stay as they are.
+
+    If the rules are edited meanwhile, the edited ones are looked at again.
+    """
+    while True:
+        version, present = contents(seed.sparkSession, table)
+        lacking = missing_rules(seed, present).count()
+        try:
+            if lacking:
+                replace_contents(table, upserted_rules(seed, present), version)
+            return lacking
+        except VersionConflict:
+            log.info("rules of %s were edited while they were seeded", table.name)
