@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 from functools import reduce
@@ -15,6 +16,7 @@ from wayline.operators import bars as bar
 from wayline.operators import classify, clients, flow, graph, hierarchy, matrix, resolve, rules, shape
 from wayline.operators.graph import STARTING_VIEW, View
 from wayline.operators.prefix import prefix_scan
+from wayline.plans import partials
 from wayline.plans.history import snapshot_history
 from wayline.plans.network import Network
 from wayline.plans.refresh import AuditLogs, named_sessions, refresh_routes
@@ -114,6 +116,24 @@ def refresh_partitioned_logs(spark, sf_dir):
     return refresh_routes(read, derived.rule_table(spark), RECENT)
 
 
+def refresh_from_days(spark, sf_dir):
+    """Two weekly refreshes from daily counts.
+
+    The first is of the week before, when a fifth of the last two days' queries
+    had not been logged yet; the second reads the days that are new or open.
+    """
+    logs, root = derived.audit_logs(spark, sf_dir), scratch_path(spark, "partials")
+    store = partials.Partials("wayline_" + root.rsplit("-", 1)[1], root)
+    week_ago = dataclasses.replace(RECENT, as_of=RECENT.as_of - dt.timedelta(days=7))
+    late = (F.to_date("start_time") >= F.lit(week_ago.as_of - dt.timedelta(days=1))) & (
+        F.pmod(F.xxhash64("query_id"), F.lit(5)) == 0)
+    known = AuditLogs(logs.sessions, logs.queries.filter(~late), logs.access)
+    rule_table = derived.rule_table(spark)
+    partials.refresh_by_days(store, known, rule_table, week_ago).write.format("noop").mode("overwrite").save()
+    found = partials.refresh_by_days(store, logs, rule_table, RECENT)
+    return _read_and_dropped(spark, store, found)
+
+
 def _new_table(spark, make):
     root = scratch_path(spark, "table")
     table = make("wayline_" + root.rsplit("-", 1)[1], root)
@@ -281,30 +301,52 @@ def weekly_history(spark, sf_dir):
                             RECENT, *HISTORY)
 
 
+def _arrivals(start, parts: int, every: int, key):
+    """Number of the batch a record arrives in: by its time, one in ``every`` in the batch after.
+
+    Every other batch's stragglers are later than the bound, with those of the last
+    batch in time.
+    """
+    year = F.year(start)
+    turn = F.least(F.lit(parts - 2), F.floor((year - 1992) * (parts - 1) / 10)).cast("int")
+    return turn + F.when(F.pmod(F.xxhash64(key), F.lit(every)) == 0, 1).otherwise(0)
+
+
 def stream_route_counts(spark, sf_dir):
-    """Accesses streamed from files in several batches, the newest days first."""
-    source, folder = scratch_path(spark, "accesses"), scratch_path(spark, "stream")
-    found = settle(counts.resolved_accesses(
-        derived.audit_logs(spark, sf_dir), derived.rule_table(spark), ALL_TIME), "resolved")
-    year = F.year("start_time")
-    for newest in (year >= 2000, year.between(1996, 1999), year < 1996):
-        found.filter(newest).write.mode("append").parquet(source)
-        counts.run_daily_counts(counts.file_stream(spark, source, found), folder)
+    """Accesses streamed in small batches; one in seven comes a batch, and years, late."""
+    source, folder, parts = scratch_path(spark, "accesses"), scratch_path(spark, "stream"), 4
+    counts.use_rocksdb(spark)
+    found = counts.resolved_accesses(
+        derived.audit_logs(spark, sf_dir), derived.rule_table(spark), ALL_TIME)
+    found = settle(found.withColumn("part", _arrivals("start_time", parts, 7, "query_id")), "resolved")
+    for part in range(parts):
+        new = found.filter(F.col("part") == part).drop("part")
+        new.write.mode("append").parquet(source)
+        counts.run_daily_counts(counts.file_stream(spark, source, new), folder)
     return counts.latest_counts(spark, folder)
 
 
 def stream_query_log(spark, sf_dir):
-    """Both logs as streams; access records come before and after their queries."""
-    logs = derived.audit_logs(spark, sf_dir)
+    """Both logs as streams; access records come before and after their queries, some of
+    either long after."""
+    logs, parts = derived.audit_logs(spark, sf_dir), 4
     root, folder = scratch_path(spark, "logs"), scratch_path(spark, "stream")
+    counts.use_rocksdb(spark)
     named = settle(named_sessions(logs.sessions, derived.rule_table(spark)), "named")
-    queries, access = settle(logs.queries, "queries"), settle(logs.access, "access")
-    third = F.pmod(F.xxhash64("query_id"), F.lit(3))
-    for q, a in ((0, 1), (1, 2), (2, 0)):
-        for name, log, part in (("queries", queries, q), ("access", access, a)):
-            log.filter(third == part).write.mode("append").parquet(f"{root}/{name}")
-        counts.run_query_log(counts.file_stream(spark, f"{root}/queries", queries),
-                             counts.file_stream(spark, f"{root}/access", access), named, folder)
+    times = logs.queries.select("query_id", F.col("start_time").alias("query_start_time"))
+    found = {
+        "queries": logs.queries.withColumn("part", _arrivals("start_time", parts, 5, "query_id")),
+        "access": logs.access.join(times, "query_id").withColumn(
+            "part", _arrivals("query_start_time", parts, 3, "query_id")),
+    }
+    found = {name: settle(log, name) for name, log in found.items()}
+    for part in range(parts):
+        streams = []
+        for name, log in found.items():
+            new = log.filter(F.col("part") == part).drop("part")
+            new.write.mode("append").parquet(f"{root}/{name}")
+            streams.append(counts.file_stream(spark, f"{root}/{name}", new))
+        counts.run_query_log(*streams, named, folder)
     return counts.latest_counts(spark, folder)
 
 
@@ -321,6 +363,7 @@ def queries() -> dict[str, Query]:
         "refresh_repeated_sessions": refresh_repeated_sessions,
         "refresh_text_ids": refresh_text_ids,
         "refresh_partitioned_logs": refresh_partitioned_logs,
+        "refresh_from_days": refresh_from_days,
         "refresh_row_count": refresh_row_count,
         "snapshot_reload": snapshot_reload,
         "old_table_evolved": old_table_evolved,

@@ -88,8 +88,9 @@ def with_names(df: DataFrame) -> DataFrame:
                      qualified_schema_of(place).alias("schema_name"))
 
 
-def touched_places(access: DataFrame) -> DataFrame:
-    """``query_id, places``: the distinct places named in each access record.
+def touched_places(access: DataFrame, *extra: str) -> DataFrame:
+    """``query_id, places``: the distinct places named in each access record, with
+    ``extra`` columns.
 
     The array is reduced inside its row, so that only short distinct strings
     are shuffled, not one entry per object.  Objects that are not real leave a
@@ -99,7 +100,7 @@ def touched_places(access: DataFrame) -> DataFrame:
         F.col("direct_objects_accessed.objectName"),
         lambda name: F.when(is_real_object(name), place_of(name)),
     )
-    return access.select("query_id", F.array_distinct(places).alias("places"))
+    return access.select("query_id", *extra, F.array_distinct(places).alias("places"))
 
 
 def place_rows(queries: DataFrame, access: DataFrame) -> DataFrame:

@@ -446,6 +446,7 @@ SELECT client_app_id, application, client FROM named""",
             [raw(ALL_SINCE, REPEATED), NAMED, RESOLVED, SNAPSHOT]) + snapshot_columns,
         "refresh_text_ids": on_snapshot(snapshot_columns, RECENT_SINCE),
         "refresh_partitioned_logs": on_snapshot(snapshot_columns, RECENT_SINCE),
+        "refresh_from_days": on_snapshot(snapshot_columns, RECENT_SINCE),
         "refresh_row_count": on_snapshot("""
 SELECT count(*) AS rows, 'Route snapshot refreshed. Rows: ' || CAST(count(*) AS VARCHAR) AS message
 FROM snapshot""", RECENT_SINCE),

@@ -58,8 +58,13 @@ def route_counts(logs: AuditLogs, rules: DataFrame, since: dt.datetime | None =
     """
     logs = logs.within(since, until)
     per_session = session_counts(query_rows(logs.queries, since, extra), logs.access)
+    return named_counts(per_session, logs.sessions, rules)
+
+
+def named_counts(per_session: DataFrame, sessions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Counts per session and route, summed up under the names of the sessions."""
     keys = [c for c in per_session.columns if c not in ("session_id", "access_count")]
-    named = per_session.join(named_sessions(logs.sessions, rules), "session_id")
+    named = per_session.join(named_sessions(sessions, rules), "session_id")
     return with_names(named.groupBy("client", *keys).agg(
         F.sum("access_count").alias("access_count")))
 
