@@ -385,6 +385,40 @@ def test_scores(spark):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
+def test_score_by_plain_softmax(spark, monkeypatch):
+    """Probability of every token, one after the other: its class after two classes, its share inside."""
+    held, found = {}, {}
+
+    def keep(name, plain):
+        def run(*args, **options):
+            held[name], found[name] = args, plain(*args, **options)
+            return found[name]
+        monkeypatch.setattr(lm, name, run)
+
+    keep("coded", lm.coded)
+    keep("trained", lm.trained)
+    texts = dict(enumerate(some_texts(120, 13))) | {700: None, 701: "new words only"}
+    df = spark.createDataFrame(list(texts.items()), TEXT).repartition(3)
+    scores = {r.doc_id: r.score for r in lm.scored(df, classes=8, groups=4, table=12, rounds=1).collect()}
+    classes, model = held["coded"][1], found["trained"]
+    learnt = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1
+                     for w in lm.tokens((t or "").encode()))
+    mass = Counter(dict.fromkeys(range(classes.first_group, classes.size), 0.5))
+    for w, c in learnt.items():
+        mass[classes.class_of(w)] += c + 0.5
+    for i, text in texts.items():
+        u = v = classes.start
+        want = 0.0
+        for w in lm.tokens((text or "").encode()):
+            k = classes.class_of(w)
+            s = (model.a[u].astype(float) + model.b[v]) @ model.r.T.astype(float) + model.bias
+            want += s[k] - np.log(np.exp(s - s.max()).sum()) - s.max()
+            if k >= classes.first_group:
+                want += np.log((learnt[w] + 0.5) / mass[k])
+            u, v = v, k
+        assert scores[i] == pytest.approx(want / np.log(10), rel=1e-4)
+
+
 def test_probabilities_sum_to_one():
     share = np.full(30, 1 / 30)
     model = lm.Model.start(share, 8)

@@ -18,6 +18,9 @@ the same vectors, runs through its own tokens, and hands in its vectors, which
 are averaged by the number of tokens.  Counts of words come from a grouping
 over all training texts; words too rare for the table that every task holds
 are looked up by a join.
+
+Texts are cut into words twice: to count them, and to write every text as
+numbers, from which the rounds of training and the scoring start.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,11 @@ SEED = 7
 #: Distinct words a task counts before it passes counts on; words a worker remembers the class of.
 COUNTED, CACHED = 500_000, 300_000
 
-SCORED = ("kind int, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, "
-          "base double, model double, token binary, grouped boolean")
+#: A text as numbers of its words (kind 0), or a word of it that the table lacks (kind 1).
+CODED = pa.schema([
+    ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
+    ("codes", pa.binary()), ("token", pa.binary()), ("n", pa.int64()), ("grouped", pa.bool_())])
+SCORED = ("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -131,20 +137,9 @@ class Classes:
     def group_of(self, word: bytes) -> int:
         return self.groups.get(word[-SUFFIX:], self.other)
 
-    def lookup(self) -> dict[bytes, int]:
-        """Class by word, remembering words met before."""
-        own, group_of = self.own, self.group_of
-
-        class Known(dict):
-            def __missing__(self, word):
-                i = own.get(word)
-                if i is None:
-                    i = group_of(word)
-                if len(self) < CACHED:
-                    self[word] = i
-                return i
-
-        return Known()
+    def class_of(self, word: bytes) -> int:
+        i = self.own.get(word)
+        return self.group_of(word) if i is None else i
 
 
 class Model:
@@ -229,24 +224,82 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarr
     return u, v
 
 
-def _batches_of_ids(texts, lookup) -> tuple[np.ndarray, np.ndarray]:
-    found = [tokens(t) for t in texts]
-    lengths = np.array([len(x) for x in found])
-    return np.fromiter(map(lookup.__getitem__, chain.from_iterable(found)), np.int64, lengths.sum()), lengths
+def coded(rows: DataFrame, classes: Classes, words: list[bytes]) -> DataFrame:
+    """Texts as numbers, written once: a word's place among ``words``, or -1 less its class.
+
+    Words without a place come as rows of their own, with how often the text has them.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((classes, words))
+    fields = ", ".join(f"{f.name} {t}" for f, t in zip(
+        CODED, ("int", "long", "long", "boolean", "binary", "binary", "long", "boolean"), strict=True))
+
+    def batch_of(**columns) -> pa.RecordBatch:
+        n = len(columns["rid"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in CODED],
+            schema=CODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = held.value
+        first, most = known.first_group, len(table) + CACHED
 
+        class Codes(dict):
+            def __missing__(self, word):
+                code = -1 - known.class_of(word)
+                if len(self) < most:
+                    self[word] = code
+                return code
 
-def trained(texts: DataFrame, classes: Classes, share: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Train on every row of ``text`` (bytes); each round averages what the partitions learnt."""
+        lookup, rid = Codes(zip(table, range(len(table)), strict=True)), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                found = [tokens(t.as_py()) for t in part.column(2)]
+                lengths = np.array([len(x) for x in found])
+                flat = list(chain.from_iterable(found))
+                codes = np.fromiter(map(lookup.__getitem__, flat), "<i4", len(flat))
+                ends, data = 4 * np.cumsum(lengths), codes.tobytes()
+                rids = rid + np.arange(len(found))
+                rid += len(found)
+                yield batch_of(kind=np.zeros(len(found), np.int32), rid=rids, doc_id=part.column(0).to_pylist(),
+                               held_out=part.column(1).to_pylist(),
+                               codes=[data[e - 4 * n:e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)])
+                rare, owners = np.flatnonzero(codes < 0), np.repeat(rids, lengths)
+                times = Counter(zip(owners[rare].tolist(), map(flat.__getitem__, rare.tolist()), strict=True))
+                if times:
+                    (ids, names), n = zip(*times, strict=True), list(times.values())
+                    yield batch_of(kind=np.ones(len(n), np.int32), rid=ids, token=names, n=n,
+                                   grouped=[-1 - lookup[w] >= first for w in names])
+
+    return settle(rows.select("doc_id", "held_out", "text").mapInArrow(run, fields), "coded")
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of some texts one after the other, and how many each has."""
+    data = [c.as_py() for c in column]
+    return np.frombuffer(b"".join(data), "<i4"), np.array([len(x) // 4 for x in data])
+
+
+def _classes_of(codes: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    return np.where(codes >= 0, class_of[np.maximum(codes, 0)], -1 - codes).astype(np.int64)
+
+
+def trained(texts: DataFrame, class_of: np.ndarray, start: int, share: np.ndarray,
+            rounds: int = ROUNDS) -> Model:
+    """Train on every row of ``codes``; each round averages what the partitions learnt.
+
+    ``class_of`` has the class of every place, ``start`` is that before a text.
+    """
     model = Model.start(share)
     spark = texts.sparkSession
     width = DIMENSIONS + 1
     schema = "slot int, weight double, " + ", ".join(f"v{k} double" for k in range(width))
     for number in range(rounds):
-        held = spark.sparkContext.broadcast((classes, model.rows(), share))
+        held = spark.sparkContext.broadcast((class_of, model.rows(), share))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
-            known, rows, shares = held.value
-            lookup, own = known.lookup(), Model.from_rows(rows)
+            class_of_, rows, shares = held.value
+            own = Model.from_rows(rows)
             trainer = Trainer(own, shares, SEED + 1_000_003 * number + TaskContext.get().partitionId())
             seen, left = 0, [np.zeros(0, np.int64)] * 3
 
@@ -262,8 +315,9 @@ def trained(texts: DataFrame, classes: Classes, share: np.ndarray, rounds: int =
             for batch in batches:
                 column = batch.column(0)
                 for lo in range(0, len(column), 128):
-                    ids, lengths = _batches_of_ids((t.as_py() for t in column[lo:lo + 128]), lookup)
-                    u, v = contexts(ids, lengths, known.start)
+                    codes, lengths = _codes(column[lo:lo + 128])
+                    ids = _classes_of(codes, class_of_)
+                    u, v = contexts(ids, lengths, start)
                     left = [np.r_[x, y] for x, y in zip(left, (u, v, ids), strict=True)]
                     seen += len(ids)
                     if len(left[0]) >= 32 * BATCH:
@@ -276,7 +330,7 @@ def trained(texts: DataFrame, classes: Classes, share: np.ndarray, rounds: int =
                      *[pa.array(out[:, k]) for k in range(width)]],
                     names=["slot", "weight", *[f"v{k}" for k in range(width)]])
 
-        found = texts.select("text").mapInArrow(run, schema).groupBy("slot").agg(
+        found = texts.select("codes").mapInArrow(run, schema).groupBy("slot").agg(
             *[(F.sum(f"v{k}") / F.sum("weight")).alias(f"v{k}") for k in range(width)])
         rows = found.collect()  # a row per vector, however large the corpus
         if rows:
@@ -326,75 +380,43 @@ def scored(docs: DataFrame, classes: int = CLASSES, groups: int = GROUPS, table:
     for ending, value in mass.items():
         class_mass[known.groups.get(ending, known.other) if ending is not None else known.other] += value
     share = class_mass / class_mass.sum()
-    model = trained(learn, known, share, rounds)
+    words = [w for w, _ in head]
+    class_of = np.array([known.class_of(w) for w in words] or [0], np.int64)
+    texts = coded(rows, known, words)
+    model = trained(texts.where("kind = 0 AND NOT held_out"), class_of, known.start, share, rounds)
 
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((known, model.rows(), class_mass, dict(head)))
-    zero = math.log10(total + 0.5 * (distinct + 1))
+    logs = np.log10(np.array([c for _, c in head] or [0]) + 0.5)
+    held = spark.sparkContext.broadcast((class_of, model.rows(), np.log10(class_mass), logs))
+    zero, first, start = math.log10(total + 0.5 * (distinct + 1)), known.first_group, known.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes_, rows_, masses, table_ = held.value
-        lookup, own = classes_.lookup(), classes_.own
+        class_of_, rows_, within, logs_ = held.value
         one, two, norm = Model.from_rows(rows_).tables()
-        within = np.log10(masses)
-        names = list(table_)
-        place = {w: i for i, w in enumerate(names)}
-        logs = np.log10(np.fromiter(table_.values(), np.float64, len(names)) + 0.5)
-        grouped = np.array([w not in own for w in names], bool)
-        first = classes_.first_group
-        rid = TaskContext.get().partitionId() << 33
-        schema = pa.schema([
-            ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-            ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()),
-            ("token", pa.binary()), ("grouped", pa.bool_())])
-
-        def documents(part: pa.RecordBatch):
-            nonlocal rid
-            out = {name: [] for name in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model")}
-            rare: list[tuple[int, bytes, int]] = []
-            for doc_id, out_, text in zip(*[part.column(k) for k in range(3)], strict=True):
-                found = tokens(text.as_py())
-                ids = np.fromiter(map(lookup.__getitem__, found), np.int64, len(found))
-                u, v = contexts(ids, np.array([len(ids)]), classes_.start)
-                model_ = float((one[u, ids] + two[v, ids] - norm[u, v]).sum(dtype=np.float64)) / math.log(10)
-                in_group = ids >= first
-                model_ -= float(within[ids[in_group]].sum())
-                places = np.fromiter(map(place.get, found, repeat(-1)), np.int64, len(found))
-                hit = places >= 0
-                base = float(logs[places[hit]].sum())
-                model_ += float((logs[places[hit]] * grouped[places[hit]]).sum())
-                for word, n in Counter(w for w in found if w not in place).items():
-                    rare.append((rid, word, n))
-                for name, value in zip(out, (rid, doc_id.as_py(), out_.as_py(), len(found), int(hit.sum()),
-                                             base - zero * len(found), model_), strict=True):
-                    out[name].append(value)
-                rid += 1
-            n = len(out["rid"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), *[pa.array(out[f.name], f.type) for f in list(schema)[1:8]],
-                 *[pa.nulls(n, f.type) for f in list(schema)[8:]]], schema=schema)
-            for lo in range(0, len(rare), 20_000):
-                ids_, words, counts_ = zip(*rare[lo:lo + 20_000], strict=True)
-                n = len(ids_)
-                columns = {"kind": pa.array(np.ones(n, np.int32)), "rid": pa.array(ids_, pa.int64()),
-                           "n_tokens": pa.array(counts_, pa.int64()), "token": pa.array(words, pa.binary()),
-                           "grouped": pa.array([w not in own for w in words], pa.bool_())}
-                yield pa.RecordBatch.from_arrays(
-                    [columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
-
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
-                yield from documents(batch.slice(lo, 128))
+                part = batch.slice(lo, 128)
+                codes, lengths = _codes(part.column(3))
+                ids, hit = _classes_of(codes, class_of_), codes >= 0
+                u, v = contexts(ids, lengths, start)
+                share_ = np.where(hit, logs_[np.maximum(codes, 0)], 0.0)
+                model_ = (one[u, ids] + two[v, ids] - norm[u, v]) / math.log(10)
+                model_ += np.where(ids >= first, share_ - within[ids], 0.0)
+                starts = np.cumsum(lengths) - lengths
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(lengths), pa.array(np.add.reduceat(hit.astype(np.int64), starts)),
+                     pa.array(np.add.reduceat(share_, starts) - zero * lengths),
+                     pa.array(np.add.reduceat(model_.astype(np.float64), starts))],
+                    names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
 
-    found = settle(rows.mapInArrow(run, SCORED), "scored")
+    found = texts.where("kind = 0").select("rid", "doc_id", "held_out", "codes").mapInArrow(run, SCORED)
     # Words outside the table: rare ones by a join, each at most as often as the table's rarest.
-    rare = (found.where("kind = 1").select("rid", "token", F.col("n_tokens").alias("n"), "grouped")
-            .join(counts, "token", "left"))
+    rare = texts.where("kind = 1").select("rid", "token", "n", "grouped").join(counts, "token", "left")
     log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     rare = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(log).alias("more_base"), F.sum(F.when(F.col("grouped"), log).otherwise(0.0)).alias("more_model"))
-    documents = found.where("kind = 0").join(rare, "rid", "left")
+    documents = found.join(rare, "rid", "left")
     return documents.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
