@@ -1,29 +1,28 @@
-"""Passages that repeat, found by sliding spans of sentences and of words.
-
-A text is cut into sentences; very long ones are cut on at commas, and where
-there are none after words picked by their hash.  From every sentence a span
-runs over at least ``SENTENCES`` sentences and ``WORDS`` words.
-
-Passages need not start or end with a sentence, so there are spans of just
-``WORDS`` words too: of all that start at ``WINDOW`` words in a row, the one
-with the least hash, the last of equals.  Which these are depends on the words
-they cover and on those up to ``WINDOW`` before and behind, and on nothing
-else: any ``WORDS + WINDOW - 1`` words (39) that two texts share hold one, also
-if they are one word over and over.  Two in a row leave no gap.  At either end
-of a passage up to ``WINDOW - 1`` words can stay.
-
-Spans are hashed, the hashes of all documents joined, and every word covered by
-a span that came earlier, in the same text or in a document of a smaller id, is removed.
-
-Only hashes and ids travel: to the grouping, which finds the first document of
-every span and sums up before it shuffles, and to the join that tells the
-others.  Spans that a text repeats itself need neither.
+"""Repeated passages, found by sliding spans of short sentences.
+
+A text is cut into *units*: at the ends of sentences and lines, and inside of
+sentences after one word in ``ONE_IN``, told by the word's hash.  Where that
+leaves more than ``LONG`` words without a cut, every window of so many words is
+cut after its word of the least hash, every one of them if several have it.  So
+cuts depend on the words next to them and not on how long the sentence is or
+where a passage starts, and runs of one word are cut too.
+
+From every unit a span runs over the units that follow until it has ``WORDS``
+words.  A cut is never more than ``LONG`` words away, so 51 words that two texts
+share hold a common span, wherever they start; only cuts that a window across
+the passage's end adds can spoil that.
+
+Each text is cut and hashed once, and the hashes are written.  They are joined
+over all documents; units covered by a span that came earlier, in the same text
+or in a document of a smaller id, are removed.  Only texts of which something
+goes are cut again for that.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,189 +31,170 @@ from pyspark.sql import functions as F
 
 from wayline.session import settle
 
-SENTENCES, WORDS = 2, 20
-#: Of the spans of words that start at so many words in a row one is taken.
-WINDOW = 20
-#: Sentences of more words are cut at commas, and after one word in eight.
-LONG, ONE_IN = 32, 8
-BREAK = re.compile(r"((?<=[.!?])\s+|\n\s*)")
-COMMA = re.compile(r"((?<=[,;:])\s+)")
+#: Words of a span at least; one word in so many ends a unit; words without a cut at most.
+WORDS, ONE_IN, LONG = 27, 12, 12
+SENTENCE_END = (".", "!", "?")
 WORD = re.compile(r"\S+\s*")
-WORD_BREAK = re.compile(r"(\s+)")
 NO_ID = -2**63
+#: Words a worker remembers the hash of, and how long such a word may be.
+CACHED, CACHED_CHARS = 500_000, 40
 
+HASHED = "id long, mark long, hashes array<long>, repeats boolean"
+DONE = "id long, text string, n_units long, n_words long"
 
-def _cut(text: str) -> list[str]:
-    """A long stretch in parts, each with the white space after it."""
-    parts = COMMA.split(text)
-    out = []
-    for part, space in zip(parts[::2], [*parts[1::2], ""], strict=True):
-        if len(part.split()) <= LONG:
-            out.append(part + space)
-            continue
-        import xxhash
-
-        pieces, held = WORD_BREAK.split(part), []
-        for word, gap in zip(pieces[::2], [*pieces[1::2], space], strict=True):
-            held.append(word + gap)
-            if xxhash.xxh32_intdigest(word.lower()) % ONE_IN == 0:
-                out.append("".join(held))
-                held = []
-        if held:
-            out.append("".join(held))
-    return out
-
-
-def _sentences(text: str) -> list[str]:
-    """Sentences and parts of long ones that make up the text when joined."""
-    parts = BREAK.split(text)
-    out = []
-    for part, space in zip(parts[::2], [*parts[1::2], ""], strict=True):
-        if part.count(" ") < LONG:
-            out.append(part + space)
-        else:
-            cut = _cut(part)
-            cut[-1] += space
-            out += cut
-    return out
-
-
-def _word_spans(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the spans of ``WORDS`` words that are taken."""
-    import xxhash
-
-    n = len(words) - WORDS + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    hashes = np.zeros(n, np.uint64)
-    for k in range(WORDS):
-        hashes *= np.uint64(0x9E3779B97F4A7C15)
-        hashes += own[k:k + n]
-    hashes ^= hashes >> np.uint64(32)
-    hashes *= np.uint64(0xD6E8FEB86659FD93)
-    hashes ^= hashes >> np.uint64(32)
-    if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    least = hashes & np.uint64(2**64 - 2**32) | np.arange(n, 0, -1, dtype=np.uint64)
-    wide = 1
-    while wide < WINDOW:  # the least of so many in a row
-        step = min(wide, WINDOW - wide)
-        least = np.minimum(least[:-step], least[step:])
-        wide += step
-    taken = np.zeros(n, bool)
-    taken[n - (least & np.uint64(2**32 - 1)).astype(np.int64)] = True
-    first = np.flatnonzero(taken)
-    return first, hashes[first].view(np.int64)
-
-
-def _found(text: str, words: list[str]) -> Iterator[tuple[int, int, int]]:
-    """First word, word behind the last, and hash of the spans of a text of these words."""
-    import xxhash
-
-    # Words before each sentence; blank lines count for nothing.
-    before, at = [0], 0
-    for sentence in _sentences(text):
-        at += len(sentence.split())
-        if at > before[-1]:
-            before.append(at)
-    ends = np.maximum(np.searchsorted(before, np.array(before[:-1]) + WORDS), np.arange(len(before) - 1) + SENTENCES)
-    for a, end in zip(before, ends.tolist(), strict=False):
-        if end < len(before):
-            yield a, before[end], xxhash.xxh64_intdigest(" ".join(words[a:before[end]])) - 2**63
-    first, hashes = _word_spans(words)
-    yield from zip(first.tolist(), (first + WORDS).tolist(), hashes.tolist(), strict=True)
-
-
-def parted(text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """A text's words with the white space after them, and the first and last word and hash of its spans."""
-    words = text.lower().split()
-    if not words:
-        return [text] if text else [], []
-    parts = WORD.findall(text)
-    parts[0] = text[:len(text) - len(text.lstrip())] + parts[0]
-    return parts, [(a, b - 1, h) for a, b, h in _found(text, words)]
 
+class _Words(dict):
+    """Hashes of words, of which the lowest bit tells whether a unit ends with the word."""
 
-def sentences(text: str) -> list[str]:
-    """The parts that spans are made of: words, which make up the text when joined."""
-    return parted(text)[0]
-
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
-def spans(parts: list[str]) -> list[tuple[int, int, int]]:
-    """First and last part, and hash of the lower-case words, of the spans of a text's parts."""
-    return parted("".join(parts))[1]
+        own = xxhash.xxh64_intdigest(word)
+        ends = word.endswith(SENTENCE_END) or (own >> 32) % ONE_IN == 0
+        own = own & ~1 | ends
+        if len(self) < CACHED and len(word) <= CACHED_CHARS:
+            self[word] = own
+        return own
+
+
+@cache
+def _words() -> _Words:
+    return _Words()
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    one = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        return tuple(np.r_[np.uint64(1), np.cumprod(np.full(size, x, np.uint64))]
+                     for x in (one, pow(one, -1, 2**64)))
+
+
+def _least(own: np.ndarray) -> np.ndarray:
+    """Which words have the least hash of some window of ``LONG`` words."""
+    windows = np.lib.stride_tricks.sliding_window_view(own, LONG).min(axis=1)
+    around = np.lib.stride_tricks.sliding_window_view(
+        np.r_[np.zeros(LONG - 1, np.uint64), windows, np.zeros(LONG - 1, np.uint64)], LONG).max(axis=1)
+    return own == around
+
+
+def _units(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's lower-case words, and the number of words up to the end of each unit."""
+    words: list[str] = []
+    lines = []
+    for line in text.lower().split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    own = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
+    cut = (own & np.uint64(1)).astype(bool)
+    cut[np.array(lines)[np.array(lines) > 0] - 1] = True
+    ends = np.flatnonzero(cut) + 1
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    for a, b in zip(starts, ends, strict=True):
+        if b - a > LONG:
+            cut[a:b] |= _least(own[a:b])
+    return own, np.flatnonzero(cut) + 1
+
+
+def _spans(own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, unit behind the last, and hash of every span."""
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    behind = np.searchsorted(ends, starts + WORDS) + 1
+    first = np.flatnonzero(behind <= len(ends))
+    behind = behind[first]
+    size = 1 << max(len(own), 1024).bit_length()
+    up, down = _powers(size)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(own * up[:len(own)], dtype=np.uint64)]
+        a, b = starts[first], ends[behind - 1]
+        h = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return first, behind, (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    """Rows with ``mark``, which tells different texts of one id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
 
 
 def span_hashes(docs: DataFrame) -> DataFrame:
-    """``h`` and ``id``, once for every span of a text."""
+    """The different ``hashes`` of every text's spans, and if it ``repeats`` one; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                hashes, ids = [], []
-                for doc_id, text in zip(part.column(0).to_numpy(), part.column(1), strict=True):
-                    whole = text.as_py() or ""
-                    own = {h for _, _, h in _found(whole, whole.lower().split())}
-                    hashes += own
-                    ids.append(np.full(len(own), doc_id))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.int64()), pa.array(np.concatenate(ids), pa.int64())],
-                    names=["h", "id"])
-
-    return _keyed(docs).mapInArrow(run, "h long, id long")
-
-
-def seen_before(docs: DataFrame) -> DataFrame:
-    """``id`` and ``seen``, the hashes of its spans that a document of a smaller id has."""
-    firsts = span_hashes(docs).groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                hashes, sizes, repeats = [], [0], []
+                for text in part.column(2):
+                    _, _, found = _spans(*_units(text.as_py() or ""))
+                    own = np.unique(found)
+                    hashes.append(own)
+                    sizes.append(len(own))
+                    repeats.append(len(own) < len(found))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()),
+                                                 pa.array(np.concatenate(hashes)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(repeats)],
+                                                 names=["id", "mark", "hashes", "repeats"])
+
+    return settle(_keyed(docs).mapInArrow(run, HASHED), "spans")
+
+
+def seen_before(hashed: DataFrame) -> DataFrame:
+    """``id, mark, seen``: of texts that lose something, the hashes a smaller id has as well."""
+    spans = hashed.select("id", "mark", F.explode("hashes").alias("h"))
+    firsts = spans.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     # Written: the join can only split a hot passage if neither side is grouped on the way into it.
     firsts = settle(firsts.where(F.col("first") < F.col("last")).select("h", "first"), "firsts")
-    again = span_hashes(docs).join(firsts, "h").where(F.col("id") > F.col("first"))
-    return again.groupBy("id").agg(F.collect_set("h").alias("seen"))
+    again = spans.join(firsts, "h").where(F.col("id") > F.col("first")).select("id", "mark", "h")
+    own = hashed.where("repeats").select("id", "mark", F.lit(None).cast("long").alias("h"))
+    # A set of one text's hashes, whatever the number of equal rows; nulls don't get into it.
+    return again.unionByName(own).groupBy("id", "mark").agg(F.collect_set("h").alias("seen"))
+
+
+def _without(text: str, seen: np.ndarray) -> tuple[str, int, int]:
+    """A text without its repeated units, how many these are, and their words."""
+    own, ends = _units(text)
+    first, behind, hashes = _spans(own, ends)
+    again = np.ones(len(hashes), bool)
+    again[np.unique(hashes, return_index=True)[1]] = False  # the first of equal ones in this text
+    again |= np.isin(hashes, seen)
+    gone = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(gone, first[again], 1)
+    np.add.at(gone, behind[again], -1)
+    away = np.cumsum(gone)[:-1] > 0
+    of_words = np.repeat(away, np.diff(np.r_[0, ends]))
+    parts = WORD.findall(text)
+    if parts:
+        parts[0] = text[:len(text) - len(text.lstrip())] + parts[0]
+    left = "".join(p for p, x in zip(parts, of_words, strict=True) if not x)
+    return left, int(away.sum()), int(of_words.sum())
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Every row's text without repeated passages, of how many sentences something went, and how many words.
+    """Every row's text without repeated passages, how many units went, and how many words.
 
     A null text is empty and gives an empty text.  Rows of one id are one
     document: what they share with each other is not removed.  Rows without an
     id are taken for one document that comes before all others.
     """
-    rows = _keyed(docs).join(seen_before(docs), "id", "left")
+    rows = _keyed(docs).join(seen_before(span_hashes(docs)), ["id", "mark"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                texts, cut, words = [], [], []
                 part = batch.slice(lo, 256)
+                found = []
                 for text, seen in zip(part.column(1), part.column(2), strict=True):
-                    parts, found = parted(text.as_py() or "")
-                    known = set(seen.as_py() or ())
-                    gone = np.zeros(len(parts) + 1, np.int64)
-                    for first, last, h in found:
-                        if h in known:  # seen elsewhere, or earlier in this text
-                            gone[first] += 1
-                            gone[last + 1] -= 1
-                        known.add(h)
-                    away = np.cumsum(gone)[:-1] > 0
-                    texts.append("".join(p for p, a in zip(parts, away, strict=True) if not a))
-                    if away.any():
-                        number = np.cumsum([0, *(bool(BREAK.search(p.lstrip())) for p in parts)])[:-1]
-                        cut.append(len(np.unique(number[away])))
-                    else:
-                        cut.append(0)
-                    words.append(int(away.sum()))
+                    text, known = text.as_py() or "", seen.values
+                    found.append((text, 0, 0) if known is None else _without(
+                        text, known.to_numpy(zero_copy_only=False)))
+                texts, units, words = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(texts, pa.string()), pa.array(cut, pa.int64()),
-                     pa.array(words, pa.int64())], names=["id", "text", "n_sentences", "n_words"])
+                    [part.column(0), pa.array(texts, pa.string()), pa.array(units, pa.int64()),
+                     pa.array(words, pa.int64())], names=["id", "text", "n_units", "n_words"])
 
-    done = rows.select("id", "text", "seen").mapInArrow(
-        run, "id long, text string, n_sentences long, n_words long")
+    done = rows.select("id", "text", "seen").mapInArrow(run, DONE)
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text",
-                       F.col("n_sentences").alias("removed_sentences"), F.col("n_words").alias("removed_words"))
+                       F.col("n_units").alias("removed_sentences"), F.col("n_words").alias("removed_words"))
