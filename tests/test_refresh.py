@@ -5,7 +5,7 @@ from conftest import rows
 
 from wayline import schema
 from wayline.context import JobContext
-from wayline.operators import classify
+from wayline.operators import classify, patterns
 from wayline.operators.resolve import accesses, pruned, query_rows, session_rows, touched_places
 from wayline.plans.refresh import AuditLogs, refresh_routes
 from wayline.sources import derived
@@ -157,12 +157,14 @@ def test_rule_parts_find_the_same(spark):
     found = rules(spark, *[(i, f"%{p}%", f, p) for i, (p, f) in enumerate(
         (p, f) for p in ("tableau", "spark", "twin", "dbt", "jdbc", "twin") for f in classify.PAIR)])
     found = found.union(found.filter("display_name = 'twin'"))  # rules that are there twice
-    assert len(classify.rule_slices(found, limit=600)) > 4
+    assert len(patterns.in_slices(classify.prepared(found), limit=600)) > 4
     whole = rows(classify.match_rules(pairs, found))
     assert rows(classify.match_rules(pairs, found, limit=600)) == whole
+    assert rows(classify.match_rules(pairs, found, looped=2)) == whole
     assert len([r for r in whole if r[5] == "twin"]) == 4
     assert [r[:2] for r in whole if r[2] is None] == [("nothing", None)]
     assert rows(classify.best_rules(pairs, found, limit=600)) == rows(classify.best_rules(pairs, found))
+    assert rows(classify.best_rules(pairs, found, looped=2)) == rows(classify.best_rules(pairs, found))
 
 
 def test_repeated_sessions_count_once(spark):

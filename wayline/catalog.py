@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayline.functions.direction import statement_direction
 from wayline.functions.names import short_schema
 from wayline.operators import bars as bar
-from wayline.operators import classify, clients, flow, graph, hierarchy, matrix, resolve, rules, shape
+from wayline.operators import classify, clients, flow, graph, hierarchy, matrix, patterns, resolve, rules, shape
 from wayline.operators.graph import STARTING_VIEW, View
 from wayline.operators.prefix import prefix_scan
 from wayline.plans import partials
@@ -83,6 +83,12 @@ def rule_matches(spark, sf_dir):
     return found.select("client_app_id", "application", "priority", "display_name")
 
 
+def rules_indexed(spark, sf_dir):
+    """Rules in large numbers, looked up by their letters."""
+    values = derived.table(spark, sf_dir, "part").select(F.expr(derived.NAMED_PART).alias("value")).distinct()
+    return patterns.indexed_matches(values, derived.many_rules(spark, sf_dir))
+
+
 def client_resolution(spark, sf_dir):
     best = classify.best_rules(_pairs(spark, sf_dir), derived.rule_table(spark))
     return classify.resolve_clients(best).select(
@@ -357,6 +363,8 @@ def queries() -> dict[str, Query]:
         "noise_filter": noise_filter,
         "direction_counts": direction_counts,
         "rule_matches": rule_matches,
+        "rules_indexed": rules_indexed,
+        "rules_shadowed": lambda s, d: patterns.shadowed_rules(derived.many_rules(s, d)),
         "client_resolution": client_resolution,
         "refresh_routes": lambda s, d: snapshot(s, d, RECENT),
         "refresh_routes_all": snapshot,

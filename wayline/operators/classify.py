@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.bounded import BROADCAST_BYTES, text_bytes
+from wayline.operators.bounded import BROADCAST_BYTES
+from wayline.operators.patterns import in_slices, indexed_matches, looped_matches
 from wayline.session import settle
 
 PAIR = ["client_app_id", "application"]
 
 # Fixed value: priority taken by a side without a match.
 NO_MATCH = 999
+#: Rules of a field that are tried one by one; more are looked up.
+LOOPED = 1000
 
 
 def distinct_pairs(sessions: DataFrame) -> DataFrame:
@@ -25,50 +28,41 @@ def distinct_pairs(sessions: DataFrame) -> DataFrame:
     return sessions.select(*PAIR).distinct()
 
 
-def rule_slices(rules: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """The rules in parts that are each small enough to broadcast.
-
-    A measured small table is one part.  A larger one is cut by the hash of its
-    key into parts of about half the limit; every rule lands in one of them.
-    """
-    rules = rules.select(
+def prepared(rules: DataFrame) -> DataFrame:
+    """Rules with whole priorities, those without one at the end."""
+    return rules.select(
         F.coalesce(F.col("priority"), F.lit(NO_MATCH)).cast("long").alias("priority"),
         "pattern", "source_field", "display_name",
     )
-    parts = -(-2 * text_bytes(rules) // limit)
-    if parts <= 2:
-        return [rules]
-    key = F.pmod(F.xxhash64(*rules.columns), F.lit(parts))
-    return [rules.filter(key == i) for i in range(parts)]
 
 
-def field_matches(pairs: DataFrame, slices: list[DataFrame], field: str) -> DataFrame:
+def field_matches(pairs: DataFrame, rules: DataFrame, field: str, limit: int = BROADCAST_BYTES,
+                  looped: int = LOOPED) -> DataFrame:
     """Distinct values of one field with every rule for it that matches.
 
-    Values are dealt out before the comparison, which is the heavy part: each
-    value meets each rule once.
+    Up to ``looped`` rules are tried on every value, broadcast after their size is
+    measured; more are looked up in an index.  The rows are the same.
     """
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = pairs.select(field).filter(F.col(field).isNotNull()).distinct().repartition(n, field)
-    found = [
-        values.join(F.broadcast(part.filter(F.col("source_field") == field)),
-                    F.ilike(F.col(field), F.col("pattern")))
-        for part in slices
-    ]
-    return reduce(DataFrame.unionByName, found)
+    values = pairs.select(F.col(field).alias("value")).filter(F.col(field).isNotNull()).distinct()
+    own = prepared(rules).filter(F.col("source_field") == field)
+    if own.limit(looped + 1).count() > looped:
+        found = indexed_matches(values, own, limit)
+    else:
+        found = looped_matches(values, in_slices(own, limit))
+    return found.withColumnRenamed("value", field)
 
 
-def match_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def match_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES,
+                looped: int = LOOPED) -> DataFrame:
     """Each pair with every rule that matches it, or once with NULLs if none does.
 
     A rule names the field it looks at, so ids and applications are compared
     apart, each value once, and the matches joined to the pairs.  NULL never
-    matches.  The rows are the same however many parts the rules come in.
+    matches.  The rows are the same however many rules there are.
     """
     pairs = settle(pairs, "pairs")
-    slices = rule_slices(rules, limit)
     matches = reduce(DataFrame.unionByName, [
-        pairs.join(field_matches(pairs, slices, field), field) for field in PAIR])
+        pairs.join(field_matches(pairs, rules, field, limit, looped), field) for field in PAIR])
     matches = settle(matches.select(*PAIR, "priority", "pattern", "source_field", "display_name"),
                      "matches")
     known = matches.select(*[F.col(c).alias(f"_{c}") for c in PAIR]).distinct()
@@ -77,14 +71,14 @@ def match_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES
     return matches.unionByName(without, allowMissingColumns=True)
 
 
-def best_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def best_rules(pairs: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES,
+               looped: int = LOOPED) -> DataFrame:
     """Per pair the first rule of each field, and how far its matches reach.
 
     Both are found per value of a field and then joined to the pairs.
     """
-    slices = rule_slices(rules, limit)
     for field, name in zip(PAIR, ("id", "app"), strict=True):
-        best = field_matches(pairs, slices, field).groupBy(field).agg(
+        best = field_matches(pairs, rules, field, limit, looped).groupBy(field).agg(
             F.min(F.struct("priority", "display_name")).alias(f"by_{name}"),
             F.max("priority").alias(f"last_by_{name}"))
         pairs = pairs.join(best, field, "left")

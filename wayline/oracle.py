@@ -412,6 +412,30 @@ PART_RULES = "part_rules AS (SELECT " + ", ".join(
 # --- all ---------------------------------------------------------------------
 
 
+MANY_RULES = "many AS (SELECT row_number() OVER () AS id, *, lead || body || trail AS pattern FROM (SELECT " + \
+    ", ".join(f"{text} AS {name}" for name, text in d.MANY_RULES.items()) + " FROM part))"
+
+#: Every rule's values with none to two strange characters for a ``%`` and one for a ``_``,
+#: tried on every other rule.
+SHADOWED = "WITH " + MANY_RULES + """,
+tried AS (
+  SELECT DISTINCT id, CASE WHEN lead = '' THEN '' ELSE repeat('^', i) END || replace(body, '_', '^')
+    || CASE WHEN trail = '' THEN '' ELSE repeat('^', j) END AS value
+  FROM many, range(3) AS a(i), range(3) AS b(j)),
+sizes AS (SELECT id, count(*) AS n FROM tried GROUP BY id),
+covered AS (
+  SELECT t.id, a.id AS by_id FROM tried t JOIN many a ON t.value ILIKE a.pattern
+  GROUP BY t.id, a.id HAVING count(*) = (SELECT n FROM sizes WHERE sizes.id = t.id)),
+ranked AS (
+  SELECT r.*, a.pattern AS by_pattern, a.display_name AS by_name, row_number() OVER (
+    PARTITION BY r.id ORDER BY a.priority, a.display_name, a.pattern) AS place
+  FROM covered c JOIN many r ON r.id = c.id JOIN many a ON a.id = c.by_id
+  WHERE a.source_field = r.source_field
+    AND (a.priority < r.priority OR (a.priority = r.priority AND a.display_name < r.display_name)))
+SELECT CAST(priority AS BIGINT) AS priority, pattern, source_field, display_name, by_pattern, by_name
+FROM ranked WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name → SQL over the test tables."""
     snapshot_columns = """ SELECT organization_name, account_id, client, warehouse, database,
@@ -438,6 +462,10 @@ SELECT query_type, {DIRECTION_CASE} AS direction, count(*) AS n FROM q GROUP BY
 SELECT p.client_app_id, p.application, r.priority, r.display_name FROM pairs p LEFT JOIN rules r
   ON CASE r.source_field WHEN 'client_app_id' THEN p.client_app_id ELSE p.application END
     ILIKE r.pattern""",
+        "rules_indexed": "WITH " + MANY_RULES + f"""
+SELECT value, CAST(priority AS BIGINT) AS priority, pattern, source_field, display_name
+FROM (SELECT DISTINCT {d.NAMED_PART} AS value FROM part) JOIN many ON value ILIKE pattern""",
+        "rules_shadowed": SHADOWED,
         "client_resolution": "WITH " + raw() + "," + NAMED + """
 SELECT client_app_id, application, client FROM named""",
         "refresh_routes": on_snapshot(snapshot_columns, RECENT_SINCE),

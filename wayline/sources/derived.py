@@ -202,6 +202,32 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules in numbers that grow with parts: broad and narrow ones, with both wildcards and
+#: without, some of wildcards only.  ``lead`` and ``trail`` are what stands around the body.
+MANY_RULES = {
+    "priority": "p_partkey % 900",
+    "lead": "CASE WHEN p_partkey % 5 < 2 THEN '' ELSE '%' END",
+    "body": """
+CASE WHEN p_partkey % 211 = 0 THEN '' WHEN p_partkey % 211 = 1 THEN '_' ELSE CASE p_partkey % 11
+  WHEN 0 THEN substr(p_name, 1, 4) WHEN 1 THEN substr(p_name, 1, 2) || '_' || substr(p_name, 4)
+  WHEN 2 THEN '_' || substr(p_name, 2, 3) WHEN 3 THEN upper(p_name) WHEN 4 THEN p_brand
+  ELSE p_name || ' ' || p_brand END END
+""",
+    "trail": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '%' END",
+    "source_field": "CASE p_partkey % 2 WHEN 0 THEN 'client_app_id' ELSE 'application' END",
+    "display_name": "p_brand",
+}
+#: Values for them.
+NAMED_PART = "p_name || ' ' || p_brand"
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "part").select(
+        *[F.expr(text).alias(name) for name, text in MANY_RULES.items()])
+    return found.select(F.col("priority").cast("long"), F.concat("lead", "body", "trail").alias("pattern"),
+                        "source_field", "display_name")
+
+
 #: Listed client attributes derived from parts: a few real names among many others.
 LISTED = {
     "client": """
