@@ -219,3 +219,30 @@ def test_links_inside_a_layer_vanish(spark):
     members = spark.createDataFrame([("L", "a"), ("L", "b")], "label string, member string")
     assert rows(graph.contracted(found, members)) == [
         ("c", "c", "READ", 1, 1), ("cluster:L", "c", "READ", 5, 2)]
+
+
+def test_index_of_paths(spark, sample, tmp_path):
+    """One node or all, from the index and from the routes; a look reads one folder."""
+    from wayline.operators import path_index
+
+    rollup = graph.edge_rollup(sample)
+    for k, view in enumerate((graph.FULL_VIEW, graph.STARTING_VIEW)):
+        folder = f"{tmp_path}/{k}"
+        path_index.write_index(graph.with_path_idx(rollup), folder, view, buckets=8)
+        for node in (None, "dbt", "SALES", "W1", "no such node"):
+            got = path_index.neighbours(spark, folder, node, 8)
+            assert rows(got) == rows(graph.path_neighbours(rollup, view, node))
+            for combine in (False, True):
+                got = path_index.edges(spark, folder, combine, node, 8)
+                assert rows(got) == rows(graph.path_edges(rollup, view, combine, node))
+    one = path_index.postings(spark, folder, "dbt", 8)
+    assert len(one.inputFiles()) and one.select("path_idx").distinct().count() == 2
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(node,dbt)" in plan
+
+
+def test_index_of_no_paths(spark, nothing, tmp_path):
+    from wayline.operators import path_index
+
+    path_index.write_index(graph.with_path_idx(graph.edge_rollup(nothing)), f"{tmp_path}/i")
+    assert path_index.neighbours(spark, f"{tmp_path}/i", "dbt").count() == 0

@@ -9,7 +9,7 @@ from wayline.operators import classify, patterns
 from wayline.operators.resolve import accesses, pruned, query_rows, session_rows, touched_places
 from wayline.plans.refresh import AuditLogs, refresh_routes
 from wayline.sources import derived
-from wayline.session import SKEW_SETTINGS
+from wayline.session import SKEW_SETTINGS, runtime_filter
 from wayline.streaming.counts import resolved_accesses
 
 DAY = dt.datetime(2024, 3, 10)
@@ -250,3 +250,21 @@ def test_no_product_of_whole_tables(spark, conf, threshold):
     assert "CartesianProduct" not in plan
     # Only the bounded rule table is joined without an equality, once for each field.
     assert plan.count("BroadcastNestedLoopJoin") == 2
+
+
+def test_a_filter_reaches_the_access_scan(spark, conf, tmp_path):
+    """Without a date column: accesses of other days go before they are shuffled."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    before = spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold")
+    logs = derived.audit_logs(spark, "/root/testdata/sf0.001")
+    for name in ("queries", "access"):
+        getattr(logs, name).write.parquet(f"{tmp_path}/{name}")
+    logs = AuditLogs(logs.sessions, *[spark.read.parquet(f"{tmp_path}/{n}") for n in ("queries", "access")])
+    plain = refresh_routes(logs, derived.rule_table(spark), derived.RECENT)
+    assert "might_contain" not in plain._jdf.queryExecution().executedPlan().toString()
+    with runtime_filter(spark, least_scan="0"):
+        found = refresh_routes(logs, derived.rule_table(spark), derived.RECENT)
+        assert "might_contain" in found._jdf.queryExecution().executedPlan().toString()
+        got = rows(found)
+    assert got == rows(plain)
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold") == before

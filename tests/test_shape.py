@@ -115,3 +115,11 @@ def test_table_view(sample):
     assert shape.table_view(sample).columns == schema.TABLE_ORDER
     assert shape.table_view(sample, ["DIRECTION", "CLIENT"]).columns == [
         "ICON", "CLIENT", "DIRECTION", "ACCESS_COUNT"]
+
+
+def test_cube_by_lattice(sample, nothing):
+    from wayline.operators import shape
+
+    for dims in (["CLIENT"], ["DIRECTION", "CLIENT"], ["CLIENT", "WAREHOUSE", "DATABASE"]):
+        assert rows(shape.cube_by_lattice(sample, dims)) == rows(shape.group_by_cube(sample, dims))
+    assert shape.cube_by_lattice(nothing, ["CLIENT", "DATABASE"]).count() == 0

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from wayline.functions.direction import statement_direction
 from wayline.functions.names import short_schema
 from wayline.operators import bars as bar
-from wayline.operators import classify, clients, flow, graph, hierarchy, matrix, patterns, resolve, rules, shape
+from wayline.operators import classify, clients, flow, graph, hierarchy, matrix, path_index, patterns, resolve, rules, shape
 from wayline.operators.graph import STARTING_VIEW, View
 from wayline.operators.prefix import prefix_scan
 from wayline.plans import partials
 from wayline.plans.history import snapshot_history
 from wayline.plans.network import Network
 from wayline.plans.refresh import AuditLogs, named_sessions, refresh_routes
-from wayline.session import scratch_path, settle
+from wayline.session import runtime_filter, scratch_path, settle
 from wayline.sources import audit, derived, tables
 from wayline.sources.derived import ALL_TIME, RECENT
 from wayline.streaming import counts
@@ -122,6 +122,22 @@ def refresh_partitioned_logs(spark, sf_dir):
     return refresh_routes(read, derived.rule_table(spark), RECENT)
 
 
+def refresh_filtered_scan(spark, sf_dir):
+    """The refresh with a runtime filter on the access log, which has no date column."""
+    logs, root = derived.audit_logs(spark, sf_dir), scratch_path(spark, "logs")
+    logs.access.write.parquet(root)
+    logs = AuditLogs(logs.sessions, logs.queries, spark.read.parquet(root))
+    with runtime_filter(spark, least_scan="0"):
+        return settle(refresh_routes(logs, derived.rule_table(spark), RECENT), "filtered")
+
+
+def indexed_paths(spark, sf_dir):
+    """Where an index of all paths was written."""
+    folder = scratch_path(spark, "paths")
+    path_index.write_index(network(spark, sf_dir).numbered, folder, STARTING_VIEW)
+    return folder
+
+
 def refresh_from_days(spark, sf_dir):
     """Two weekly refreshes from daily counts.
 
@@ -372,6 +388,7 @@ def queries() -> dict[str, Query]:
         "refresh_text_ids": refresh_text_ids,
         "refresh_partitioned_logs": refresh_partitioned_logs,
         "refresh_from_days": refresh_from_days,
+        "refresh_filtered_scan": refresh_filtered_scan,
         "refresh_row_count": refresh_row_count,
         "snapshot_reload": snapshot_reload,
         "old_table_evolved": old_table_evolved,
@@ -424,6 +441,9 @@ def queries() -> dict[str, Query]:
             graph.edge_rollup(routes(s, d)), STARTING_VIEW),
         "path_edges": lambda s, d: graph.path_edges(
             graph.edge_rollup(routes(s, d)), STARTING_VIEW),
+        "path_index_neighbourhood": lambda s, d: path_index.neighbours(s, indexed_paths(s, d)),
+        "path_index_edges": lambda s, d: path_index.edges(s, indexed_paths(s, d)),
+        "group_by_lattice": lambda s, d: shape.cube_by_lattice(routes(s, d)),
         "bars_dense": lambda s, d: bar.dense_bars(routes(s, d), "SCHEMA_NAME"),
         "chart_table": lambda s, d: bar.chart_table(
             bar.bars(routes(s, d), "SCHEMA_NAME"), "SCHEMA_NAME"),

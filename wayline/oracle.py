@@ -474,6 +474,7 @@ SELECT client_app_id, application, client FROM named""",
             [raw(ALL_SINCE, REPEATED), NAMED, RESOLVED, SNAPSHOT]) + snapshot_columns,
         "refresh_text_ids": on_snapshot(snapshot_columns, RECENT_SINCE),
         "refresh_partitioned_logs": on_snapshot(snapshot_columns, RECENT_SINCE),
+        "refresh_filtered_scan": on_snapshot(snapshot_columns, RECENT_SINCE),
         "refresh_from_days": on_snapshot(snapshot_columns, RECENT_SINCE),
         "refresh_row_count": on_snapshot("""
 SELECT count(*) AS rows, 'Route snapshot refreshed. Rows: ' || CAST(count(*) AS VARCHAR) AS message
@@ -619,6 +620,9 @@ SELECT CAST(start_time AS DATE) AS day, client, warehouse, database, schema_name
   count(DISTINCT query_id) AS access_count FROM resolved GROUP BY ALL""",
     }
     found["stream_query_log"] = found["stream_route_counts"]
+    found["path_index_neighbourhood"] = found["path_neighbourhood"]
+    found["path_index_edges"] = found["path_edges"]
+    found["group_by_lattice"] = found["group_by_cube"]
     for name, column in (("client", "CLIENT"), ("database", "DATABASE"),
                          ("schema", "SCHEMA_NAME"), ("warehouse", "WAREHOUSE"),
                          ("direction", "DIRECTION")):
