@@ -391,7 +391,7 @@ def test_any_51_shared_words_hold_a_span():
         return [f"{rng.choice(VOCABULARY)}{rng.randrange(10**4)}{rng.choice(['', '', '', ',', '.'])}" for _ in range(n)]
 
     def hashes(words):
-        return set(spans._spans(*spans._units(" ".join(words)))[2].tolist())
+        return set(spans._spans(*spans._units([" ".join(words)]))[2].tolist())
 
     missed = Counter()
     for k in range(2000):

@@ -71,40 +71,56 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
                      for x in (one, pow(one, -1, 2**64)))
 
 
-def _least(own: np.ndarray) -> np.ndarray:
-    """Which words have the least hash of some window of ``LONG`` words."""
-    windows = np.lib.stride_tricks.sliding_window_view(own, LONG).min(axis=1)
-    around = np.lib.stride_tricks.sliding_window_view(
-        np.r_[np.zeros(LONG - 1, np.uint64), windows, np.zeros(LONG - 1, np.uint64)], LONG).max(axis=1)
-    return own == around
-
-
-def _units(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's lower-case words, and the number of words up to the end of each unit."""
+def _in_a_row(values: np.ndarray, pick) -> np.ndarray:
+    """``pick`` of every ``LONG`` values in a row, from twos to fours and so on."""
+    wide = 1
+    while wide < LONG:
+        step = min(wide, LONG - wide)
+        values = pick(values[:-step], values[step:])
+        wide += step
+    return values
+
+
+def _least(own: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Which words have the least hash of a window of ``LONG`` words without a cut before its last word."""
+    if len(own) < LONG:
+        return np.zeros(len(own), bool)
+    cuts = np.cumsum(np.r_[0, cut])
+    inside = cuts[LONG - 1:-1] == cuts[:len(own) - LONG + 1]
+    windows = np.where(inside, _in_a_row(own, np.minimum), np.uint64(0))
+    none = np.zeros(LONG - 1, np.uint64)
+    return (own == _in_a_row(np.r_[none, windows, none], np.maximum)) & (own > 0)
+
+
+def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts put one after the other: hashes of their lower-case words, the number of
+    words up to the end of each unit, and up to the end of each text."""
     words: list[str] = []
-    lines = []
-    for line in text.lower().split("\n"):
-        words += line.split()
-        lines.append(len(words))
+    lines, ends_of_texts = [], []
+    for text in texts:
+        for line in text.lower().split("\n"):
+            words += line.split()
+            lines.append(len(words))
+        ends_of_texts.append(len(words))
     own = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
     cut = (own & np.uint64(1)).astype(bool)
-    cut[np.array(lines)[np.array(lines) > 0] - 1] = True
+    lines = np.array(lines)
+    cut[lines[lines > 0] - 1] = True
     ends = np.flatnonzero(cut) + 1
-    starts = np.r_[0, ends[:-1]] if len(ends) else ends
-    for a, b in zip(starts, ends, strict=True):
-        if b - a > LONG:
-            cut[a:b] |= _least(own[a:b])
-    return own, np.flatnonzero(cut) + 1
+    sizes = np.diff(np.r_[0, ends])
+    cut |= _least(own, cut) & np.repeat(sizes > LONG, sizes)
+    return own, np.flatnonzero(cut) + 1, np.array(ends_of_texts)
 
 
-def _spans(own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First unit, unit behind the last, and hash of every span."""
+def _spans(own: np.ndarray, ends: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, unit behind the last, and hash of every span that lies in one text."""
     starts = np.r_[0, ends[:-1]] if len(ends) else ends
     behind = np.searchsorted(ends, starts + WORDS) + 1
-    first = np.flatnonzero(behind <= len(ends))
+    inside = behind <= len(ends)
+    inside[inside] = ends[behind[inside] - 1] <= texts[np.searchsorted(texts, starts[inside], "right")]
+    first = np.flatnonzero(inside)
     behind = behind[first]
-    size = 1 << max(len(own), 1024).bit_length()
-    up, down = _powers(size)
+    up, down = _powers(1 << max(len(own), 1024).bit_length())
     with np.errstate(over="ignore"):
         sums = np.r_[np.uint64(0), np.cumsum(own * up[:len(own)], dtype=np.uint64)]
         a, b = starts[first], ends[behind - 1]
@@ -126,17 +142,18 @@ def span_hashes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                hashes, sizes, repeats = [], [0], []
-                for text in part.column(2):
-                    _, _, found = _spans(*_units(text.as_py() or ""))
-                    own = np.unique(found)
-                    hashes.append(own)
-                    sizes.append(len(own))
-                    repeats.append(len(own) < len(found))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()),
-                                                 pa.array(np.concatenate(hashes)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(repeats)],
-                                                 names=["id", "mark", "hashes", "repeats"])
+                own, ends, texts = _units([t.as_py() or "" for t in part.column(2)])
+                first, _, hashes = _spans(own, ends, texts)
+                of = np.searchsorted(texts, ends[first] - 1, "right")
+                order = np.lexsort((hashes, of))
+                of, hashes = of[order], hashes[order]
+                new = np.r_[True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])][:len(of)]
+                sizes = np.bincount(of[new], minlength=len(texts))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
+                                                 pa.array(hashes[new]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), lists, pa.array(sizes < np.bincount(of, minlength=len(texts)))],
+                    names=["id", "mark", "hashes", "repeats"])
 
     return settle(_keyed(docs).mapInArrow(run, HASHED), "spans")
 
@@ -155,8 +172,8 @@ def seen_before(hashed: DataFrame) -> DataFrame:
 
 def _without(text: str, seen: np.ndarray) -> tuple[str, int, int]:
     """A text without its repeated units, how many these are, and their words."""
-    own, ends = _units(text)
-    first, behind, hashes = _spans(own, ends)
+    own, ends, texts = _units([text])
+    first, behind, hashes = _spans(own, ends, texts)
     again = np.ones(len(hashes), bool)
     again[np.unique(hashes, return_index=True)[1]] = False  # the first of equal ones in this text
     again |= np.isin(hashes, seen)
