@@ -213,17 +213,20 @@ def reassembled(segments: DataFrame) -> DataFrame:
     """Responses in segments, put together; raises if one is incomplete.
 
     A message is as long as one page, so its segments fit into a row.  Records
-    that were written twice have every segment twice, and give two rows.
+    that were written twice have every segment twice, and give two rows: copies
+    of a segment are counted first, so that a record has one block of each.
     """
-    grouped = segments.groupBy("record_id").agg(
+    once = segments.groupBy("record_id", "segment").agg(
+        F.first("block").alias("block"), F.max("total").alias("total"), F.max("page_id").alias("page_id"),
+        F.max("payload_digest").alias("stated"), F.count("*").alias("n"))
+    grouped = once.groupBy("record_id").agg(
         F.collect_list(F.struct("segment", "block")).alias("parts"),
-        F.max("total").alias("total"), F.max("page_id").alias("page_id"),
-        F.max("payload_digest").alias("stated"),
-        F.count(F.when(F.col("segment") == 1, 1)).alias("copies"))
+        F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("stated").alias("stated"),
+        F.max(F.when(F.col("segment") == 1, F.col("n"))).alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for parts, total, page_id, stated, copies, name in zip(
                     *[c.to_pylist() for c in batch.columns], strict=True):
                 by_number = {p["segment"]: p["block"] for p in parts}
@@ -234,15 +237,16 @@ def reassembled(segments: DataFrame) -> DataFrame:
                 digest = hashlib.sha256(payload).hexdigest()
                 if stated and stated != digest:
                     raise ValueError(f"record {name} has not the payload its digest states")
-                for column, value in zip(out, (name, page_id, len(payload), digest), strict=True):
-                    column.extend([value] * copies)
+                for column, value in zip(out, (name, page_id, len(payload), digest, copies), strict=True):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()),
-                 pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())],
-                names=["record_id", "page_id", "payload_bytes", "payload_digest"])
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
+                 pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())],
+                names=["record_id", "page_id", "payload_bytes", "payload_digest", "copies"])
 
-    return grouped.select("parts", "total", "page_id", "stated", "copies", "record_id").mapInArrow(
-        run, "record_id string, page_id long, payload_bytes long, payload_digest string")
+    whole = grouped.select("parts", "total", "page_id", "stated", "copies", "record_id").mapInArrow(
+        run, "record_id string, page_id long, payload_bytes long, payload_digest string, copies long")
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
