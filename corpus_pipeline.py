@@ -47,7 +47,7 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
-#: Tokenizing is beyond SQL; ``tests/llm/test_pipeline.py`` holds the rows to a brute-force version.
+#: Tokenizing is beyond SQL; ``tests/llm/test_group_operators.py`` holds the rows to a brute-force version.
 ORACLE_SQL = None
 
 

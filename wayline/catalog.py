@@ -53,7 +53,7 @@ def network(spark: SparkSession, sf_dir: str, **options) -> Network:
 def object_decompose(spark, sf_dir):
     logs = derived.audit_logs(spark, sf_dir)
     found = resolve.accesses(resolve.query_rows(logs.queries), logs.access)
-    sessions = resolve.session_rows(logs.sessions)
+    sessions = resolve.session_rows(logs.sessions).distinct()
     return resolve.with_names(found.join(sessions, "session_id")).select(
         "query_id", "database", "schema_name", "application"
     )
