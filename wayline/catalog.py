@@ -351,7 +351,7 @@ def stream_route_counts(spark, sf_dir):
 def stream_query_log(spark, sf_dir):
     """Both logs as streams; access records come before and after their queries, some of
     either long after."""
-    logs, parts = derived.audit_logs(spark, sf_dir), 4
+    logs, parts = derived.audit_logs(spark, sf_dir), 3
     root, folder = scratch_path(spark, "logs"), scratch_path(spark, "stream")
     counts.use_rocksdb(spark)
     named = settle(named_sessions(logs.sessions, derived.rule_table(spark)), "named")
