@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), pii.TEST_KEY)
 
 
 def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,11 @@ within their format by a keyed Feistel network: equal values get equal
 pseudonyms in every document, different values different ones, and whoever
 holds the key can turn them back.  A card number stays a card number with a
 right check digit, an address an address, a date a date.  Names of mailboxes
-and secrets, which have no number behind them, get keyed digests of their length.
+and secrets, which have no number behind them, get keyed digests, secrets such
+of their length.
+
+The key is the caller's, as an argument or in the session (``spark.wayline.pii.key``);
+without one it is an error, since whoever has the key can undo the numbers.
 
 Everything is built-in expressions on one row: a text is split at what looks
 like personal data, every find is replaced, and the parts are joined again.
@@ -18,16 +22,27 @@ from pyspark.sql import functions as F
 
 from wayline.llm.base import let, packed, unpacked
 
-KEY = "wayline"
+KEY_SETTING = "spark.wayline.pii.key"
+#: For tests and the queries over the test tables; it hides nothing.
+TEST_KEY = "not a secret"
 ROUNDS = 8
 
 _END, _START = r"(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])"
+#: How the tokens of some well-known services start, and what follows.
+TOKENS = (r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}"
+          r"|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk-[A-Za-z0-9_-]{20,}")
+_TOKEN_STARTS = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk-"
+_SECRET_NAME = (r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key)"
+                r"[\x22']?\s{0,3}[=:]\s{0,3}")
 #: What each kind looks like; the first kind that fits at a place wins.
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}"
-              r"[\x22'][A-Za-z0-9_+/=-]{8,200}[\x22']",
+    # In quotes anything, else a word of eight with a digit or of sixteen.
+    "secret": _SECRET_NAME + r"(?:\x22[^\x22\r\n]{4,}\x22|'[^'\r\n]{4,}'"
+              r"|(?=[^\s\x22',;]*\d|[^\s\x22',;]{16})[^\s\x22',;]{8,})|" + _START + f"(?:{TOKENS})" + r"(?![A-Za-z0-9_])",
     "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "ip6": r"(?<![A-Za-z0-9_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?i:[23][0-9a-f]{3}|f[cde][0-9a-f]{2})"
+           r"(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![A-Za-z0-9_:])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "date": _START + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END,
     "ssn": _START + r"\d{3}-\d{2}-\d{4}" + _END,
@@ -37,10 +52,12 @@ SHAPES = {
 }
 ANY = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 #: Nothing above matches a text without one of these, which is quick to see.
-HINT = r"\d|@|[=:]\s{0,3}[\x22']"
+HINT = rf"\d|@|::|(?i:token|secret|passw|key)|{_TOKEN_STARTS}"
 
 #: Days from this day on are permuted: 400 years, 189 * 773 days, all of the same calendar.
 FIRST_DAY, DAY_FACTORS = "1800-01-01", (189, 773)
+#: All other days of the years 1 to 9999, so many before and after, are permuted among themselves.
+DAYS_BEFORE, OTHER_FACTORS = 657_071, (762, 4601)
 DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "dd/MM/yyyy", ".": "dd.MM.yyyy"}
 
 
@@ -49,7 +66,7 @@ def keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts], F.lit(key)), 256)
 
 
-def feistel(value: Column, a: Column, b: Column, tweak: Column, key: str = KEY,
+def feistel(value: Column, a: Column, b: Column, tweak: Column, key: str,
             back: bool = False) -> Column:
     """Keyed permutation of 0 .. a*b - 1.
 
@@ -77,7 +94,7 @@ def _power(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**k).cast("long") for k in range(19)]), (n + 1).cast("int"))
 
 
-def permuted_digits(digits: Column, tweak: Column, key: str = KEY, back: bool = False) -> Column:
+def permuted_digits(digits: Column, tweak: Column, key: str, back: bool = False) -> Column:
     """Permute a string of 2 to 18 digits among all strings of its length."""
     def body(d):
         n = F.length(d)
@@ -135,25 +152,62 @@ def iban_remainder(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
+def permuted_account(digits: Column, tweak: Column, key: str) -> Column:
+    """Permute 2 to 36 digits; more than 18 in two halves, each under the other."""
+    n = F.length(digits)
+    front = F.floor((n + 1) / 2).cast("int")
+
+    def halves(h):
+        under = F.concat_ws("|", tweak, h["back"])
+        return let(permuted_digits(h["front"], under, key), lambda new: F.concat(
+            new, permuted_digits(h["back"], F.concat_ws("|", tweak, new), key)))
+
+    both = F.struct(F.substring(digits, F.lit(1), front).alias("front"),
+                    F.substring(digits, front + 1, n).alias("back"))
+    return F.when(n < 2, digits).when(n <= 18, permuted_digits(digits, tweak, key)).otherwise(let(both, halves))
+
+
 def _iban(find: Column, key: str) -> Column:
-    """Country and letters stay, the digits of the account are permuted, the check digits follow."""
-    def body(compact):
-        account = F.substring(compact, F.lit(5), F.length(compact))
-        digits = digits_of(account)
-        n = F.least(F.length(digits), F.lit(18))
-        country = F.substring(compact, 1, 2)
-        new = F.when(n >= 2, F.concat(
-            permuted_digits(F.substring(digits, F.lit(1), n), F.concat_ws("|", F.lit("iban"), country), key),
-            F.substring(digits, n + 1, F.length(digits)))).otherwise(digits)
+    """Country and letters stay, the digits of the account are permuted, the check digits follow.
+
+    A find may go on into words or numbers behind; the longest part up to a
+    space that is right counts, and a card number may follow.
+    """
+    def compact(text):
+        return F.replace(text, F.lit(" "), F.lit(""))
+
+    def replaced(iban):
+        def body(whole):
+            country = F.substring(whole, 1, 2)
+            account = F.substring(whole, F.lit(5), F.length(whole))
+            new = permuted_account(digits_of(account), F.concat_ws("|", F.lit("iban"), country), key)
+
+            def checked(rest):
+                check = F.lpad((98 - iban_remainder(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+                return _spaced(iban, F.concat(country, check, rest))
 
-        def checked(rest):
-            check = F.lpad((98 - iban_remainder(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
-            whole = F.concat(F.regexp_replace(country, r"\d", ""), check, rest)
-            return F.when(iban_remainder(compact) == 1, _spaced(find, whole)).otherwise(find)
+            return let(_refilled(account, new), checked)
 
-        return let(_refilled(account, new), checked)
+        return let(compact(iban), body)
 
-    return let(F.replace(find, F.lit(" "), F.lit("")), body)
+    def right(end):
+        return let(compact(F.substring(find, F.lit(1), end)), lambda c: F.length(c).between(15, 34)
+                   & (iban_remainder(c) == 1))
+
+    n = F.length(find)
+    ends = F.filter(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.substring(find, k + 1, F.lit(1)) == " "))
+
+    def split(end):
+        rest = F.substring(find, end + 1, n)
+        shown = F.when(end > 0, replaced(F.substring(find, F.lit(1), end))).otherwise(F.lit(""))
+        card = F.regexp_extract(rest, SHAPES["card"], 0)
+        at = F.instr(rest, card)
+        behind = F.when(card != "", F.concat(
+            F.substring(rest, F.lit(1), at - 1), _card(card, key),
+            F.substring(rest, at + F.length(card), n))).otherwise(rest)
+        return F.concat(shown, behind)
+
+    return let(F.coalesce(F.array_max(F.filter(ends, right)), F.lit(0)), split)
 
 
 def _spaced(shape: Column, compact: Column) -> Column:
@@ -183,16 +237,48 @@ def _ip(find: Column, key: str) -> Column:
     return let(octets, body)
 
 
+def _ip6(find: Column, key: str) -> Column:
+    """Four words of 32 bits, each permuted under the others; written in eight groups."""
+    left = F.split(F.substring_index(find, "::", 1), ":")
+    right = F.filter(F.split(F.when(find.contains("::"), F.substring_index(find, "::", -1)).otherwise(""), ":"),
+                     lambda x: x != "")
+    gap = 8 - F.size(left) - F.size(right)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))
+    groups = F.transform(F.concat(left, zeros, right), lambda x: F.conv(x, 16, 10).cast("long"))
+    half = F.lit(65536).cast("long")
+
+    def moved(words, k):
+        others = [F.get(words, F.lit(j)) for j in range(4) if j != k]
+        new = feistel(F.get(words, F.lit(k)), half, half, F.concat_ws("|", F.lit(f"ip6|{k}"), *others), key)
+        return F.array(*[new if j == k else F.get(words, F.lit(j)) for j in range(4)])
+
+    def steps(words, k=0):
+        return words if k == 4 else let(moved(words, k), lambda w: steps(w, k + 1))
+
+    def body(g):
+        words = F.array(*[F.get(g, F.lit(2 * k)) * 65536 + F.get(g, F.lit(2 * k + 1)) for k in range(4)])
+        new = let(words, lambda w: steps(w))
+        return F.array_join(F.flatten(F.transform(new, lambda w: F.array(
+            F.lower(F.hex(F.floor(w / 65536).cast("long"))), F.lower(F.hex(F.pmod(w, half)))))), ":")
+
+    return F.when(F.size(groups) == 8, let(groups, body)).otherwise(find)
+
+
 def _date(find: Column, key: str) -> Column:
     mark = F.regexp_extract(find, r"[-/.]", 0)
     out = find
     first = F.to_date(F.lit(FIRST_DAY))
-    a, b = (F.lit(x).cast("long") for x in DAY_FACTORS)
+    a, b, c, d = (F.lit(x).cast("long") for x in (*DAY_FACTORS, *OTHER_FACTORS))
+    before = F.lit(DAYS_BEFORE).cast("long")
 
     def moved(day):
         since = F.date_diff(day, first).cast("long")
-        new = F.date_add(first, feistel(since, a, b, F.lit("date"), key).cast("int"))
-        return F.when((since >= 0) & (since < a * b), new)
+        near = feistel(since, a, b, F.lit("date"), key)
+        # Days before the first are numbered from 0, those after the 400 years follow.
+        far = feistel(F.when(since < 0, since + before).otherwise(since - a * b + before), c, d, F.lit("far"), key)
+        new = F.when((since >= 0) & (since < a * b), near).otherwise(
+            let(far, lambda n: F.when(n < before, n - before).otherwise(n - before + a * b)))
+        return F.when(since >= -before, F.date_add(first, new.cast("int")))
 
     for sign, pattern in DATE_FORMATS.items():
         new = F.date_format(let(F.try_to_date(find, pattern), moved), pattern)
@@ -239,16 +325,15 @@ def _email(find: Column, key: str) -> Column:
 
 
 def _secret(find: Column, key: str) -> Column:
-    """The name stays; the value becomes a digest of its length."""
-    value = F.regexp_extract(find, r"[\x22']([^\x22']*)[\x22']", 1)
-    head = F.regexp_extract(find, r"^[^\x22']*[\x22']", 0)
+    """The name, or the start of a token, and the quotes stay; the value becomes a digest of its length."""
+    head = F.regexp_extract(find, rf"^(?:{_SECRET_NAME}[\x22']?|{_TOKEN_STARTS})", 0)
+    tail = F.regexp_extract(F.substring(head, F.length(head), F.lit(1)), r"[\x22']", 0)
 
     def body(v):
         digest = keyed(key, F.lit("secret"), v)
-        return F.concat(head, F.substring(F.repeat(digest, 4), F.lit(1), F.length(v)),
-                        F.substring(find, F.length(find), F.lit(1)))
+        return F.concat(head, F.substring(F.repeat(digest, (F.length(v) / 64 + 1).cast("int")), F.lit(1), F.length(v)), tail)
 
-    return let(value, body)
+    return let(F.substring(find, F.length(head) + 1, F.length(find) - F.length(head) - F.length(tail)), body)
 
 
 def kind_of(find: Column) -> Column:
@@ -259,9 +344,9 @@ def kind_of(find: Column) -> Column:
     return out
 
 
-def pseudonym(find: Column, key: str = KEY) -> Column:
+def pseudonym(find: Column, key: str) -> Column:
     """What stands for a find; itself if it isn't valid for its kind."""
-    makers = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date,
+    makers = {"email": _email, "secret": _secret, "iban": _iban, "ip6": _ip6, "ip": _ip, "date": _date,
               "ssn": _ssn, "card": _card, "phone": _phone}
 
     def body(kind):
@@ -273,8 +358,11 @@ def pseudonym(find: Column, key: str = KEY) -> Column:
     return let(kind_of(find), body)
 
 
-def _with_finds(df: DataFrame, key: str) -> DataFrame:
+def _with_finds(df: DataFrame, key: str | None) -> DataFrame:
     """``text`` with pseudonyms and ``n_replaced``, for rows with ``text``."""
+    key = key or df.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pass a key or set {KEY_SETTING}")
     text = F.col("text")
     finds = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     df = df.withColumn("finds", finds)
@@ -291,16 +379,17 @@ def _with_finds(df: DataFrame, key: str) -> DataFrame:
             .drop("finds", "parts", "new"))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``doc_id``, the text with pseudonyms, and how many finds were replaced.
 
-    A null text stays null with nothing replaced.  Rows are taken one by one,
-    so repeated rows and rows without an id are no matter.
+    A null text stays null with nothing replaced, and an empty table gives an
+    empty one.  Rows are taken one by one, so repeated rows and rows without an
+    id are no matter.  Texts of any length are taken whole.
     """
     return _with_finds(docs.select("doc_id", "text"), key).select("doc_id", "text", "n_replaced")
 
 
-def private_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def private_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in their texts and all columns as they were."""
     rows = _with_finds(docs.select(packed(docs).alias("row"), F.col("text").alias("text")), key)
     rows = rows.withColumn("row", F.col("row").withField("text", F.col("text")))
