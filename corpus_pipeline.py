@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import exact, near, packing, pii, quality
+from wayline.llm import exact, packing, pii, quality, simhash
 from wayline.llm.base import table
 from wayline.session import settle
 
@@ -25,13 +25,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest id stays."""
-    return near.one_of_each(docs)
+    """Of documents linked by their fingerprints the one with the smallest id stays.
+
+    Shingles of four words and four bits, as in the operator's own query.
+    """
+    return simhash.one_of_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms."""
-    return pii.private_documents(docs)
+    """Personal data becomes pseudonyms, by the key that the session names, else by that of the tests."""
+    return pii.private_documents(docs, spark.conf.get(pii.KEY_SETTING, pii.TEST_KEY))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
