@@ -11,7 +11,7 @@ import pytest
 from test_row_operators import odd_documents
 
 import corpus_pipeline
-from wayline.llm import components, exact, lm, near, packing, pii, quality, simhash, spans, warc
+from wayline.llm import components, exact, lm, packing, pii, quality, simhash, spans, warc
 
 TEXT = "doc_id long, text string"
 VOCABULARY = "the of and to in a is that it for on was house river stone light".split()
@@ -146,63 +146,19 @@ def test_fingerprint_by_hand():
 
 
 def near_by_hand(texts):
-    """Smallest place of each text's component, links at a Jaccard similarity of 0.8 over five words."""
-    sets = []
-    for text in texts:
-        words = text.lower().split()
-        sets.append({tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))})
-    roots = list(range(len(texts)))
-    for b in range(len(texts)):
-        for a in range(b):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and roots[a] != roots[b]:
-                low, high = sorted((roots[a], roots[b]))
-                roots = [low if r == high else r for r in roots]
-    return roots
-
-
-def near_copies(seed):
-    """Texts in families: some change a few words of the first, some of the one before, some share half of it."""
-    rng = random.Random(seed)
-    texts = ["", " ", "one two", "One  two", "one two three four five", "one two three four five six"]
-    for size in (30, 60, 100, 200, 400):
-        base = [f"{rng.choice(VOCABULARY)}{rng.randrange(1000)}" for _ in range(size)]
-        last = base
-        for k in range(12):
-            words = list(base if k % 3 else last)
-            for _ in range(rng.randrange(1, 2 + size // 40)):
-                words[rng.randrange(size)] = f"new{rng.randrange(10**6)}"
-            if k % 4 == 3:
-                words[size // 2:] = [f"other{rng.randrange(10**6)}" for _ in range(size - size // 2)]
-            last = words
-            texts.append(" ".join(words))
-    rng.shuffle(texts)
-    return texts
+    """Smallest place of each text's component, links at four bits of fingerprints over four words."""
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    codes = np.array(sorted(set(prints)), np.uint64)
+    root, first = dict(zip(codes.tolist(), components_by_hand(codes), strict=True)), {}
+    return [first.setdefault(root[p], k) for k, p in enumerate(prints)]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 100])
-def test_stage_drops_near_copies_and_nothing_else(spark, block):
-    texts = near_copies(5)
-    docs = frame(spark, texts).repartition(3)
+def test_stage_keeps_one_of_each_component(spark):
+    texts = some_texts(300, 5) + ["", " ", "One two three four five", "one two three  four five"]
     roots = near_by_hand(texts)
     assert 10 < len(set(roots)) < len(texts) - 10
-    assert sorted(r.doc_id for r in near.one_of_each(docs, block).collect()) == sorted(set(roots))
-    if block > 100:
-        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(roots))
-    odd = odd_documents(spark)
-    assert near.one_of_each(odd, block).columns == odd.columns
-    assert near.one_of_each(odd.limit(0), block).count() == 0
-
-
-def test_candidates_hold_the_near_copies():
-    rng, orders, missed = random.Random(3), near._orders(), 0
-    for k in range(2000):
-        words = [f"{rng.choice(VOCABULARY)}{rng.randrange(1000)}" for _ in range(94)]
-        other = list(words)
-        other[rng.randrange(5, 89)] = other[rng.randrange(40, 44)] = "new"
-        a, b = (near.shingles(" ".join(w).encode()) for w in (words, other))
-        assert near.linked([a, b]) == ([(0, 1)] if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) else [])
-        missed += not set(near.band_keys(a, orders)) & set(near.band_keys(b, orders))
-    assert missed == 0
+    docs = frame(spark, texts).repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(roots))
 
 
 # --- archives ----------------------------------------------------------------
@@ -512,7 +468,7 @@ def test_pipeline_by_brute_force(spark):
     roots = near_by_hand([rows[i] for i in ids])
     rows = {ids[k]: rows[ids[k]] for k, root in enumerate(roots) if k == root}
     clean = {r.doc_id: r.text for r in pii.pseudonymised(frame(spark, [])
-             .union(spark.createDataFrame(list(rows.items()), TEXT))).collect()}
+             .union(spark.createDataFrame(list(rows.items()), TEXT)), pii.TEST_KEY).collect()}
     pieces_fit(corpus_pipeline.run(spark, sf_dir).collect(), clean)
 
 
