@@ -51,15 +51,46 @@ def test_quality_of_odd_documents(spark):
 
 
 def test_quality_tells_prose_from_junk(spark):
-    prose = ("The house of the king is in the land that was given to the people, and a road leads on to it. "
-             "It was built for the people of the land and is a place in the sun that the king likes. ")
-    prose = " ".join(f"{prose}{w}" for w in ("Hills", "Rivers", "Forests"))
+    prose = ("The old road leads from the harbour to a small village on the hill, where a baker and two of his "
+             "brothers still make bread in the oven that their father built. It was cold when we came there, and "
+             "the light of the lamps fell on wet stones. For a while nobody spoke; then an old woman opened the "
+             "door, asked what we wanted, and showed us to a table by the window, with a view of the sea.")
     junk = {1: prose, 2: re.sub(r"(\w)(\s)", r"\1###$$$\2", prose), 3: prose.upper(),
             4: " | ".join(f"cell{k}x row{k}y" for k in range(80))}
     df = spark.createDataFrame([(k, t, "en") for k, t in junk.items()], "doc_id long, text string, lang string")
     judged = {r.doc_id: r for r in quality.judged(df).collect()}
     assert judged[1].char_distance < 0.12 < judged[2].char_distance
-    assert judged[3].char_distance > 0.5 and judged[4].word_distance > 0.35 > judged[1].word_distance
+    assert judged[3].char_distance > 0.5 and judged[4].word_distance > 0.3 > judged[1].word_distance
+    assert [judged[k].kept for k in junk] == [True, False, False, False]
+
+
+def test_languages_without_references_pass_on_the_base_rule(spark):
+    italian = ("Nel mezzo della strada la casa era chiusa, ma il vecchio aspettava ancora qualcuno che gli "
+               "portasse notizie del figlio lontano, e ogni sera guardava verso le colline oltre il fiume. ")
+    russian = ("Старый дом стоял у самой реки, и каждый вечер хозяин выходил на крыльцо смотреть, как солнце "
+               "садится за лес, а лодки медленно возвращаются к берегу с ночного лова под тихую песню. ")
+    rows = [(1, italian + italian.upper(), "it"), (2, russian + russian[::-1], "ru"), (3, russian + russian[::-1], None),
+            (4, russian + russian[::-1], "en"), (5, "word", "it")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[k].kept for k in range(1, 6)] == [True, True, True, False, False]
+    assert all(got[k].char_distance is None and got[k].word_distance is None for k in (1, 2, 3))
+
+
+def js_by_hand(p, q):
+    terms = (x / 2 * math.log2(2 * x / (a + b)) for a, b in zip(p, q, strict=True) for x in (a, b) if x)
+    return math.sqrt(max(sum(terms), 0))
+
+
+def test_distances_by_hand(spark):
+    text = "Der Wind, die See und das Boot: in 12 Tagen von der Insel zu den Leuten. " * 4 + " ".join(
+        f"wort{k}" for k in range(20))
+    row = quality.judged(spark.createDataFrame([(1, text, "de")], "doc_id long, text string, lang string")).first()
+    classes = [sum(map(f, text)) for f in (str.islower, str.isupper, str.isdigit, str.isspace, ".,:".__contains__)]
+    classes.append(len(text) - sum(classes))
+    assert row.char_distance == pytest.approx(js_by_hand([c / len(text) for c in classes], quality.CLASS_SHARES["de"]))
+    words = text.lower().split()
+    shares = [words.count(w) / len(words) for w in quality.COMMON_WORDS["de"]]
+    assert row.word_distance == pytest.approx(js_by_hand([*shares, 1 - sum(shares)], quality.word_shares("de")))
 
 
 # --- personal data -----------------------------------------------------------
