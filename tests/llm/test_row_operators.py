@@ -323,6 +323,120 @@ def test_every_page_gives_a_row(spark):
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0)], key=repr)
 
 
+def test_whole_names_inside_an_article():
+    text = "<p>" + "Words that tell the story. " * 9 + "</p>"
+    got = extract.main_text(PAGE % (
+        f"<article>{text}<section class='notice-period'><h2>Notice</h2><p>Three months.</p></section>"
+        "<div class='share-price'><p>It fell.</p></div><div class='ad-slot-2'>Buy this</div>"
+        "<div class='comment-list'><p>I say.</p></div><div class='cookie-notice'>Agree</div></article>"))
+    assert got.endswith("story.\nNotice\nThree months.\nIt fell.")
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.process_time()
+    assert extract.main_text("<span>" * 40_000 + "<p>x</p>" * 40_000).count("x") == 40_000
+    assert extract.main_text("<div>" * 40_000 + "</b>x" * 40_000) == "x" * 40_000
+    assert len(extract.main_text(PAGE % f"<article><p>{'long text ' * 500_000}</article>")) == 4_999_999
+    assert time.process_time() - start < 30
+
+
+def random_page(rng, depth=0):
+    """A tree of (tag, children); children are trees and texts."""
+    tag = "div" if depth < 2 else rng.choice(["div", "section", "p", "h2"])
+    children = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        if tag in ("div", "section") and depth < 5 and kind < 0.6:
+            children.append(random_page(rng, depth + 1))
+        elif kind < 0.75:
+            children.append(("a", [" ".join(["link"] * rng.randrange(1, 6))]))
+        else:
+            children.append(" ".join(rng.choice(["some", "words", "here"]) for _ in range(rng.randrange(1, 40))))
+    return tag, children
+
+
+def rendered(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(rendered, tree[1]))}</{tree[0]}>"
+
+
+def main_text_by_hand(page):
+    """Nodes by their place in the page, each measured by walking its whole subtree."""
+    nodes = []
+
+    def walk(tree, path):
+        nodes.append((tree, path))
+        for k, child in enumerate(tree[1]):
+            if not isinstance(child, str):
+                walk(child, (*path, k))
+
+    walk(("#root", [page]), ())
+
+    def count(tree, link=False):
+        """Characters, those in links, tags below, link tags below."""
+        total = [0, 0, 0, 0]
+        for child in tree[1]:
+            if isinstance(child, str):
+                more = (len(child), len(child) * link, 0, 0)
+            else:
+                is_link = child[0] == "a"
+                c, lc, t, lt = count(child, link or is_link)
+                more = (c, lc, t + 1, lt + is_link)
+            total = [x + y for x, y in zip(total, more, strict=True)]
+        return total
+
+    sizes = {path: count(tree, tree[0] == "a") for tree, path in nodes}
+    whole = sizes[()]
+
+    def density(path):
+        c, lc, t, lt = sizes[path]
+        if not c:
+            return 0
+        base = math.log(c * max(lc, 1) / max(c - lc, 1) + whole[1] / whole[0] * c + math.e)
+        ratio = c * max(t, 1) / (max(lc, 1) * max(lt, 1))
+        return c / max(t, 1) * math.log(max(ratio, 1) + math.e - 1) / math.log(base + math.e - 1)
+
+    dense = {path: density(path) for path in sizes}
+    sums = {path: sum(d for p, d in dense.items() if p and p[:-1] == path) for path in sizes}
+    best = max(sums, key=lambda p: sums[p])
+    way = {best[:k] for k in range(len(best) + 1)}
+    threshold = min(dense[p] for p in way)
+    roots = {best}
+    for tree, p in nodes:
+        if p and p[:-1] in way and p not in way and sizes[p][0] > 2 * sizes[p][1]:
+            if dense[p] >= threshold or tree[0] == "h2":
+                roots.add(p)
+    blocks = [""]
+
+    def write(tree, path):
+        if tree[0] != "a":
+            blocks.append("")
+        for k, child in enumerate(tree[1]):
+            if not isinstance(child, str):
+                write(child, (*path, k))
+            elif any(path[:len(r)] == r for r in roots):
+                blocks[-1] += child
+        if tree[0] != "a":
+            blocks.append("")
+
+    write(("#root", [page]), ())
+    return "\n".join(b for b in blocks if b)
+
+
+def test_main_text_by_brute_force():
+    rng, parts = random.Random(7), 0
+    for _ in range(400):
+        page = random_page(rng)
+        want = main_text_by_hand(page)
+        assert extract.main_text(rendered(page)) == want
+        parts += len(want) < len(re.sub("<[^>]*>", "", rendered(page)))
+    assert parts > 50
+
+
+def test_no_pages(spark):
+    empty = extract.extracted(spark.createDataFrame([], "page_id long, url string, html string, text int"))
+    assert empty.columns == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
+
+
 # --- byte-level BPE ----------------------------------------------------------
 
 

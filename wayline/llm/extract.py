@@ -13,7 +13,10 @@ wrappers of the whole page.  So what is left out for its class, its id or as a
 form has to hold no more than half of the text in article and main elements;
 where the page has none, or inside of these, no more than half of the page's
 text.  Links don't count, nor do articles that bear such a name themselves,
-like comments do.
+like comments do.  Inside an article a name has to consist of such words as a
+whole; otherwise it counts only for what is mostly links.
+
+Work is linear in the length of a page, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notification popup overlay modal promo promotion sponsor sponsored "
     "comment comments commentlist disqus respond replies share sharing social related recommended breadcrumb "
     "breadcrumbs newsletter subscribe subscription login signup search pagination pager toolbar widget".split())
+#: What names of containers add to such marks, as in comment-list or ad-slot.
+FILLERS = frozenset(
+    "area body bottom box block button buttons container content form holder inner item items left links list outer "
+    "panel right section slot title top unit wrap wrapper".split())
 #: Marks that inside an article only count for what consists of links mostly.
 WEAK = frozenset("related recommended search share sharing social toolbar widget".split())
 #: A tag that the end of the page cuts short.
@@ -65,6 +72,7 @@ class _Tree(HTMLParser):
         self.marked, self.weak = [False], [False]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or text None for a border
         self.open = [0]
+        self.places = {}  # tag -> places of its open elements in ``open``
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -81,6 +89,7 @@ class _Tree(HTMLParser):
         self.marked.append(marked)
         self.weak.append(weak)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
         elif tag == "br":  # white space inside its block
             self.events.append((self.open[-1], " "))
@@ -89,24 +98,26 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[at]] == tag:
-                del self.open[at:]
-                break
+        self._close_from(self._last(tag))
         if tag not in INLINE:
             self.events.append((self.open[-1], None))
 
     def handle_data(self, data):
         self.events.append((self.open[-1], data))
 
+    def _last(self, *tags):
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close_from(self, at):
+        """Close the element at a place and all inside it; every element is closed once at most."""
+        while 0 < at < len(self.open):
+            self.places[self.tags[self.open.pop()]].pop()
+
     def _close_first(self, tags, scopes):
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.tags[self.open[at]]
-            if name in tags:
-                del self.open[at:]
-                return
-            if name in scopes:
-                return
+        at = self._last(*tags)
+        if at > self._last(*scopes):
+            self._close_from(at)
 
     def _unwanted(self, tag: str, attrs: dict) -> bool:
         if tag in ("html", "body", "article", "main"):
@@ -120,7 +131,7 @@ class _Tree(HTMLParser):
         return tag == "header" and not self._in_article()  # of the page, not of the article
 
     def _in_article(self) -> bool:
-        return any(self.tags[i] in ("article", "main") for i in self.open)
+        return self._last("article", "main") > 0
 
     def _marked(self, tag: str, attrs: dict) -> tuple[bool, bool]:
         if tag in ("html", "body"):
@@ -130,14 +141,14 @@ class _Tree(HTMLParser):
         names, name = attrs.get("class") or "", attrs.get("id") or ""
         if not names and not name:
             return False, False
-        parts, own = ({x.lower() for x in NAME_PART.findall(x)} for x in (names, name))
+        whole = [{x.lower() for x in NAME_PART.findall(n)} for n in (*names.split(), *name.split())]
+        parts = set().union(*whole)
         if not self._in_article():
-            parts |= own
             return bool(parts & MARKS or "header" in parts or "masthead" in parts), False
-        if own <= MARKS:  # else the name of a heading, like related-work
-            parts |= own
-        found = parts & MARKS
-        return bool(found), bool(found) and found <= WEAK
+        # In an article a name counts as a whole (comment-list, not notice-period); what only
+        # has a mark in it, or is of the weak ones, has to be links mostly.
+        strong = any(x <= MARKS | FILLERS and x & MARKS - WEAK for x in whole)
+        return bool(parts & MARKS), not strong
 
 
 def _left_out(tree: _Tree) -> list[bool]:
@@ -249,7 +260,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, main ``text`` and its length; a null html gives an empty text.
 
     Pages are taken one by one, so repeated rows and pages without an id are
-    no matter.
+    no matter.  An empty table gives an empty one.  A tag that the end of the page
+    cuts short is no text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
