@@ -1,12 +1,17 @@
 """Operators that hold rows against each other, and the pipeline, against brute force."""
 
+import cProfile
 import hashlib
+import pickle
+import pstats
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_row_operators import odd_documents
 
@@ -454,6 +459,85 @@ def test_nothing_to_learn_from(spark):
     assert lm.scored(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_cut_by_the_definition(monkeypatch):
+    """Bytes of every kind, at any size of slices, against words by the contract's pattern."""
+    rng = random.Random(3)
+    some = [32, 9, 10, 11, 12, 13, 28, 31, 0, 65, 90, 97, 133, 160, 195, 255]
+    texts = [None, b"", b" ", b"\n\x0b", b"a", *(bytes([i, 88, i, 121, i]) for i in range(256)),
+             *(bytes(rng.choices(some, k=rng.randrange(40))) for _ in range(500)), "\u00c4 \u0085x".encode()]
+    want = [[*(w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", t or b"")), lm.END] for t in texts]
+    for size in (1, 100, 1 << 23):
+        monkeypatch.setattr(lm, "CUT", size)
+        firsts, flat, lengths = zip(*lm.cut(pa.array(texts, pa.binary())), strict=True)
+        assert [w for x in flat for w in x.to_pylist()] == [w for x in want for w in x]
+        assert [n for x in lengths for n in x] == [len(x) for x in want]
+        assert list(firsts) == [sum(map(len, lengths[:k])) for k in range(len(lengths))]
+    assert not list(lm.cut(pa.array([], pa.binary())))
+
+
+def test_cut_has_no_step_per_word():
+    texts = pa.array([b"some words " * 2000] * 20, pa.binary())
+    profile = cProfile.Profile()
+    profile.runcall(lambda: list(lm.cut(texts)))
+    assert pstats.Stats(profile).total_calls < 20 * 4000 / 10  # threads of the session may add some
+
+
+@pytest.mark.parametrize("most", [(3, 1 << 20), (1000, 50), (1000, 1 << 20)])
+def test_word_counts_passed_on_early(spark, monkeypatch, most):
+    monkeypatch.setattr(lm, "COUNTED", most[0])
+    monkeypatch.setattr(lm, "COUNTED_BYTES", most[1])
+    texts = [None, "", *some_texts(60, 14)]
+    rows = spark.createDataFrame(list(enumerate(texts)), TEXT).repartition(2)
+    counts = lm.word_counts(rows.select(rows.text.cast("binary").alias("text"))).collect()
+    assert {bytes(r.token): r.c for r in counts} == Counter(w for t in texts for w in lm.tokens((t or "").encode()))
+
+
+@pytest.mark.parametrize("dimensions", [7, 8])
+def test_step_by_hand(dimensions):
+    """One step of training, token by token, against the noise and in double precision."""
+    rng = np.random.default_rng(5)
+    share = rng.dirichlet(np.ones(9))
+    model = lm.Model.start(share, dimensions)
+    model.table[:model.second + 10] *= 4
+    a, b, r, bias = (x.astype(float) for x in (model.a, model.b, model.r, model.bias))
+    u, v, w = rng.integers(0, 10, 200), rng.integers(0, 10, 200), rng.integers(0, 9, 200)
+    u[:50] = 3  # many in one row
+    z = np.searchsorted(np.cumsum(share), np.random.default_rng(1).random(lm.NOISE))
+    ga, gb, gr, gbias = (np.zeros_like(x) for x in (a, b, r, bias))
+    for i, j, k in zip(u, v, w, strict=True):
+        h = a[i] + b[j]
+        for c, wanted in [(k, 1), *((c, 0) for c in z)]:
+            odds = h @ r[c] + bias[c] - np.log(lm.NOISE * share[c])
+            g = (wanted - 1 / (1 + np.exp(-odds))) * 100 / len(w)
+            ga[i] += g * r[c]
+            gb[j] += g * r[c]
+            gr[c] += g * h
+            gbias[c] += g
+    lm.Trainer(model, share, 1).step(u, v, w)
+    for x, g, got in ((a, ga, model.a), (b, gb, model.b), (r, gr, model.r), (bias, gbias, model.bias)):
+        assert got == pytest.approx(x + lm.RATE * g / np.sqrt(0.1 + g * g), abs=1e-5)
+    assert not model.rows()[:model.target, -1].any()  # contexts have no bias
+
+
+def test_tables_once_per_worker(spark, monkeypatch):
+    """A worker that gets several tasks works the normalisers out for the first one only."""
+    scores = pickle.loads(pickle.dumps(lm.Scores(lm.Model.start(np.full(12, 1 / 12), 8))))
+    done = []
+    plain = lm.Model.tables
+    monkeypatch.setattr(lm.Model, "tables", lambda self: done.append(1) or plain(self))
+    assert scores.tables is scores.tables and len(done) == 1
+    held = spark.sparkContext.broadcast(scores)
+
+    def run(batches):
+        for batch in batches:
+            before = "tables" in vars(held.value)
+            held.value.tables  # noqa: B018
+            yield pa.RecordBatch.from_arrays([pa.array([before] * batch.num_rows)], names=["had"])
+
+    had = [r.had for r in spark.range(64, numPartitions=64).mapInArrow(run, "had boolean").collect()]
+    assert had.count(False) < 64
+
+
 # --- pipeline ----------------------------------------------------------------
 
 

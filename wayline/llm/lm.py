@@ -28,10 +28,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +45,13 @@ CLASSES, GROUPS, TABLE = 1536, 510, 1 << 17
 SUFFIX = 2
 DIMENSIONS, NOISE, BATCH, RATE, ROUNDS = 24, 32, 2048, 0.12, 2
 SEED = 7
-#: Distinct words a task counts before it passes counts on; words a worker remembers the class of.
-COUNTED, CACHED = 500_000, 300_000
+#: Distinct words a task counts before it passes counts on, and their bytes; bytes of text cut at a time.
+COUNTED, COUNTED_BYTES, CUT = 500_000, 1 << 25, 1 << 23
 
 #: A text as numbers of its words (kind 0), or a word of it that the table lacks (kind 1).
 CODED = pa.schema([
     ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-    ("codes", pa.binary()), ("token", pa.binary()), ("n", pa.int64()), ("grouped", pa.bool_())])
+    ("codes", pa.binary()), ("token", pa.binary()), ("n", pa.int64())])
 SCORED = ("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
 
 
@@ -63,28 +64,52 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def cut(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """The same for some texts at a time: the first one's place, all tokens in order, how many each text has."""
+    texts = column.cast(pa.large_binary()).fill_null(b"").view(pa.large_string())
+    sizes, lo = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    none, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CUT, "right")))
+        part = pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo)))
+        # Nothing follows the last space, which is the end.
+        part = pc.if_else(pc.equal(part, none), none, pc.binary_join_element_wise(part, none, space))
+        found = pc.ascii_split_whitespace(part)
+        yield lo, found.flatten().view(pa.large_binary()), pc.list_value_length(found).to_numpy()
+        lo = hi
+
+
 # --- counts ------------------------------------------------------------------
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``token`` and its count ``c`` over all rows of ``text`` (bytes)."""
+    schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            found = pa.concat_tables(counts).group_by("token", use_threads=False).aggregate([("n", "sum")])
+            return found.rename_columns({"n_sum": "n"})
+
+        def full(tables: list[pa.Table], times: int) -> bool:
+            return (sum(map(len, tables)) > times * COUNTED
+                    or sum(t.nbytes for t in tables) > times * COUNTED_BYTES)
 
         def out():
-            items = list(counts.items())
-            for lo in range(0, len(items), 50_000):
-                names, numbers = zip(*items[lo:lo + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()), pa.array(numbers, pa.int64())], names=["token", "n"])
-            counts.clear()
+            if counts:
+                yield from merged().select(schema.names).cast(schema).to_batches(max_chunksize=50_000)
+                counts.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > COUNTED:
-                    yield from out()
+            for _, flat, _ in cut(batch.column(0)):
+                found = pc.value_counts(flat)
+                counts.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
+                if full(counts, 2):
+                    counts[:] = [merged()]
+                    if full(counts, 1):
+                        yield from out()
         yield from out()
 
     return texts.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(
@@ -143,30 +168,51 @@ class Classes:
 
 
 class Model:
-    """Context vectors A, B, target vectors R and biases b."""
+    """Context vectors A, B, target vectors R and biases b, rows of one table.
+
+    ``table`` has A, B and R one after the other and the biases beside R; a
+    column of zeros makes its width even.
+    """
+
+    def __init__(self, table: np.ndarray, dimensions: int):
+        self.table, self.dimensions = table, dimensions
+        n = (len(table) - 2) // 3
+        self.second, self.target = n + 1, 2 * n + 2  # first rows of B and R
+
+    @property
+    def a(self) -> np.ndarray:
+        return self.table[:self.second, :self.dimensions]
+
+    @property
+    def b(self) -> np.ndarray:
+        return self.table[self.second:self.target, :self.dimensions]
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, r: np.ndarray, bias: np.ndarray):
-        self.a, self.b, self.r, self.bias = a, b, r, bias
+    @property
+    def r(self) -> np.ndarray:
+        return self.table[self.target:, :self.dimensions]
+
+    @property
+    def bias(self) -> np.ndarray:
+        return self.table[self.target:, self.dimensions]
 
     @classmethod
     def start(cls, share: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
         """Small random vectors; biases that give every class its share."""
         n, rng = len(share), np.random.default_rng(SEED)
         a, b, r = (rng.normal(0, 0.1, (n + 1, dimensions)).astype(np.float32) for _ in range(3))
-        return cls(a, b, r[:n], np.log(share).astype(np.float32))
+        biases = np.r_[np.zeros(2 * n + 2), np.log(share)]
+        return cls.from_rows(np.c_[np.concatenate([a, b, r[:n]]), biases])
 
     def rows(self) -> np.ndarray:
         """All parameters, a row per vector, biases in the last column."""
-        blocks = [np.c_[self.a, np.zeros(len(self.a))], np.c_[self.b, np.zeros(len(self.b))],
-                  np.c_[self.r, self.bias]]
-        return np.concatenate(blocks)
+        return self.table[:, :self.dimensions + 1].astype(np.float64)
 
     @classmethod
     def from_rows(cls, rows: np.ndarray) -> Model:
-        rows = rows.astype(np.float32)
-        n = (len(rows) - 2) // 3
-        return cls(rows[:n + 1, :-1].copy(), rows[n + 1:2 * n + 2, :-1].copy(),
-                   rows[2 * n + 2:, :-1].copy(), rows[2 * n + 2:, -1].copy())
+        height, width = rows.shape
+        table = np.zeros((height, width + width % 2), np.float32)
+        table[:, :width] = rows
+        return cls(table, width - 1)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by first and by second context class, and the normaliser of their pairs."""
@@ -176,12 +222,13 @@ class Model:
         return one, two, (np.log(sums) + top1 + top2.T).astype(np.float32)
 
 
-def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that occur in ``index`` and the sum of the values of each."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")  # short numbers are sorted by radix
+def _sums(index: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, of ``most``, that occur in ``index`` and the sum of the values of each."""
+    order = np.argsort(index.astype(np.min_scalar_type(most)), kind="stable")  # short numbers are sorted by radix
     rows = index[order]
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[starts], np.add.reduceat(values[order], starts, axis=0)
+    pairs = values.take(order, axis=0).view(np.complex64)  # two columns are added at a time
+    return rows[starts], np.add.reduceat(pairs, starts, axis=0).view(np.float32)
 
 
 class Trainer:
@@ -191,27 +238,40 @@ class Trainer:
         self.m, self.rng = model, np.random.default_rng(seed)
         self.noise = np.log(NOISE * share).astype(np.float32)
         self.steps = np.cumsum(share)
-        self.squares = [np.full(x.shape, 0.1, np.float32) for x in (model.a, model.b, model.r, model.bias)]
+        self.squares = np.full(model.table.shape, 0.1, np.float32)
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        m = self.m
+        table, bias, n = self.m.table, self.m.dimensions, len(w)
         z = np.minimum(np.searchsorted(self.steps, self.rng.random(NOISE)), len(self.steps) - 1)
-        h, rw, rz = m.a[u] + m.b[v], m.r[w], m.r[z]
-        data = np.einsum("nd,nd->n", h, rw) + m.bias[w] - self.noise[w]
-        noise = h @ rz.T + (m.bias[z] - self.noise[z])
-        up = (1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)  # towards the data
-        down = (-1 / (1 + np.exp(-np.clip(noise, -30, 30)))).astype(np.float32)  # away from the noise
-        gh = up[:, None] * rw + down @ rz
-        target = np.c_[up[:, None] * h, up]
-        noisy = np.c_[down.T @ h, down.sum(axis=0)]
-        rows, g = _sums(np.r_[w, z], np.r_[target, noisy])
+        at = np.concatenate([u, v + self.m.second, w + self.m.target, z + self.m.target])
+        h, rw, rz = (table.take(x, axis=0) for x in (at[:n], at[2 * n:3 * n], at[3 * n:]))
+        h += table.take(at[n:2 * n], axis=0)
+        h[:, bias] = 1  # meets the bias beside a target vector
+        data = np.einsum("nd,nd->n", h, rw) - self.noise[w]
+        noise = h @ rz.T
+        noise -= self.noise[z]
+        up = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # towards the data
+        down = np.clip(noise, -30, 30, out=noise)  # away from the noise
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        change = np.empty((len(at), table.shape[1]), np.float32)
+        np.matmul(down, rz, out=change[:n])
+        rw *= up[:, None]
+        change[:n] += rw
+        change[:n, bias] = 0  # contexts have none
+        change[n:2 * n] = change[:n]
+        np.multiply(h, up[:, None], out=change[2 * n:3 * n])
+        np.matmul(down.T, h, out=change[3 * n:])
         # Only vectors that took part have moved.
-        for x, square, (at, change) in zip(
-                (m.a, m.b, m.r, m.bias), self.squares,
-                (_sums(u, gh), _sums(v, gh), (rows, g[:, :-1]), (rows, g[:, -1])), strict=True):
-            change = (change / len(w) * 100).astype(np.float32)
-            square[at] += change * change
-            x[at] += RATE * change / np.sqrt(square[at])
+        rows, g = _sums(at, change, len(table))
+        g *= np.float32(100 / n)
+        square = self.squares.take(rows, axis=0)
+        square += g * g
+        self.squares[rows] = square
+        g *= np.float32(RATE)
+        g /= np.sqrt(square, out=square)
+        table[rows] += g
 
 
 def contexts(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +291,7 @@ def coded(rows: DataFrame, classes: Classes, words: list[bytes]) -> DataFrame:
     """
     held = rows.sparkSession.sparkContext.broadcast((classes, words))
     fields = ", ".join(f"{f.name} {t}" for f, t in zip(
-        CODED, ("int", "long", "long", "boolean", "binary", "binary", "long", "boolean"), strict=True))
+        CODED, ("int", "long", "long", "boolean", "binary", "binary", "long"), strict=True))
 
     def batch_of(**columns) -> pa.RecordBatch:
         n = len(columns["rid"])
@@ -241,35 +301,27 @@ def coded(rows: DataFrame, classes: Classes, words: list[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = held.value
-        first, most = known.first_group, len(table) + CACHED
-
-        class Codes(dict):
-            def __missing__(self, word):
-                code = -1 - known.class_of(word)
-                if len(self) < most:
-                    self[word] = code
-                return code
-
-        lookup, rid = Codes(zip(table, range(len(table)), strict=True)), TaskContext.get().partitionId() << 33
+        places, rid = pa.array(table, pa.large_binary()), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                found = [tokens(t.as_py()) for t in part.column(2)]
-                lengths = np.array([len(x) for x in found])
-                flat = list(chain.from_iterable(found))
-                codes = np.fromiter(map(lookup.__getitem__, flat), "<i4", len(flat))
+            for lo, flat, lengths in cut(batch.column(2)):
+                part = batch.slice(lo, len(lengths))
+                codes = pc.index_in(flat, value_set=places).fill_null(-1).to_numpy().astype("<i4")
+                rids = rid + np.arange(len(lengths))
+                rid += len(lengths)
+                rare = np.flatnonzero(codes < 0)
+                if len(rare):
+                    found = flat.take(pa.array(rare)).dictionary_encode()
+                    names, which = found.dictionary, found.indices.to_numpy()
+                    codes[rare] = np.array([-1 - known.class_of(w) for w in names.to_pylist()])[which]
+                    # A number for every text and word that meet, and how often they do.
+                    meet, n = np.unique(np.repeat(np.arange(len(rids)), lengths)[rare] * len(names) + which,
+                                        return_counts=True)
+                    yield batch_of(kind=np.ones(len(n), np.int32), rid=rids[meet // len(names)],
+                                   token=names.take(pa.array(meet % len(names))).to_pylist(), n=n)
                 ends, data = 4 * np.cumsum(lengths), codes.tobytes()
-                rids = rid + np.arange(len(found))
-                rid += len(found)
-                yield batch_of(kind=np.zeros(len(found), np.int32), rid=rids, doc_id=part.column(0).to_pylist(),
+                yield batch_of(kind=np.zeros(len(rids), np.int32), rid=rids, doc_id=part.column(0).to_pylist(),
                                held_out=part.column(1).to_pylist(),
                                codes=[data[e - 4 * n:e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)])
-                rare, owners = np.flatnonzero(codes < 0), np.repeat(rids, lengths)
-                times = Counter(zip(owners[rare].tolist(), map(flat.__getitem__, rare.tolist()), strict=True))
-                if times:
-                    (ids, names), n = zip(*times, strict=True), list(times.values())
-                    yield batch_of(kind=np.ones(len(n), np.int32), rid=ids, token=names, n=n,
-                                   grouped=[-1 - lookup[w] >= first for w in names])
 
     return settle(rows.select("doc_id", "held_out", "text").mapInArrow(run, fields), "coded")
 
@@ -341,6 +393,17 @@ def trained(texts: DataFrame, class_of: np.ndarray, start: int, share: np.ndarra
 # --- scores ------------------------------------------------------------------
 
 
+class Scores:
+    """Tables of a model, worked out once in every worker that is sent it."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.model.tables()
+
+
 def _group_mass(counts: DataFrame, classes: Classes) -> dict[bytes | None, float]:
     """Sum of c + 0.5 over the words of each group of endings, and of all other endings (None)."""
     ending = F.expr(f"substring(token, greatest(length(token) - {SUFFIX - 1}, 1), {SUFFIX})")
@@ -387,12 +450,12 @@ def scored(docs: DataFrame, classes: int = CLASSES, groups: int = GROUPS, table:
 
     spark = docs.sparkSession
     logs = np.log10(np.array([c for _, c in head] or [0]) + 0.5)
-    held = spark.sparkContext.broadcast((class_of, model.rows(), np.log10(class_mass), logs))
+    held = spark.sparkContext.broadcast((class_of, Scores(model), np.log10(class_mass), logs))
     zero, first, start = math.log10(total + 0.5 * (distinct + 1)), known.first_group, known.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of_, rows_, within, logs_ = held.value
-        one, two, norm = Model.from_rows(rows_).tables()
+        class_of_, scores, within, logs_ = held.value
+        one, two, norm = scores.tables
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
@@ -411,11 +474,11 @@ def scored(docs: DataFrame, classes: int = CLASSES, groups: int = GROUPS, table:
 
     found = texts.where("kind = 0").select("rid", "doc_id", "held_out", "codes").mapInArrow(run, SCORED)
     # Words outside the table: rare ones by a join, each at most as often as the table's rarest.
-    rare = texts.where("kind = 1").select("rid", "token", "n", "grouped").join(counts, "token", "left")
-    log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    rare = texts.where("kind = 1").select("rid", "token", "n").join(counts, "token", "left")
+    log, in_group = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5), F.length("token") > 0  # all but the end
     rare = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(log).alias("more_base"), F.sum(F.when(F.col("grouped"), log).otherwise(0.0)).alias("more_model"))
+        F.sum(log).alias("more_base"), F.sum(F.when(in_group, log).otherwise(0.0)).alias("more_model"))
     documents = found.join(rare, "rid", "left")
     return documents.select(
         "doc_id", "held_out", "n_tokens",
