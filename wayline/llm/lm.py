@@ -45,8 +45,9 @@ CLASSES, GROUPS, TABLE = 1536, 510, 1 << 17
 SUFFIX = 2
 DIMENSIONS, NOISE, BATCH, RATE, ROUNDS = 24, 32, 2048, 0.12, 2
 SEED = 7
-#: Distinct words a task counts before it passes counts on, and their bytes; bytes of text cut at a time.
-COUNTED, COUNTED_BYTES, CUT = 500_000, 1 << 25, 1 << 23
+#: Distinct words a task counts before it passes counts on (twice as many rows before it sums them), and their bytes;
+#: bytes of text cut at a time.
+COUNTED, COUNTED_BYTES, CUT = 250_000, 1 << 24, 1 << 23
 
 #: A text as numbers of its words (kind 0), or a word of it that the table lacks (kind 1).
 CODED = pa.schema([
@@ -90,6 +91,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         counts: list[pa.Table] = []
 
         def merged() -> pa.Table:
+            if len(counts) == 1:
+                return counts[0]
             found = pa.concat_tables(counts).group_by("token", use_threads=False).aggregate([("n", "sum")])
             return found.rename_columns({"n_sum": "n"})
 
