@@ -94,6 +94,43 @@ def test_shadowed_by_generated_strings(spark, seed):
     assert got == sorted(want, key=lambda r: tuple(map(repr, r))) and len(got) > 10
 
 
+def test_rules_that_share_a_pattern(spark, monkeypatch):
+    """Many rules of few patterns, in either case: what meets are the patterns, not the rules."""
+    rng, met = random.Random(4), []
+    kinds = ["%a%", "A%b", "ab%", "%_b%", "a_%", "abc", "%c%b%", "b", "%bc_", "ca%"]
+    found = [(rng.randrange(40), rng.choice([str.upper, str.lower])(rng.choice(kinds)),
+              rng.choice(["application", "client_app_id", None]), f"n{rng.randrange(20)}") for _ in range(900)]
+    plain = patterns.indexed_matches
+    monkeypatch.setattr(patterns, "indexed_matches", lambda *a: met.append(plain(*a)) or met[0])
+    got = rows(patterns.shadowed_rules(spark.createDataFrame(found, schema.RULES)))
+    own = {p: {s for s in STRINGS if matches(p, s)} for p in {r[1] for r in found}}
+    over = {p: [q for q in own if own[p] <= own[q]] for p in own}
+    want = []
+    for r in found:
+        front = [(a[0], a[3], a[1]) for a in found if r[2] and a[2] == r[2] and (a[0], a[3]) < (r[0], r[3])
+                 and a[1] in over[r[1]]]
+        if front:
+            want.append((*r, min(front)[2], min(front)[1]))
+    assert got == sorted(want, key=lambda r: tuple(map(repr, r))) and len(got) > 500
+    assert met[0].count() <= 2 * len(kinds) ** 2
+
+
+def test_long_texts_of_few_words(spark):
+    """Texts whose groups of three are all common are told apart by longer ones."""
+    rng, words = random.Random(6), ["steel", "bolt", "ring", "plate", "small"]
+    values = [" ".join(w) for w in itertools.product(words, repeat=4)]
+    found = [f"%{v[rng.randrange(9):][:rng.choice([2, 5, 6, 9, 12, 15])]}%" for v in rng.sample(values, 60)]
+    found += [v.upper() for v in rng.sample(values, 40)] + ["steel_bolt%plate steel small"]
+    got = rows(patterns.indexed_matches(
+        spark.createDataFrame([(v,) for v in values], "value string"),
+        spark.createDataFrame([(p, str(k)) for k, p in enumerate(found)], RULE)))
+    assert got == sorted(((v, p, str(k)) for v in values for k, p in enumerate(found) if matches(p, v)),
+                         key=lambda r: tuple(map(repr, r)))
+    groups = spark.createDataFrame([("steel%bolt ring plate small",)], "p string").select(
+        F.explode(patterns.pattern_groups(F.col("p"))).alias("g"))
+    assert {len(r.g) for r in groups.collect()} == {3, 12}
+
+
 @pytest.mark.parametrize("front,behind,covers", [
     ("%tableau%", "%TABLEAU prep%", True), ("%spark%", "%sparkflows%", True), ("%a%", "%a_", True),
     ("_%", "%a%", True), ("%_%", "%", False), ("__%", "%_%_%", True), ("___%", "%_%_%", False),

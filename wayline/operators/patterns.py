@@ -1,8 +1,10 @@
 """``ILIKE`` patterns in large numbers: an index of them, and which cover which.
 
 A pattern only matches values that hold its literal text.  Each pattern is
-posted under one group of up to three letters of that text, the one the fewest
-values have, and a value looks up the groups it has itself.  So a value meets
+posted under one group of letters of that text, the one the fewest values have,
+and a value looks up the groups it has itself.  Groups have up to three letters,
+and six or twelve where the text is that long: where texts are made of few words,
+all groups of three are common.  So a value meets
 the patterns that could match it and no others, whatever their number; each pair
 meets once, and the pattern decides.
 """
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from wayline.operators.bounded import BROADCAST_BYTES, text_bytes
 from wayline.session import settle
 
-#: Letters of a group at most.
-LETTERS = 3
+#: Letters of a short group at most, and of the long ones.
+LETTERS, LONG = 3, (6, 12)
 #: A character no pattern has: what a wildcard may stand for, and a literal doesn't match.
 FRESH = "\ue000"
 
@@ -32,20 +34,25 @@ def _groups(text: Column, size: Column) -> Column:
 
 
 def value_groups(value: Column) -> Column:
-    """The different groups of one to ``LETTERS`` letters of a value, in small letters."""
-    text = F.lower(value)
-    return F.array_distinct(F.flatten(F.array(*[_groups(text, F.lit(k)) for k in range(1, LETTERS + 1)])))
+    """The different groups of one to ``LETTERS`` letters, and of ``LONG`` ones, of a value,
+    in small letters."""
+    text, sizes = F.lower(value), (*range(1, LETTERS + 1), *LONG)
+    return F.array_distinct(F.flatten(F.array(*[_groups(text, F.lit(k)) for k in sizes])))
 
 
 def pattern_groups(pattern: Column) -> Column:
-    """Groups every value has that the pattern matches, of the longest size there is.
+    """Groups every value has that the pattern matches, of the longest short size there is and
+    of the longest long one.
 
     None if the pattern has wildcards only.  A backslash makes the sign after it
     a literal; such patterns are left without groups.
     """
     runs = F.filter(F.split(F.lower(pattern), "[%_]+"), lambda run: run != "")
-    longest = F.least(F.lit(LETTERS), F.array_max(F.transform(runs, F.length)))
-    groups = F.array_distinct(F.flatten(F.transform(runs, lambda run: _groups(run, longest))))
+    letters = F.array_max(F.transform(runs, F.length))
+    sizes = F.array_compact(F.array(F.least(F.lit(LETTERS), letters), F.array_max(
+        F.filter(F.array(*map(F.lit, LONG)), lambda size: size <= letters))))
+    groups = F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.flatten(
+        F.transform(runs, lambda run: _groups(run, size))))))
     none = F.array().cast("array<string>")
     return F.when(pattern.contains("\\") | (F.size(runs) == 0), none).otherwise(groups)
 
@@ -119,27 +126,30 @@ def shadowed_rules(rules: DataFrame) -> DataFrame:
     matches every value with up to ``u + 1`` fresh characters for each ``%``.
     That many can't all be taken by ``_``, so a ``%`` takes one, and then takes
     any number of any characters as well.
+
+    Rules of one field whose patterns differ in case at most cover the same, and
+    the first of them stands for all; a rule in front of that one stands in front of
+    the others too.  So pairs are those of different patterns, however many rules
+    share one.
     """
-    pattern = F.lower("pattern")
     real = rules.filter(~F.col("pattern").contains("\\") & ~F.col("pattern").contains(FRESH))
     real = settle(real.select(
-        "priority", "pattern", "source_field", "display_name",
-        F.split(F.regexp_replace(F.translate(pattern, "_", FRESH), "%+", "%"), "%").alias("parts"),
-        F.translate(F.translate(pattern, "%", ""), "_", FRESH).alias("value"),
-        F.monotonically_increasing_id().alias("rule")), "rules")
-    front = real.select(
-        "pattern", F.col("source_field").alias("by_field"), F.struct("priority", "display_name").alias("by_order"),
-        F.col("pattern").alias("by_pattern"))
-    met = indexed_matches(real.select("value").distinct(), front).drop("pattern")
-    pairs = real.join(met, "value").filter(
-        (F.col("source_field") == F.col("by_field")) & (F.col("by_order") < F.struct("priority", "display_name")))
-    times = F.length("by_pattern") - F.length(F.translate("by_pattern", "_", "")) + 2
-    last = F.pow("times", F.size("parts") - 1).cast("long") - 1
-    tried = pairs.withColumn("times", times).withColumn(
-        "number", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    right = F.ilike(_expanded(F.col("parts"), F.col("times"), F.col("number")), F.col("by_pattern"))
-    covered = tried.groupBy("rule", "by_order", "by_pattern").agg(F.bool_and(right).alias("all")).filter("all")
-    first = covered.groupBy("rule").agg(F.min(F.struct("by_order", "by_pattern")).alias("by"))
-    return real.join(first, "rule").select(
+        "priority", "pattern", "source_field", "display_name", F.lower("pattern").alias("text")), "rules")
+    order = F.struct("priority", "display_name")
+    once = settle(real.filter(F.col("source_field").isNotNull()).groupBy("source_field", "text").agg(
+        F.min(F.struct(order.alias("by_order"), F.col("pattern").alias("by_pattern"))).alias("own")).withColumns({
+            "parts": F.split(F.regexp_replace(F.translate("text", "_", FRESH), "%+", "%"), "%"),
+            "value": F.translate(F.translate("text", "%", ""), "_", FRESH)}), "patterns")
+    front = once.select(F.col("text").alias("pattern"), "source_field", F.col("own").alias("by"))
+    met = indexed_matches(once.select("value").distinct(), front)
+    # A pattern covers itself, so what comes after its first rule isn't looked for.
+    pairs = once.join(met, ["value", "source_field"]).filter(F.col("by.by_order") <= F.col("own.by_order"))
+    times = F.length("pattern") - F.length(F.translate("pattern", "_", "")) + 2
+    last = F.pow(times, F.size("parts") - 1).cast("long") - 1
+    covered = pairs.filter(F.forall(
+        F.sequence(F.lit(0).cast("long"), last),
+        lambda number: F.ilike(_expanded(F.col("parts"), times, number), F.col("pattern"))))
+    first = covered.groupBy("source_field", "text").agg(F.min("by").alias("by"))
+    return real.join(first, ["source_field", "text"]).filter(F.col("by.by_order") < order).select(
         "priority", "pattern", "source_field", "display_name",
         F.col("by.by_pattern").alias("by_pattern"), F.col("by.by_order.display_name").alias("by_name"))
