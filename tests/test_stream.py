@@ -203,3 +203,46 @@ def test_times_may_differ_a_little(spark, tmp_path):
     assert [r.access_count for r in counts.latest_counts(spark, str(tmp_path / "out")).collect()] == [1]
     with pytest.raises(ValueError):
         counts.run_query_log(*streams, named, str(tmp_path / "other"), delay=60, slack=61)
+
+
+def test_records_of_a_query_are_held_once(spark, tmp_path):
+    """However many access records a query has, in one run it takes one row of the state,
+    and what it touches is counted as before."""
+    named = spark.createDataFrame([(1, "C"), (1, "D"), (2, "C")], "session_id long, client string")
+    at = [dt.datetime(2024, 1, 1, h) for h in range(3)]
+    queries = spark.createDataFrame(
+        [(k, s, "W", "SELECT", at[(k or 0) % 3]) for k, s in ((1, 1), (2, 2), (3, 3), (None, 1))], schema.QUERIES)
+    touched = [["D.S.T", "D.S.U", None], ["D.S.T"], ["E.S.T", "USER$X.S.T"], None, [], ["D.R.T", "D"]] * 5
+    found = [(k, at[k % 3] if k else at[0], n and [(x,) for x in n]) for k in (1, 2, 3, None) for n in touched]
+    found += [(1, at[1] + dt.timedelta(minutes=9), [("F.S.T",)]), (1, None, [("G.S.T",)])]
+    queries.write.parquet(f"{tmp_path}/queries")
+    spark.createDataFrame(found, LOGGED).repartition(3).write.parquet(f"{tmp_path}/access")
+    like = {"queries": queries, "access": spark.createDataFrame([], LOGGED)}
+    counts.run_query_log(*[counts.file_stream(spark, f"{tmp_path}/{n}", df) for n, df in like.items()],
+                         named, str(tmp_path / "out"))
+    got = {(r.client, r.database, r.schema_name): r.access_count
+           for r in counts.latest_counts(spark, str(tmp_path / "out")).collect()}
+    places = [("D", "D.S"), ("E", "E.S"), ("D", "D.R"), ("D", None)]
+    want = {("C", *p): 2 for p in places} | {("D", *p): 1 for p in places}
+    assert {k: v for k, v in got.items() if k[1] not in "FG"} == want
+    assert {k: v for k, v in got.items() if k[1] in "FG"} == {(c, x, f"{x}.S"): 1 for c in "CD" for x in "FG"}
+    handed = spark.read.parquet(f"{tmp_path}/out/access/handed").groupBy("query_id", "at").count()
+    assert handed.count() == 5 and handed.agg(F.max("count")).first()[0] == 1
+
+
+def test_a_run_loads_the_files_of_the_state(spark, tmp_path):
+    """Changes aren't made again row by row, and no batch runs without rows."""
+    named = spark.createDataFrame([(1, "C")], "session_id long, client string")
+    for day in (1, 9):
+        at = dt.datetime(2024, 1, day)
+        queries = spark.createDataFrame([(day, 1, "W", "SELECT", at)], schema.QUERIES)
+        found = spark.createDataFrame([(day, at, [("D.S.T",)])], LOGGED)
+        queries.write.mode("append").parquet(f"{tmp_path}/queries")
+        found.write.mode("append").parquet(f"{tmp_path}/access")
+        progress = counts.run_query_log(counts.file_stream(spark, f"{tmp_path}/queries", queries),
+                                        counts.file_stream(spark, f"{tmp_path}/access", found),
+                                        named, str(tmp_path / "out"))
+        assert all(p["numInputRows"] for p in progress)
+    kept = {f.suffix for f in (tmp_path / "out" / "place" / "state").rglob("*") if f.is_file()}
+    assert ".zip" in kept and ".changelog" not in kept
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"

@@ -361,11 +361,13 @@ def stream_query_log(spark, sf_dir):
         "access": logs.access.join(times, "query_id").withColumn(
             "part", _arrivals("query_start_time", parts, 3, "query_id")),
     }
-    found = {name: settle(log, name) for name, log in found.items()}
+    for name, log in found.items():
+        log.write.partitionBy("part").parquet(f"{root}/parted-{name}")
     for part in range(parts):
         streams = []
         for name, log in found.items():
-            new = log.filter(F.col("part") == part).drop("part")
+            parted = spark.read.schema(log.schema).parquet(f"{root}/parted-{name}")
+            new = parted.filter(F.col("part") == part).drop("part")
             new.write.mode("append").parquet(f"{root}/{name}")
             streams.append(counts.file_stream(spark, f"{root}/{name}", new))
         counts.run_query_log(*streams, named, folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,22 @@ def allow_skew_split(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Settings for what is planned or started inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 @contextmanager
 def runtime_filter(spark: SparkSession, items: int = 4_000_000, least_scan: str = "64MB") -> Iterator[None]:
     """Let what is planned inside hold large scans against a Bloom filter of their join's other side.
@@ -38,22 +54,13 @@ def runtime_filter(spark: SparkSession, items: int = 4_000_000, least_scan: str
     and is broadcast, 5 MB with four million.  With many times as many ids it lets more and
     more rows through, and nothing is lost.  Of use where the access log has no date column.
     """
-    settings = {f"spark.sql.optimizer.runtime.bloomFilter.{key}": value for key, value in {
+    values = {f"spark.sql.optimizer.runtime.bloomFilter.{key}": value for key, value in {
         "enabled": "true", "applicationSideScanSizeThreshold": least_scan,
         "creationSideThreshold": "1TB", "expectedNumItems": str(items), "maxNumItems": str(items),
         "numBits": str(10 * items), "maxNumBits": str(10 * items),
     }.items()}
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
+    with settings(spark, values):
         yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
 
 
 def _named_scratch(spark: SparkSession) -> str | None:

@@ -19,7 +19,7 @@ from wayline.context import JobContext
 from wayline.functions.clock import wall_clock, wall_date
 from wayline.operators.resolve import accesses, query_rows, touched_places, with_names
 from wayline.plans.refresh import ROUTE_KEYS, AuditLogs, named_sessions
-from wayline.session import settle
+from wayline.session import settings, settle
 from wayline.streaming.late import Gate, handed_over, pass_gate, work_off
 from wayline.streaming.runs import Runs, all_rows, month_of, of_months
 
@@ -33,14 +33,23 @@ DELAY, SLACK = 2 * 86_400, 3_600
 #: Runs after which what they wrote is folded together.
 FOLD_EVERY = 24
 
+#: For the query over both logs.  What its watermark gives up goes with the next run's batch, not
+#: in one of its own, and its stores don't look each key up just to report how many there are.
+LEAN = {"spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep the state of streams in RocksDB, on local disks with a copy in the checkpoint,
-    instead of the executors' heap.  An application calls this once for its session."""
+    instead of the executors' heap.  An application calls this once for its session.
+
+    Every run is a query of its own, which loads the state: the copy is therefore of its
+    files, since a log of changes would have to be made again row by row.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "false")
     spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")  # one store a task, not four
 
 
@@ -161,8 +170,17 @@ def run_daily_counts(stream: DataFrame, folder: str, delay: int = DELAY) -> list
 
 def _named(found: DataFrame, named: DataFrame, *more: str) -> DataFrame:
     """Accesses from rows of a query and the ``places`` it touched."""
-    rows = found.withColumn("place", F.explode_outer("places")).filter(F.col("place").isNotNull())
-    return with_names(rows.drop("places").join(named, "session_id")).select(*ACCESS_COLUMNS, *more)
+    rows = found.join(named, "session_id").withColumn("place", F.explode_outer("places"))
+    return with_names(rows.drop("places").filter(F.col("place").isNotNull())).select(*ACCESS_COLUMNS, *more)
+
+
+def _per_query(rows: DataFrame) -> DataFrame:
+    """One row for the access records of a query and time, with the distinct places they touched.
+
+    What it holds is bounded by the number of schemas, not by that of records.
+    """
+    found = rows.withColumn("place", F.explode_outer("places"))
+    return found.groupBy("query_id", "at").agg(F.collect_set("place").alias("places"))
 
 
 def _met(q: DataFrame, a: DataFrame, slack: int) -> Column:
@@ -206,7 +224,8 @@ def run_query_log(queries: DataFrame, access: DataFrame, named: DataFrame, folde
     meet in a stream-stream join that waits no longer than the bound, so a run
     reads what is new and not the logs before.  Rows that are later than the
     bound, or without a time, are joined in batch with the months around them.
-    ``named`` is what is known of the sessions, see ``named_sessions``.
+    ``named`` is what is known of the sessions, see ``named_sessions``.  Progress
+    has no number of the rows in state.
     """
     if slack > delay:
         raise ValueError("slack must not be longer than the delay")
@@ -217,14 +236,15 @@ def run_query_log(queries: DataFrame, access: DataFrame, named: DataFrame, folde
     a = Gate(f"{folder}/access", a_rows.drop("query_start_time").schema, delay)
     counted = Counted(folder, q_rows.schema["query_id"].dataType.simpleString())
     pass_gate(q_rows, F.col("start_time"), q, keep=True)
-    pass_gate(a_rows, F.col("query_start_time"), a, keep=True)
+    pass_gate(a_rows, F.col("query_start_time"), a, keep=True, combined=_per_query)
 
     q_new = handed_over(spark, q)
     a_new = handed_over(spark, a).withColumnsRenamed({"query_id": "id", "at": "at_a"})
     wait = F.expr(f"INTERVAL {slack} SECONDS")
     both = q_new.join(a_new, (q_new["query_id"] == a_new["id"])
                       & (a_new["at_a"] >= q_new["at"] - wait) & (a_new["at_a"] <= q_new["at"] + wait))
-    progress = _count(_named(both.drop("id", "at_a"), named, "at"), counted, f"{folder}/place")
+    with settings(spark, LEAN):
+        progress = _count(_named(both.drop("id", "at_a"), named, "at"), counted, f"{folder}/place")
 
     merged, last = Runs(f"{folder}/merged", "q long, a long"), (q.late.last(spark), a.late.last(spark))
     done = merged.read(spark).agg(F.max("q"), F.max("a")).first()

@@ -11,7 +11,7 @@ merge.  All the gate remembers is one time.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,15 +80,17 @@ def work_off(stream: DataFrame, checkpoint: str, batch) -> list[dict]:
 
 
 def pass_gate(stream: DataFrame, at: Column, gate: Gate, keep: bool = False,
-              once: Sequence[str] = ()) -> list[dict]:
-    """Part what a stream holds now.  ``once`` names columns rows are made distinct by, ``keep``
-    asks for an archive by month of what is handed over."""
+              once: Sequence[str] = (), combined: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
+    """Part what a stream holds now.  ``once`` names columns rows are made distinct by, ``combined``
+    makes fewer rows of a batch's, of the same columns, and ``keep`` asks for an archive by
+    month of what is handed over."""
     names = [f.name for f in gate.schema]
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         rows = rows.select(*names, at.cast("timestamp").alias("at"))
-        rows = settle(rows.dropDuplicates(list(once)) if once else rows, "batch")
+        rows = rows.dropDuplicates(list(once)) if once else rows
+        rows = settle(combined(rows) if combined else rows, "batch")
         before = gate.seen.read(spark, number - 2, number).first()
         before = before["newest"] if before else None
         in_time = F.col("at").isNotNull()
