@@ -226,8 +226,8 @@ def test_records_of_a_query_are_held_once(spark, tmp_path):
     want = {("C", *p): 2 for p in places} | {("D", *p): 1 for p in places}
     assert {k: v for k, v in got.items() if k[1] not in "FG"} == want
     assert {k: v for k, v in got.items() if k[1] in "FG"} == {(c, x, f"{x}.S"): 1 for c in "CD" for x in "FG"}
-    handed = spark.read.parquet(f"{tmp_path}/out/access/handed").groupBy("query_id", "at").count()
-    assert handed.count() == 5 and handed.agg(F.max("count")).first()[0] == 1
+    kept = spark.read.parquet(f"{tmp_path}/out/access/kept").groupBy("query_id", "at").count()
+    assert kept.count() == 5 and kept.agg(F.max("count")).first()[0] == 1
 
 
 def test_a_run_loads_the_files_of_the_state(spark, tmp_path):
